@@ -105,6 +105,7 @@ NUMERIC_FEATURES = [
     "subject_char_count", "body_char_count", "suspicious_keyword_count", "email_entropy",
 ]
 CATEGORICAL_FEATURES = ["detected_language"]
+STRUCTURED_COLUMNS = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 TEXT_COLUMN = "clean_email_text"
 TARGET_COLUMN = "category"
 

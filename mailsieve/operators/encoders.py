@@ -10,6 +10,7 @@ from pyspark.ml.feature import (
     CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
     StopWordsRemover, StringIndexer, VectorAssembler, Word2Vec,
 )
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,16 +118,23 @@ def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
     )
 
 
-def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams") -> DataFrame:
-    """Words of at least two characters without English stop words, then single words and pairs."""
+def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams", stop_words=None) -> DataFrame:
+    """Words of at least two characters without stop words, then single words and neighbouring pairs."""
     tokens = RegexTokenizer(
-        inputCol=text, outputCol="_tokens", gaps=False, pattern=r"(?U)\b\w\w+\b", toLowercase=True
+        inputCol=text, outputCol="_tokens", gaps=False, pattern=r"[\p{L}\p{N}_]{2,}", toLowercase=True
     ).transform(df)
-    kept = StopWordsRemover(inputCol="_tokens", outputCol="_kept").transform(tokens)
-    pairs = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(kept)
+    remover = StopWordsRemover(inputCol="_tokens", outputCol="_kept")
+    if stop_words is not None:
+        remover.setStopWords(list(stop_words))
+    pairs = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(remover.transform(tokens))
     return pairs.withColumn(output, F.concat("_kept", "_pairs")).drop("_tokens", "_kept", "_pairs")
 
 
+def vocabulary(df: DataFrame, grams: Column, size: int) -> DataFrame:
+    """The ``size`` most frequent grams with their counts."""
+    return gram_counts(df, grams).orderBy(F.desc("occurrences"), "gram").limit(size)
+
+
 def fit_tfidf(df: DataFrame, grams: str, vocabulary: int, output: str = "tfidf") -> PipelineModel:
     """TF-IDF with idf = ln((n + 1) / (df + 1)) + 1 and unit length rows, as one savable model.
 
@@ -216,3 +224,11 @@ def fit_vector_scaler(df: DataFrame, vector: str, output: str) -> PipelineModel:
 def assemble(columns: list[str], output: str) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="error")
 
+
+
+def to_array(vector: str) -> Column:
+    return vector_to_array(vector)
+
+
+def to_vector(array: str) -> Column:
+    return array_to_vector(array)

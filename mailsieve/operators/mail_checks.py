@@ -95,13 +95,8 @@ def security_features(headers: DataFrame, attachments: DataFrame, key="email_id"
     )
 
 
-def header_risk(headers: DataFrame, attachments: DataFrame, key="email_id") -> DataFrame:
-    """Add score, level and warnings from headers and attachments."""
-    checked = authentication(domain_mismatches(parse_addresses(headers)))
-    joined = checked.join(attachment_summary(attachments, key), key, "left").na.fill(
-        0,
-        ["attachment_count", "attachment_points", "has_executable_attachment", "has_macro_attachment"],
-    )
+def add_header_risk(checked: DataFrame) -> DataFrame:
+    """Add score, level and warnings to rows with mismatch flags, authentication and attachment points."""
     c = F.col
     rules = [
         (c("from_replyto_mismatch") == 1, 1, F.lit("The From and Reply-To domains do not match.")),
@@ -118,10 +113,20 @@ def header_risk(headers: DataFrame, attachments: DataFrame, key="email_id") -> D
         ),
     ]
     points = [F.when(test, F.lit(p)).otherwise(F.lit(0)) for test, p, _ in rules if p]
-    scored = joined.withColumns(
+    scored = checked.withColumns(
         {
             "header_risk_score": (reduce(lambda a, b: a + b, points) + c("attachment_points")).cast("int"),
             "warnings": F.array_compact(F.array(*[F.when(test, text) for test, _, text in rules])),
         }
     )
     return scored.withColumn("header_risk", H.header_risk_level(c("header_risk_score")))
+
+
+def header_risk(headers: DataFrame, attachments: DataFrame, key="email_id") -> DataFrame:
+    """Risk of each e-mail from its headers and its attachment table."""
+    checked = authentication(domain_mismatches(parse_addresses(headers)))
+    joined = checked.join(attachment_summary(attachments, key), key, "left").na.fill(
+        0,
+        ["attachment_count", "attachment_points", "has_executable_attachment", "has_macro_attachment"],
+    )
+    return add_header_risk(joined)
