@@ -83,11 +83,14 @@ def char_wb_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """
     words = F.filter(F.split(text, f"[{V.WS}]+"), lambda w: w != "")
 
+    def slide(padded: Column, size: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+
     def grams(w: Column) -> Column:
         padded, size = F.concat(F.lit(" "), w, F.lit(" ")), F.length(w) + 2
         per_size = []
         for n in range(low, high + 1):
-            windows = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n)))
+            windows = slide(padded, size, n)
             if n == low:
                 short = F.when(size <= n, F.array(padded))
             else:

@@ -221,7 +221,7 @@ def s6_feedback_store(spark, sf):
         tables.append_feedback(part, path, "event_id")
     total = tables.count_feedback(spark, path)
     return tables.read_feedback(spark, path).select(
-        "id", "event_id", "feedback_status", "correct_category", lit(total).alias("total")
+        "id", "event_id", "feedback_status", "correct_category", lit(total).cast("long").alias("total")
     )
 
 
@@ -576,7 +576,7 @@ def repeated(spark, sf):
     """The document texts, where copies occur, as a corpus."""
     docs = W.table(spark, sf, "documents")
     return docs.select(
-        "doc_id", (F.crc32(c("source").cast("binary")) % 4).alias("corpus_rank"), "source", "lang", X.clean_basic(c("text")).alias("email_text")
+        "doc_id", (F.substring("source", 4, 9).cast("long") % 4).alias("corpus_rank"), "source", "lang", X.clean_basic(c("text")).alias("email_text")
     )
 
 
@@ -1106,7 +1106,6 @@ def w1_feature_stream(spark, sf):
 @query
 def w2_feedback_rates(spark, sf):
     events = W.table(spark, sf, "events")
-    stream = jobs.file_stream(spark, sf, events.schema, "events.parquet").select("event_id", "ts", "event_type")
-    return jobs.run_to_table(
-        jobs.feedback_rates(stream, status="event_type", key="event_id"), "feedback-rates"
-    )
+    stream = jobs.file_stream(spark, sf, events.schema, "events.parquet").select("event_id", c("ts").cast("timestamp").alias("ts"), "event_type")
+    rates = jobs.run_to_table(jobs.feedback_rates(stream, status="event_type", key="event_id"), "feedback-rates")
+    return rates.withColumns({w: F.date_format(w, "yyyy-MM-dd HH:mm:ss") for w in ("window_start", "window_end")})

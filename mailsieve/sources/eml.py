@@ -191,5 +191,5 @@ def parse_mail(files: DataFrame) -> DataFrame:
             "from_replyto_mismatch", "from_returnpath_mismatch", "message_id_domain_mismatch", "attachment_count",
             "has_executable_attachment", "has_macro_attachment",
         ).alias("security_features"),
-        "attachments", "header_risk_score", "header_risk", "warnings",
+        "attachments", "header_risk_score", F.when(good, c("header_risk")).alias("header_risk"), "warnings",
     )
