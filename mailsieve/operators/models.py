@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
@@ -150,7 +152,7 @@ class BoostedModel:
 
 
 def fit_boosted_trees(
-    train: DataFrame, rounds=300, depth=5, step=0.05, sample=0.9, seed=V.SEED
+    train: DataFrame, rounds=300, depth=5, step=0.05, sample=0.9, seed=V.SEED, parallelism=5
 ) -> BoostedModel:
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
     classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
@@ -161,15 +163,17 @@ def fit_boosted_trees(
         ),
         "structured-features",
     )
-    members = []
-    for i in range(len(classes)):
+
+    def fit_one(i: int) -> GBTClassificationModel:
         one = rows.select("_x", (F.col("_id") == i).cast("double").alias("_y"))
-        members.append(
-            GBTClassifier(
-                featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample,
-                seed=seed, featureSubsetStrategy=str(sample),
-            ).fit(one)
-        )
+        return GBTClassifier(
+            featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample,
+            seed=seed, featureSubsetStrategy=str(sample),
+        ).fit(one)
+
+    # The members are independent: their jobs share the executors.
+    with ThreadPool(max(1, min(parallelism, len(classes)))) as pool:
+        members = pool.map(inheritable_thread_target(train.sparkSession)(fit_one), range(len(classes)))
     return BoostedModel(classes, structured, members)
 
 

@@ -138,7 +138,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in TABLES:
         if "{" + name + "}" in sql:
             df = table(spark, sf_dir, name)
-            used[name] = spread(df) if name == "documents" else df
+            used[name] = spread(df, "doc_id") if name == "documents" else df
     return spark.sql(sql, **used)
 
 

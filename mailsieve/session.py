@@ -56,12 +56,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str, tasks_per_core: int = 3) -> DataFrame:
     """Use all cores for heavy text work when the input comes in fewer splits than there are cores.
 
-    On large inputs the scan already has more splits than cores, and this changes nothing.
+    On large inputs the scan already has more splits than cores, and this changes nothing. Rows are
+    placed by the hash of their id, so a lost task is recomputed to the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores * tasks_per_core, key)
     return df
