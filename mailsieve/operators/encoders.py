@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
+from mailsieve.functions.text import squeeze
 from mailsieve.operators.sampling import simple_sample
 
 STRUCTURED_WIDTH_LIMIT = 10_000
@@ -79,27 +81,16 @@ def label_ids(df: DataFrame, label: str = "category", output: str = "label_id")
 def char_wb_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words, each word padded by a blank on both sides.
 
-    A padded word shorter than n gives itself once, for the first such n.
+    With single blanks between words these are the windows of the text whose inner characters are no
+    blanks; a look-ahead finds all of them, overlaps included. A padded word shorter than the smallest n is given once.
     """
-    words = F.filter(F.split(text, f"[{V.WS}]+"), lambda w: w != "")
-
-    def slide(padded: Column, size: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
-
-    def grams(w: Column) -> Column:
-        padded, size = F.concat(F.lit(" "), w, F.lit(" ")), F.length(w) + 2
-        per_size = []
-        for n in range(low, high + 1):
-            windows = slide(padded, size, n)
-            if n == low:
-                short = F.when(size <= n, F.array(padded))
-            else:
-                # Once a size is no longer than n, the whole word was already given by the size before.
-                short = F.when(size < n, F.array().cast("array<string>")).when(size == n, F.array(padded))
-            per_size.append(short.otherwise(windows))
-        return F.concat(*per_size)
-
-    return F.flatten(F.transform(words, grams))
+    patterns = [rf"(?s)(?=(.[^ ]{{{n - 2}}}.))" for n in range(low, high + 1)]
+    if low > 3:
+        patterns.append(rf"(?=( [^ ]{{1,{low - 3}}} ))")
+    padded = F.array(F.concat(F.lit(" "), squeeze(F.coalesce(text, F.lit(""))), F.lit(" ")))
+    return F.transform(
+        padded, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns])
+    )[0]
 
 
 def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
@@ -197,8 +188,6 @@ def encode_with(df: DataFrame, encode, text: str = V.TEXT_COLUMN, output: str =
 
     It runs on Arrow batches inside the tasks.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(encode(texts.fillna("").tolist())))

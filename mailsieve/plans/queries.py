@@ -24,7 +24,7 @@ from mailsieve.operators import profiles as A
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
 from mailsieve.plans import views as W
-from mailsieve.session import materialize, scratch_path
+from mailsieve.session import materialize, scratch_path, spread
 from mailsieve.sources import eml, tables
 from mailsieve.streaming import jobs
 
@@ -54,6 +54,19 @@ def feats(spark, sf, rules=X.TRAINING):
     return E.build_features(emails(spark, sf), rules)
 
 
+def documents(spark, sf):
+    return spread(W.table(spark, sf, "documents"), "doc_id")
+
+
+def pages(spark, sf):
+    return spread(W.table(spark, sf, "pages"), "page_id")
+
+
+def structured(spark, sf):
+    """Structured features written once: fitting and encoding read them several times."""
+    return materialize(feats(spark, sf).select("email_id", *V.STRUCTURED_COLUMNS), "structured")
+
+
 def headers(spark, sf):
     return W.view(spark, sf, W.MAIL_HEADERS)
 
@@ -116,8 +129,8 @@ def url_rows(spark, sf):
             E.extract_urls(X.join_text(X.clean_html(c("subject")), X.clean_html(c("body"))))
         ).alias("pos", "raw_url")
     )
-    pages = W.table(spark, sf, "pages").select(lit("page").alias("src"), c("page_id").alias("id"), lit(0).alias("pos"), c("url").alias("raw_url"))
-    return found.unionByName(pages)
+    page_rows = W.table(spark, sf, "pages").select(lit("page").alias("src"), c("page_id").alias("id"), lit(0).alias("pos"), c("url").alias("raw_url"))
+    return found.unionByName(page_rows)
 
 
 def url_arrays(spark, sf):
@@ -271,8 +284,8 @@ def p1_clean_basic(spark, sf):
 
 @query
 def p2_clean_html(spark, sf):
-    pages = W.table(spark, sf, "pages").select(lit("page").alias("src"), c("page_id").alias("id"), X.clean_html(c("html")).alias("text"))
-    return pages.unionByName(emails(spark, sf).select(lit("mail").alias("src"), c("email_id").alias("id"), X.clean_html(c("body")).alias("text")))
+    page_rows = pages(spark, sf).select(lit("page").alias("src"), c("page_id").alias("id"), X.clean_html(c("html")).alias("text"))
+    return page_rows.unionByName(emails(spark, sf).select(lit("mail").alias("src"), c("email_id").alias("id"), X.clean_html(c("body")).alias("text")))
 
 
 @query
@@ -283,8 +296,8 @@ def p3_email_text(spark, sf):
 @query
 def p4_normalize(spark, sf):
     mail = emails(spark, sf).select(lit("mail").alias("src"), c("email_id").alias("id"), X.normalize_for_model(F.concat_ws(" ", "subject", "body", "sender")).alias("text"))
-    pages = W.table(spark, sf, "pages").select(lit("page").alias("src"), c("page_id").alias("id"), X.normalize_for_model(F.concat_ws(" ", "html", "url")).alias("text"))
-    return mail.unionByName(pages)
+    page_rows = pages(spark, sf).select(lit("page").alias("src"), c("page_id").alias("id"), X.normalize_for_model(F.concat_ws(" ", "html", "url")).alias("text"))
+    return mail.unionByName(page_rows)
 
 
 @query
@@ -304,7 +317,7 @@ def p7_missing_flags(spark, sf):
 
 def screenshot_texts(spark, sf):
     """Documents and conversation turns as recognised text; some with metadata and subject lines."""
-    docs = W.table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         lit("doc").alias("src"), c("doc_id").alias("id"), lit(0).cast("long").alias("turn"),
         F.when(c("doc_id") % 4 == 0, F.concat(lit("From: a@b.test\n\n SUB -  "), "text"))
         .when(c("doc_id") % 4 == 1, F.concat(lit("To: x\nhi\n"), "text"))
@@ -338,7 +351,7 @@ def p9_ocr_confidence(spark, sf):
 
 @query
 def p10_html_to_text(spark, sf):
-    return W.table(spark, sf, "pages").select("page_id", X.html_to_text(c("html")).alias("text"))
+    return pages(spark, sf).select("page_id", X.html_to_text(c("html")).alias("text"))
 
 
 @query
@@ -397,7 +410,7 @@ def f6_keyword_list(spark, sf):
 
 @query
 def f7_entropy(spark, sf):
-    return W.table(spark, sf, "documents").select("doc_id", X.clean_basic(c("text")).alias("t")).select(
+    return documents(spark, sf).select("doc_id", X.clean_basic(c("text")).alias("t")).select(
         "doc_id", E.entropy(c("t")).alias("entropy")
     )
 
@@ -574,7 +587,7 @@ def r3_drop_both_blank(spark, sf):
 
 def repeated(spark, sf):
     """The document texts, where copies occur, as a corpus."""
-    docs = W.table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select(
         "doc_id", (F.substring("source", 4, 9).cast("long") % 4).alias("corpus_rank"), "source", "lang", X.clean_basic(c("text")).alias("email_text")
     )
@@ -857,14 +870,14 @@ def k7_preview(spark, sf):
 
 @query
 def e1_standard_scaler(spark, sf):
-    f = feats(spark, sf).select("email_id", *V.STRUCTURED_COLUMNS)
+    f = structured(spark, sf)
     encoder = N.StructuredEncoder().fit(f)
     return f.select("email_id", *[X.round_even(encoder.scaled(n), 6).alias(n) for n in V.NUMERIC_FEATURES])
 
 
 @query
 def e2_one_hot(spark, sf):
-    f = feats(spark, sf).select("email_id", *V.STRUCTURED_COLUMNS)
+    f = structured(spark, sf)
     # Levels are learnt from one part only, so the others hold an unknown level.
     encoder = N.StructuredEncoder().fit(f.filter(c("email_id") % 10 != 2))
     pairs = F.array(*[F.struct(lit(x).alias("level"), encoder.flag(x).alias("flag")) for x in encoder.levels])
@@ -900,7 +913,7 @@ def e6_masked_mean(spark, sf):
 
 @query
 def e6_text_vectors(spark, sf):
-    f = feats(spark, sf).select("email_id", V.TEXT_COLUMN)
+    f = materialize(feats(spark, sf).select("email_id", V.TEXT_COLUMN), "texts")
     encoder = N.fit_text_encoder(f, size=16)
     return encoder.transform(f).select("email_id", N.to_array("embedding_vector").alias("embedding"))
 
@@ -1039,7 +1052,7 @@ def x4_word_surrogate(spark, sf):
 
 @query
 def x5_structured_attribution(spark, sf):
-    f = feats(spark, sf).select("email_id", *V.STRUCTURED_COLUMNS)
+    f = structured(spark, sf)
     return L.structured_attribution(f, hybrid_model(spark, sf).boosted, permutations=4)
 
 

@@ -38,6 +38,7 @@ def scan_eml(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of every file below a folder.
 
     Too large files come without content: the reader skips them by their length, so they cost nothing.
+    The reader itself leaves out files of zero bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.filter(F.col("length") <= V.MAX_EML_BYTES).select("path", "length", "content")
@@ -48,41 +49,38 @@ def scan_eml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _header(value) -> str:
+    """Unfolded header with its encoded words decoded."""
     if value is None:
         return ""
+    text = "".join(str(value).splitlines())
     try:
-        return str(make_header(decode_header(str(value)))).strip()
+        return str(make_header(decode_header(text))).strip()
     except Exception:
-        return str(value).strip()
+        return text.strip()
 
 
-def _text_of(part) -> str | None:
-    """Decoded text of a plain or HTML part."""
-    if part.get_content_type().lower() not in ("text/plain", "text/html"):
-        return None
-    try:
-        return str(part.get_content())
-    except Exception:
-        return (part.get_payload(decode=True) or b"").decode("utf-8", errors="replace")
+def _part(no: int, part) -> dict:
+    kind = part.get_content_type().lower()
+    payload = part.get_payload(decode=True) or b""
+    text = None
+    if kind in ("text/plain", "text/html"):
+        try:
+            text = payload.decode(part.get_content_charset() or "ascii", errors="replace")
+        except LookupError:
+            text = payload.decode("utf-8", errors="replace")
+    return {
+        "no": no, "content_type": kind, "filename": _header(part.get_filename()),
+        "disposition": (part.get_content_disposition() or "").lower(), "text": text, "size_bytes": len(payload),
+    }
 
 
 def _decode(content: bytes) -> dict:
-    message = BytesParser(policy=policy.default).parsebytes(content)
+    # The plain message class leaves header values alone; only the few that are needed get decoded.
+    message = BytesParser(policy=policy.compat32).parsebytes(content)
     row = {column: _header(message.get(name)) for column, name in _SINGLE.items()}
     row.update({column: [_header(v) for v in message.get_all(name, [])] for column, name in _MANY.items()})
     row["received_count"] = len(message.get_all("Received", []))
-    leaves = [p for p in message.walk() if not p.is_multipart()]
-    row["parts"] = [
-        {
-            "no": i,
-            "content_type": p.get_content_type(),
-            "filename": _header(p.get_filename()),
-            "disposition": (p.get_content_disposition() or "").lower(),
-            "text": _text_of(p),
-            "size_bytes": len(p.get_payload(decode=True) or b""),
-        }
-        for i, p in enumerate(leaves)
-    ]
+    row["parts"] = [_part(i, p) for i, p in enumerate(p for p in message.walk() if not p.is_multipart())]
     return row
 
 
