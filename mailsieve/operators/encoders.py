@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
-    StopWordsRemover, StringIndexer, VectorAssembler, Word2Vec,
+    StopWordsRemover, StringIndexer, VectorAssembler, VectorSizeHint, Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -213,10 +213,16 @@ def fit_vector_scaler(df: DataFrame, vector: str, output: str) -> PipelineModel:
     )
 
 
-def assemble(columns: list[str], output: str) -> VectorAssembler:
-    return VectorAssembler(inputCols=columns, outputCol=output, handleInvalid="error")
+def vocabulary_size(tfidf: PipelineModel) -> int:
+    return len(tfidf.stages[0].vocabulary)
 
 
+def assemble(df: DataFrame, sizes: dict[str, int], output: str) -> DataFrame:
+    """Concatenate vector columns of known sizes; the sizes spare a look at the first row."""
+    for column, size in sizes.items():
+        df = VectorSizeHint(inputCol=column, size=size, handleInvalid="optimistic").transform(df)
+    return VectorAssembler(inputCols=list(sizes), outputCol=output, handleInvalid="error").transform(df)
+
 
 def to_array(vector: str) -> Column:
     return vector_to_array(vector)

@@ -25,7 +25,7 @@ from mailsieve.operators import encoders as N
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
 from mailsieve.operators.prepare import lookup
-from mailsieve.session import materialize
+from mailsieve.session import ensure_checkpoint_dir, materialize
 
 BRANCH_KEY = "email_id"
 
@@ -66,7 +66,8 @@ def _grams(df: DataFrame, analyzer: str) -> DataFrame:
 def _text_features(df, analyzer, structured, tfidf) -> DataFrame:
     encoded = tfidf.transform(structured.transform(_grams(df, analyzer)))
     ready = encoded.withColumn("_s", array_to_vector("structured"))
-    return N.assemble(["tfidf", "_s"], "_x").transform(ready).drop("_s", "structured", "grams")
+    sizes = {"tfidf": N.vocabulary_size(tfidf), "_s": len(structured.names)}
+    return N.assemble(ready, sizes, "_x").drop("_s", "structured", "grams")
 
 
 def _fit_text_model(train: DataFrame, analyzer: str, vocabulary: int, make_classifier) -> TextModel:
@@ -77,6 +78,7 @@ def _fit_text_model(train: DataFrame, analyzer: str, vocabulary: int, make_class
     classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
     structured = N.StructuredEncoder().fit(train)
     tfidf = N.fit_tfidf(_grams(train, analyzer), "grams", vocabulary)
+    ensure_checkpoint_dir(train.sparkSession)
     encoded = _text_features(weighted, analyzer, structured, tfidf).select(
         "_x", "weight", class_id(V.TARGET_COLUMN, classes).alias("_id")
     )
@@ -157,6 +159,7 @@ def fit_boosted_trees(
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
     classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
     structured = N.StructuredEncoder().fit(train)
+    ensure_checkpoint_dir(train.sparkSession)
     rows = materialize(
         structured.transform(train).select(
             array_to_vector("structured").alias("_x"), class_id(V.TARGET_COLUMN, classes).alias("_id")
@@ -268,10 +271,8 @@ def missing_parts(spark: SparkSession, path: str) -> list[str]:
 
 
 def _fusion_vector(rows: DataFrame) -> DataFrame:
-    ready = rows.withColumns(
-        {"_bp": array_to_vector("branch_probabilities"), "_st": array_to_vector("structured")}
-    )
-    return N.assemble(["embedding_vector", "_bp", "_st"], "fusion_vector").transform(ready).drop("_bp", "_st")
+    parts = F.concat(vector_to_array("embedding_vector"), F.col("branch_probabilities"), F.col("structured"))
+    return rows.withColumn("fusion_vector", array_to_vector(parts))
 
 
 def check_width(df: DataFrame, vector: str, width: int) -> DataFrame:

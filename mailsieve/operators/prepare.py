@@ -152,42 +152,46 @@ def duplicate_counts(df: DataFrame, subsets: list[list[str]]) -> DataFrame:
 
 
 def add_running_id(
-    df: DataFrame, order: list[str], id_column: str = "email_id", rows_per_bucket: int = 500_000
+    df: DataFrame, order: list[str], id_column: str = "email_id", rows_per_bucket: int = 2_000_000
 ) -> DataFrame:
     """1..n in the order of the given columns, the last of which is a unique number.
 
-    The last column is cut into ranges of similar size; rows are numbered inside each
-    (leading columns, range) and the counts of all earlier ranges are added. No task sees the whole table.
+    Only the order columns are numbered: the last one is cut into ranges of similar size, rows are numbered
+    inside each (leading columns, range), and the counts of all earlier ranges are added. The numbers are then joined
+    back on the unique column. No task sees the whole table, and wide rows move once.
     """
     *leading, number = order
-    lo, hi, n = df.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+    narrow = df.select(*order)
+    lo, n = narrow.agg(F.min(number), F.count(F.lit(1))).first()
     if not n:
         return df.withColumn(id_column, F.lit(0).cast("long"))
-    buckets = int(min(10_000, max(1, n // rows_per_bucket)))
+    buckets = int(min(2_000, max(1, n // rows_per_bucket)))
     bounds = []
     if buckets > 1:
         probabilities = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(df.stat.approxQuantile(number, probabilities, 0.1 / buckets)) - {float(lo)})
-    splits = [float("-inf"), *bounds, float("inf")]
-    ranged = (
-        Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(
-            df.withColumn("_v", F.col(number).cast("double"))
-        )
-        if bounds
-        else df.withColumns({"_v": F.col(number).cast("double"), "_range": F.lit(0.0)})
-    )
+        bounds = sorted(set(narrow.stat.approxQuantile(number, probabilities, 0.25 / buckets)) - {float(lo)})
+    valued = narrow.withColumn("_v", F.col(number).cast("double"))
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(valued)
+    else:
+        ranged = valued.withColumn("_range", F.lit(0.0))
     place = [*leading, "_range"]
     counts = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
     # One row per (leading values, range): a bounded table, so a window without partitions is fine.
-    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*place).orderBy(number)
-    return (
+    numbered = (
         ranged.withColumn("_pos", F.row_number().over(inside))
         .join(broadcast_if_small(offsets), place)
-        .withColumn(id_column, (F.col("_before") + F.col("_pos")).cast("long"))
-        .select(id_column, *[c for c in df.columns if c != id_column])
+        .select(*order, (F.col("_before") + F.col("_pos")).cast("long").alias(id_column))
     )
+    others = [c for c in df.columns if c not in order and c != id_column]
+    if not others:
+        return numbered.select(id_column, *[c for c in df.columns if c != id_column])
+    wide = df.drop(id_column) if id_column not in order else df
+    return numbered.join(wide, order).select(id_column, *[c for c in df.columns if c != id_column])
 
 
 # --- unions and joins ----------------------------------------------------

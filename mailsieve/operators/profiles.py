@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve import fixed_values as V
 from mailsieve.functions.text import round_even
-from mailsieve.operators.bounded import broadcast_if_small
 
 PROFILED = [
     "url_count_extracted", "has_url", "has_defanged_url", "text_char_count", "text_word_count",
@@ -36,11 +34,16 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(df: DataFrame, by: str, column: str) -> DataFrame:
-    """(group, value, rows): quantiles then work on distinct values, not on rows."""
+def _histogram(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(group, column, value, rows) of all columns in one pass.
+
+    Statistics then work on distinct values, not on rows, and large groups shrink before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(by, F.col(column).cast("double").alias("value"))
+        df.select(by, F.inline(pairs))
+        .filter(F.col("value").isNotNull())
+        .groupBy(by, "column", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
@@ -51,23 +54,21 @@ def _quantile(p: float) -> Column:
 
 def describe_by(df: DataFrame, columns: list[str], by: str = "category") -> DataFrame:
     """(group, column, count, mean, std, min, q25, q50, q75, max), two digits; std of a sample."""
-    out = None
-    for column in columns:
-        summary = df.groupBy(by).agg(
-            F.count(column).alias("count"),
-            round_even(F.avg(column), 2).alias("mean"),
-            round_even(F.stddev_samp(column), 2).alias("std"),
-            F.min(column).cast("double").alias("min"),
-            F.max(column).cast("double").alias("max"),
-        )
-        quartiles = _histogram(df, by, column).groupBy(by).agg(
-            *[round_even(_quantile(p), 2).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
-        )
-        part = summary.join(quartiles, by).select(
-            by, F.lit(column).alias("column"), "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    group = Window.partitionBy(by, "column")
+    # Distances from the mean are squared in a second step: sums of squares would lose digits.
+    centred = _histogram(df, by, columns).withColumn(
+        "_mean", F.sum(F.col("value") * F.col("rows")).over(group) / F.sum("rows").over(group)
+    )
+    squares = F.sum(F.col("rows") * F.pow(F.col("value") - F.col("_mean"), F.lit(2)))
+    total = F.sum("rows")
+    return centred.groupBy(by, "column").agg(
+        total.alias("count"),
+        round_even(F.first("_mean"), 2).alias("mean"),
+        round_even(F.when(total > 1, F.sqrt(squares / (total - 1))), 2).alias("std"),
+        F.min("value").alias("min"),
+        *[round_even(_quantile(p), 2).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
+        F.max("value").alias("max"),
+    )
 
 
 def mean_by(df: DataFrame, columns: list[str] = PROFILED, by: str = "category", digits: int = 2) -> DataFrame:
@@ -76,20 +77,16 @@ def mean_by(df: DataFrame, columns: list[str] = PROFILED, by: str = "category",
 
 def box_plot_stats(df: DataFrame, column: str = "text_word_count", by: str = "category") -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 interquartile ranges) and the count of outliers."""
-    histogram = _histogram(df, by, column)
-    quartiles = histogram.groupBy(by).agg(
-        _quantile(0.25).alias("q1"), _quantile(0.5).alias("median"), _quantile(0.75).alias("q3")
+    group = Window.partitionBy(by)
+    placed = _histogram(df, by, [column]).withColumns(
+        {n: _quantile(p).over(group) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
     )
-    spread = F.col("q3") - F.col("q1")
-    inside = (F.col("value") >= F.col("q1") - 1.5 * spread) & (F.col("value") <= F.col("q3") + 1.5 * spread)
-    return (
-        histogram.join(broadcast_if_small(quartiles), by)
-        .groupBy(by, "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("rows"))), F.lit(0)).alias("outliers"),
-        )
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
+    return placed.groupBy(by, "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("rows"))), F.lit(0)).alias("outliers"),
     )
 
 
@@ -124,5 +121,3 @@ def mean_confidence(df: DataFrame, image: str, confidence: str) -> DataFrame:
         )
     )
 
-
-CLASS_LIST = V.CLASSES_SORTED

@@ -704,7 +704,9 @@ oracle("e4_char_grams", ["char_lists"], vocabulary("char_lists", 2000))
 oracle("e5_label_ids", ["predictions"], "select email_id, category, (dense_rank() over (order by category) - 1)::int as label_id from predictions")
 oracle("e6_masked_mean", [], f"""select email_id, i::int as pos, {even('coalesce(avg(x) filter (m), 0)', 6)} as value from (
   select vec_id % 50 as email_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x, vec_id % 3 <> 0 as m from embeddings) group by 1, 2""")
-oracle("e7_fusion_scaler", [], "select unnest(range(0, 64))::int as pos, 0.0::double as mean, 1.0::double as std")
+cte("vector_parts", [], "select vec_id, unnest(range(0, len(embedding)))::int as pos, unnest(embedding)::double as x from embeddings")
+oracle("e7_fusion_scaler", ["vector_parts"], f"""select vec_id, pos, {even('(x - avg(x) over (partition by pos)) / stddev_pop(x) over (partition by pos)', 6)} + 0.0::double as value
+from vector_parts""")
 oracle("l6_width_check", [], "select vec_id, len(embedding)::int as width from embeddings")
 
 # --- reasons ------------------------------------------------------------------------------------

@@ -93,24 +93,23 @@ def raw_corpora(spark, sf):
     )
 
 
+CORPORA = ["Enron", "SpamAssasin", "Nazario", "Nigerian_Fraud"]
+
+
 def master(spark, sf):
-    """Raw corpora brought to the common columns: two by label, two by source, one without ``urls``."""
+    """Raw corpora brought to the common columns: two by label, two by source, the last without ``urls``."""
     raw = raw_corpora(spark, sf)
-    by_label = F.when(c("label") == "0", lit("Legitimate")).when(c("label") == "1", lit("Spam"))
     group = c("email_id") % 4
-    parts = [
-        P.standardize_corpus(raw.filter(group == 0), "Enron", by_label, ["email_id"]),
-        P.standardize_corpus(raw.filter(group == 1), "SpamAssasin", by_label, ["email_id"]),
-        P.standardize_corpus(raw.filter(group == 2), "Nazario", lit("Traditional_Phishing"), ["email_id"]),
-        P.standardize_corpus(
-            raw.filter(group == 3).drop("urls"), "Nigerian_Fraud", lit("Business_Email_Compromise"), ["email_id"]
-        ),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    rank = {"Enron": 1, "SpamAssasin": 2, "Nazario": 3, "Nigerian_Fraud": 4}
-    return out.withColumn("corpus_rank", P.lookup(c("source_dataset"), rank))
+    source = F.element_at(F.array(*[lit(x) for x in CORPORA]), (group + 1).cast("int"))
+    category = (
+        F.when(group == 2, lit("Traditional_Phishing"))
+        .when(group == 3, lit("Business_Email_Compromise"))
+        .when(c("label") == "0", lit("Legitimate"))
+        .when(c("label") == "1", lit("Spam"))
+    )
+    first = P.standardize_corpus(raw.filter(group < 3), source, category, ["email_id"])
+    last = P.standardize_corpus(raw.filter(group == 3).drop("urls"), source, category, ["email_id"])
+    return first.unionByName(last)
 
 
 def gapped(spark, sf):
@@ -302,7 +301,7 @@ def p4_normalize(spark, sf):
 
 @query
 def p5_standardize(spark, sf):
-    return master(spark, sf).drop("corpus_rank")
+    return master(spark, sf)
 
 
 @query
@@ -800,6 +799,14 @@ def model_results(spark, sf):
     }
 
 
+@query
+def m5_model_robustness(spark, sf):
+    """Report of the fitted model over all mail, by attack type."""
+    attacks = predictions(spark, sf).select("email_id", "attack_type")
+    scored = hybrid_model(spark, sf).transform(feats(spark, sf)).join(attacks, "email_id")
+    return M.robustness_by_attack(scored)
+
+
 @query
 def m6_compare_models(spark, sf):
     return M.compare_models(model_results(spark, sf))
@@ -920,11 +927,10 @@ def e6_text_vectors(spark, sf):
 
 @query
 def e7_fusion_scaler(spark, sf):
-    """Mean and population deviation of each scaled component: 0 and 1."""
     vectors = W.table(spark, sf, "embeddings").select("vec_id", N.to_vector("embedding").alias("v"))
     scaled = N.fit_vector_scaler(vectors, "v", "s").transform(vectors)
-    return scaled.select(F.posexplode(N.to_array("s")).alias("pos", "x")).groupBy("pos").agg(
-        (X.round_even(F.avg("x"), 6) + lit(0.0)).alias("mean"), X.round_even(F.stddev_pop("x"), 6).alias("std")
+    return scaled.select("vec_id", F.posexplode(N.to_array("s")).alias("pos", "x")).select(
+        "vec_id", "pos", (X.round_even(c("x"), 6) + lit(0.0)).alias("value")
     )
 
 
@@ -1021,10 +1027,13 @@ def judged(spark, sf, rules):
 
 @query
 def x1_service_reasons(spark, sf):
-    reports = url_arrays(spark, sf).select("email_id", U.highest_weighted_risk(U.weighted_url_reports(c("urls"))).alias("url_risk"))
-    rows = judged(spark, sf, X.SERVING).join(reports, "email_id")
-    reasons = R.service_reasons(c("prediction"), c("confidence"), c("branch_prediction"), c("branch_confidence"), c("url_risk"))
-    return rows.select("email_id", F.array_join(reasons, " | ").alias("reasons"))
+    url_risk = U.highest_weighted_risk(U.weighted_url_reports(c("extracted_urls")))
+    reasons = R.service_reasons(
+        c("prediction"), c("confidence"), c("branch_prediction"), c("branch_confidence"), c("url_risk")
+    )
+    return judged(spark, sf, X.SERVING).withColumn("url_risk", url_risk).select(
+        "email_id", F.array_join(reasons, " | ").alias("reasons")
+    )
 
 
 @query
@@ -1105,14 +1114,28 @@ def b4_training_candidates(spark, sf):
     return B.training_candidates(enriched(spark, sf))
 
 
+def stream_mail(spark, sf):
+    docs = W.table(spark, sf, "documents")
+    stream = jobs.file_stream(spark, sf, docs.schema, "documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        # One small file per batch would keep one core busy; batches of many files need no shuffle.
+        stream = stream.repartition(3 * cores, "doc_id")
+    return stream.select(c("doc_id").alias("email_id"), c("source").alias("subject"), c("text").alias("body"))
+
+
 @query
 def w1_feature_stream(spark, sf):
-    docs = W.table(spark, sf, "documents")
-    mail = jobs.file_stream(spark, sf, docs.schema, "documents.parquet").select(
-        c("doc_id").alias("email_id"), c("source").alias("subject"), c("text").alias("body")
-    )
+    stream = jobs.feature_stream(stream_mail(spark, sf), X.TRAINING)
+    return jobs.run_to_table(stream.select("email_id", "clean_email_text", *V.STRUCTURED_COLUMNS), "feature-stream")
+
+
+@query
+def w1_score_stream(spark, sf):
+    """Scores of a stream; equal to those of the batch."""
+    stream = jobs.score_stream(stream_mail(spark, sf), hybrid_model(spark, sf), X.TRAINING)
     return jobs.run_to_table(
-        jobs.feature_stream(mail, X.TRAINING).select("email_id", "clean_email_text", *V.STRUCTURED_COLUMNS), "feature-stream"
+        stream.select("email_id", "prediction", "confidence", "branch_prediction", "branch_confidence"), "score-stream"
     )
 
 

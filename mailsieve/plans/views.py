@@ -131,14 +131,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a view text; only the tables it names are opened."""
+    """Run a view text; only the tables it names are opened, and only work on texts is spread."""
     used = {}
     if "{emails}" in sql:
         sql = sql.replace("{emails}", EMAILS).replace("{mail_headers}", MAIL_HEADERS).replace("{attachments}", ATTACHMENTS)
     for name in TABLES:
         if "{" + name + "}" in sql:
             df = table(spark, sf_dir, name)
-            used[name] = spread(df, "doc_id") if name == "documents" else df
+            used[name] = spread(df, "doc_id") if name == "documents" and "text" in sql else df
     return spark.sql(sql, **used)
 
 

@@ -44,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative fits cut their lineage in the checkpoint folder; set one only where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -180,3 +180,13 @@ def test_importances(spark, hybrid):
     got = hybrid.boosted.importances(spark).collect()
     assert sum(r["importance"] for r in got) == pytest.approx(1.0)
     assert [r["feature"] for r in got][:9] == V.NUMERIC_FEATURES
+
+
+def test_stream_scores_equal_batch(spark, sf_dir, hybrid):
+    from mailsieve.functions import text as X
+    from mailsieve.functions.features import build_features
+
+    got = Q.QUERIES["w1_score_stream"](spark, sf_dir)
+    mail = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as email_id", "source as subject", "text as body")
+    want = hybrid.transform(build_features(mail, X.TRAINING)).select(got.columns)
+    assert got.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0

@@ -11,7 +11,7 @@ TWINS = entry.oracle_sql()
 NO_TWIN = {
     "s8_model_store", "k3_top_importances", "e6_text_vectors", "l1_logistic_regression", "l1_logistic_regression_char",
     "l2_random_forest", "l3_boosted_trees", "l4_fusion_network", "l5_hybrid_scoring", "x3_occlusion",
-    "x4_word_surrogate", "x5_structured_attribution", "x6_importances",
+    "x4_word_surrogate", "x5_structured_attribution", "x6_importances", "m5_model_robustness", "w1_score_stream",
 }
 
 
