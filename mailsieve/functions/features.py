@@ -9,17 +9,20 @@ from mailsieve import fixed_values as V
 from mailsieve.functions import text as X
 
 
-def extract_urls(c: Column, rules: X.TextRules = X.TRAINING) -> Column:
+def extract_urls(c: Column, rules: X.TextRules = X.TRAINING, lowered: Column | None = None) -> Column:
     """All URLs of a text, punctuation stripped at both ends."""
     found = F.transform(
         F.regexp_extract_all(c, F.lit(rules.url_pattern), F.lit(0)),
         lambda u: F.btrim(u, F.lit(V.URL_EDGE_CHARS)),
     )
-    return F.when(X.may_hold_url(c), found).otherwise(F.array().cast("array<string>"))
+    return F.when(X.may_hold_url(c, lowered), found).otherwise(F.array().cast("array<string>"))
 
 
-def has_defanged_url(c: Column) -> Column:
-    return F.rlike(c, F.lit(V.DEFANGED)).cast("int")
+def has_defanged_url(c: Column, lowered: Column | None = None) -> Column:
+    """One of the marks ``hxxp`` in any letter case, ``[.]`` or ``(.)``."""
+    low = F.lower(c) if lowered is None else lowered
+    marks = F.contains(low, F.lit("hxxp")) | F.contains(low, F.lit("[.]")) | F.contains(low, F.lit("(.)"))
+    return marks.cast("int")
 
 
 def word_count(c: Column) -> Column:
@@ -46,37 +49,45 @@ def detected_keywords(lowered: Column, keywords=V.SERVING_KEYWORDS) -> Column:
     return F.filter(words, lambda w: F.contains(lowered, w))
 
 
+# Frequent characters of mail text, most frequent first. The order only affects speed.
+_FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
+
+
 def entropy(c: Column, digits: int | None = 4) -> Column:
     """Shannon entropy in bits over the characters of a text.
 
-    H = log2(n) - sum(k * log2 k) / n over the counts k of the distinct characters. Each character is
-    removed in turn, and the length lost is its count; frequent characters tend to come first, so
-    the rest shrinks fast. Rows need no shuffle.
+    H = log2(n) - sum(k * log2 k) / n over the counts k of the distinct characters. Each character is removed in
+    turn and the bytes lost give its count: first the frequent letters, which leave little, then whatever
+    is left. Rows need no shuffle.
     """
     n = F.length(c).cast("double")
-    distinct = F.filter(F.array_distinct(F.split(c, "")), lambda ch: ch != "")
 
     def remove(acc: Column, ch: Column) -> Column:
-        step = F.array(F.struct(acc["total"].alias("total"), acc["rest"].alias("old"),
-                                F.replace(acc["rest"], ch, F.lit("")).alias("new")))
-        counted = F.transform(
-            step,
-            lambda s: F.struct(
-                s["new"].alias("rest"),
-                s["total"].alias("total"),
-                (F.length(s["old"]) - F.length(s["new"])).cast("double").alias("k"),
-            ),
+        step = F.struct(
+            F.octet_length(acc["rest"]).alias("bytes"),
+            F.octet_length(ch).alias("width"),
+            F.replace(acc["rest"], ch, F.lit("")).alias("rest"),
+            acc["total"].alias("total"),
         )
-        return F.transform(
-            counted,
-            lambda s: F.struct(
+
+        def add(s: Column) -> Column:
+            k = (s["bytes"] - F.octet_length(s["rest"])) / s["width"]
+            return F.struct(
                 s["rest"].alias("rest"),
-                (s["total"] + F.when(s["k"] > 0, s["k"] * F.log2(s["k"])).otherwise(F.lit(0.0))).alias("total"),
-            ),
-        )[0]
+                (s["total"] + F.when(k > 0, k * F.log2(k)).otherwise(F.lit(0.0))).alias("total"),
+            )
+
+        return F.transform(F.array(step), add)[0]
 
     start = F.struct(c.alias("rest"), F.lit(0.0).alias("total"))
-    bits = F.log2(n) - F.aggregate(distinct, start, remove)["total"] / n
+    frequent = F.aggregate(F.array(*[F.lit(ch) for ch in _FREQUENT]), start, remove)
+
+    def remaining(acc: Column) -> Column:
+        left = F.filter(F.array_distinct(F.split(acc["rest"], "")), lambda ch: ch != "")
+        return F.aggregate(left, acc, remove)
+
+    total = F.transform(F.array(frequent), remaining)[0]["total"]
+    bits = F.log2(n) - total / n
     if digits is not None:
         bits = X.round_even(bits, digits)
     # Rounding errors must not give a negative number or minus zero for one distinct character.
@@ -84,9 +95,11 @@ def entropy(c: Column, digits: int | None = 4) -> Column:
 
 
 def detect_language(c: Column) -> Column:
+    """Language tag by the scripts that occur; texts of plain ASCII need one test only."""
     sinhala, tamil, latin = (F.rlike(c, F.lit(p)) for p in (V.SINHALA, V.TAMIL, V.LATIN))
     return (
-        F.when(sinhala & latin, F.lit("CodeMixed_Sinhala_English"))
+        F.when((F.octet_length(c) == F.length(c)) & latin, F.lit("English"))
+        .when(sinhala & latin, F.lit("CodeMixed_Sinhala_English"))
         .when(tamil & latin, F.lit("CodeMixed_Tamil_English"))
         .when(sinhala, F.lit("Sinhala"))
         .when(tamil, F.lit("Tamil"))
@@ -111,40 +124,43 @@ def build_features(df: DataFrame, rules: X.TextRules = X.TRAINING) -> DataFrame:
     used, so the same function serves batches and streams. Each ``withColumns`` is one projection:
     later steps refer to the columns of earlier ones instead of repeating their work.
     """
-    blank = X.is_blank(F.col("subject")) & X.is_blank(F.col("body"))
-    staged = (
+    c = F.col
+    blank = X.is_blank(c("subject")) & X.is_blank(c("body"))
+    masked = (
         df.filter(~blank)
-        .withColumns({"subject": X.clean_html(F.col("subject")), "body": X.clean_html(F.col("body"))})
-        .withColumn("email_text", X.join_text(F.col("subject"), F.col("body")))
+        .withColumns({"subject": X.clean_html(c("subject")), "body": X.clean_html(c("body"))})
+        .withColumn("email_text", X.join_text(c("subject"), c("body")))
         .withColumn("_lower", F.lower("email_text"))
-        .withColumns(
-            {
-                "_urls": extract_urls(F.col("email_text"), rules),
-                # Subject and body are clean; only a tag that spans both can be left.
-                "_m1": F.when(F.contains("_lower", F.lit("<")), X.squeeze(X.drop_tags(F.col("_lower")))).otherwise(
-                    F.col("_lower")
-                ),
-            }
-        )
-        .withColumn("_m2", X.mask_addresses(F.col("_m1")))
-        .withColumn("_m3", X.mask_urls(F.col("_m2"), rules))
+        # Subject and body are clean; only a tag that spans both can be left.
         .withColumn(
-            "clean_email_text",
-            F.when(F.contains("_m3", F.lit("<")), X.squeeze(F.col("_m3"))).otherwise(F.trim("_m3")),
+            "_m1", F.when(F.contains("_lower", F.lit("<")), X.squeeze(X.drop_tags(c("_lower")))).otherwise(c("_lower"))
         )
+        .withColumn("_m2", X.mask_addresses(c("_m1")))
+        .withColumn("_m3", X.mask_urls(c("_m2"), rules, c("_m2")))
     )
-    return staged.withColumns(
+    # These stay in compiled code together; array functions are interpreted and follow in a projection of their own.
+    compiled = masked.withColumns(
         {
-            "extracted_urls": F.col("_urls"),
-            "url_count_extracted": F.size("_urls"),
-            "has_url": (F.size("_urls") > 0).cast("int"),
-            "has_defanged_url": has_defanged_url(F.col("email_text")),
+            # Marks bring blanks, so only marked texts need another squeeze.
+            "clean_email_text": F.when(F.contains("_m3", F.lit("<")), X.squeeze(c("_m3"))).otherwise(F.trim("_m3")),
+            "has_defanged_url": has_defanged_url(c("email_text"), c("_lower")),
             "text_char_count": F.length("email_text"),
-            "text_word_count": squeezed_word_count(F.col("email_text")),
+            "text_word_count": squeezed_word_count(c("email_text")),
             "subject_char_count": F.length("subject"),
             "body_char_count": F.length("body"),
-            "suspicious_keyword_count": keyword_count(F.col("_lower"), rules.keywords),
-            "email_entropy": entropy(F.col("clean_email_text")),
-            "detected_language": detect_language(F.col("email_text")),
+            "suspicious_keyword_count": keyword_count(c("_lower"), rules.keywords),
+            "detected_language": detect_language(c("email_text")),
+        }
+    )
+    arrays = compiled.withColumns(
+        {
+            "extracted_urls": extract_urls(c("email_text"), rules, c("_lower")),
+            "email_entropy": entropy(c("clean_email_text")),
+        }
+    )
+    return arrays.withColumns(
+        {
+            "url_count_extracted": F.size("extracted_urls"),
+            "has_url": (F.size("extracted_urls") > 0).cast("int"),
         }
-    ).drop("_urls", "_lower", "_m1", "_m2", "_m3")
+    ).drop("_lower", "_m1", "_m2", "_m3")

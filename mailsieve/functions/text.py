@@ -21,8 +21,9 @@ class TextRules:
 TRAINING = TextRules(tuple(V.TRAINING_KEYWORDS), V.TRAINING_URL)
 SERVING = TextRules(tuple(V.SERVING_KEYWORDS), V.SERVING_URL)
 
-# A run of white space that is not a lone blank: single blanks need no rewrite.
-_RUN_TO_SQUEEZE = rf"[{V.WS}&&[^ ]][{V.WS}]*| [{V.WS}]+"
+# A run of white space that is not a lone blank: single blanks need no rewrite. The engine's own class is
+# faster than the spelled out one; it lacks four separators only.
+_RUN_TO_SQUEEZE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 
 
 def round_even(c: Column, digits: int) -> Column:
@@ -53,17 +54,18 @@ def join_text(subject: Column, body: Column) -> Column:
     return F.trim(F.concat(subject, F.lit(" "), body))
 
 
-def may_hold_url(c: Column) -> Column:
+def may_hold_url(c: Column, lowered: Column | None = None) -> Column:
     """Every URL pattern needs one of these substrings."""
-    return F.contains(c, F.lit("://")) | F.contains(F.lower(c), F.lit("www."))
+    low = F.lower(c) if lowered is None else lowered
+    return F.contains(c, F.lit("://")) | F.contains(low, F.lit("www."))
 
 
 def mask_addresses(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, V.EMAIL_ADDRESS, " <EMAIL> ")).otherwise(c)
 
 
-def mask_urls(c: Column, rules: TextRules = TRAINING) -> Column:
-    return F.when(may_hold_url(c), F.regexp_replace(c, rules.url_pattern, " <URL> ")).otherwise(c)
+def mask_urls(c: Column, rules: TextRules = TRAINING, lowered: Column | None = None) -> Column:
+    return F.when(may_hold_url(c, lowered), F.regexp_replace(c, rules.url_pattern, " <URL> ")).otherwise(c)
 
 
 def normalize_for_model(c: Column, rules: TextRules = TRAINING) -> Column:
@@ -71,7 +73,7 @@ def normalize_for_model(c: Column, rules: TextRules = TRAINING) -> Column:
     lowered = F.lower(clean_html(c))
     # One element arrays give each step a name, so that no step is computed twice.
     steps = F.transform(F.array(lowered), mask_addresses)
-    steps = F.transform(steps, lambda t: mask_urls(t, rules))
+    steps = F.transform(steps, lambda t: mask_urls(t, rules, t))
     return squeeze(steps[0])
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
     StopWordsRemover, StringIndexer, VectorAssembler, VectorSizeHint, Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -112,6 +112,23 @@ def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
     )
 
 
+def char_gram_counts(df: DataFrame, text: str = V.TEXT_COLUMN) -> DataFrame:
+    """``gram_counts`` of the character n-grams of a text column, by way of its words.
+
+    Occurrences come from the counts of the words, which combine well before the shuffle; documents come
+    from the distinct words of each text. Both passes read the text, so a computed text should be written first.
+    """
+    words = F.filter(F.split(squeeze(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    per_word = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("o"))
+    occurrences = per_word.select(F.explode(char_wb_grams(F.col("w"))).alias("gram"), zero.alias("d"), "o")
+    once = char_wb_grams(F.array_join(F.array_distinct(words), " "))
+    documents = df.select(F.explode(F.array_distinct(once)).alias("gram"), one.alias("d"), zero.alias("o"))
+    return occurrences.unionByName(documents).groupBy("gram").agg(
+        F.sum("d").alias("documents"), F.sum("o").alias("occurrences")
+    )
+
+
 def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams", stop_words=None) -> DataFrame:
     """Words of at least two characters without stop words, then single words and neighbouring pairs."""
     tokens = RegexTokenizer(
@@ -124,22 +141,23 @@ def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams",
     return pairs.withColumn(output, F.concat("_kept", "_pairs")).drop("_tokens", "_kept", "_pairs")
 
 
-def vocabulary(df: DataFrame, grams: Column, size: int) -> DataFrame:
-    """The ``size`` most frequent grams with their counts."""
-    return gram_counts(df, grams).orderBy(F.desc("occurrences"), "gram").limit(size)
+def vocabulary(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` most frequent grams."""
+    return counts.orderBy(F.desc("occurrences"), "gram").limit(size)
 
 
-def fit_tfidf(df: DataFrame, grams: str, vocabulary: int, output: str = "tfidf") -> PipelineModel:
+def fit_tfidf(counts: DataFrame, rows: int, size: int, grams: str = "grams", output: str = "tfidf") -> PipelineModel:
     """TF-IDF with idf = ln((n + 1) / (df + 1)) + 1 and unit length rows, as one savable model.
 
-    The fitted inverse document frequencies plus one become an element-wise product.
+    Vocabulary and weights come from one table of gram counts; only its ``size`` most frequent rows
+    reach the driver.
     """
-    counts = CountVectorizer(inputCol=grams, outputCol="_counts", vocabSize=vocabulary).fit(df)
-    idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counts.transform(df))
-    weights = Vectors.dense([float(x) + 1.0 for x in idf.idf.toArray()])
+    top = vocabulary(counts, size).collect()
+    names = [r["gram"] for r in top]
+    weights = Vectors.dense([math.log((rows + 1) / (r["documents"] + 1)) + 1.0 for r in top])
     return PipelineModel(
         stages=[
-            counts,
+            CountVectorizerModel.from_vocabulary(names, inputCol=grams, outputCol="_counts"),
             ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"),
             Normalizer(p=2.0, inputCol="_weighted", outputCol=output),
             SQLTransformer(statement="SELECT * EXCEPT (_counts, _weighted) FROM __THIS__"),

@@ -77,7 +77,11 @@ def _fit_text_model(train: DataFrame, analyzer: str, vocabulary: int, make_class
     weighted = T.with_balanced_weight(train)
     classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
     structured = N.StructuredEncoder().fit(train)
-    tfidf = N.fit_tfidf(_grams(train, analyzer), "grams", vocabulary)
+    if analyzer == "char":
+        counts = N.char_gram_counts(train)
+    else:
+        counts = N.gram_counts(_grams(train, analyzer), F.col("grams"))
+    tfidf = N.fit_tfidf(counts, train.count(), vocabulary)
     ensure_checkpoint_dir(train.sparkSession)
     encoded = _text_features(weighted, analyzer, structured, tfidf).select(
         "_x", "weight", class_id(V.TARGET_COLUMN, classes).alias("_id")

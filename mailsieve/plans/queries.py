@@ -894,13 +894,13 @@ def e2_one_hot(spark, sf):
 @query
 def e3_word_grams(spark, sf):
     grams = N.word_grams(feats(spark, sf).select("email_id", V.TEXT_COLUMN), stop_words=V.OCCLUSION_STOP_WORDS)
-    return N.vocabulary(grams, c("grams"), 5000)
+    return N.vocabulary(N.gram_counts(grams, c("grams")), 5000)
 
 
 @query
 def e4_char_grams(spark, sf):
-    f = feats(spark, sf).select("email_id", V.TEXT_COLUMN)
-    return N.vocabulary(f, N.char_wb_grams(c(V.TEXT_COLUMN)), 2000)
+    f = materialize(feats(spark, sf).select(V.TEXT_COLUMN), "texts")
+    return N.vocabulary(N.char_gram_counts(f), 2000)
 
 
 @query

@@ -72,7 +72,7 @@ def test_scored_mail(spark, sf_dir, hybrid):
 
 def test_unit_length_and_smooth_idf(spark):
     df = spark.createDataFrame([(["a", "a", "b"],), (["a"],)], "g array<string>")
-    model = N.fit_tfidf(df, "g", 10)
+    model = N.fit_tfidf(N.gram_counts(df, F.col("g")), 2, 10, "g")
     vectors = [r["tfidf"].toArray() for r in model.transform(df).collect()]
     idf_b = np.log(3 / 2) + 1
     want = np.array([2.0, idf_b]) / np.hypot(2.0, idf_b)
@@ -80,6 +80,13 @@ def test_unit_length_and_smooth_idf(spark):
     assert model.transform(df).columns == ["g", "tfidf"]
 
 
+def test_both_ways_to_count_grams(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias(V.TEXT_COLUMN))
+    by_word = N.char_gram_counts(texts)
+    direct = N.gram_counts(texts, N.char_wb_grams(F.col(V.TEXT_COLUMN)))
+    assert by_word.exceptAll(direct).count() == direct.exceptAll(by_word).count() == 0
+
+
 def test_external_encoder_hook(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], f"id int, {V.TEXT_COLUMN} string")
     got = N.encode_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("id").collect()
