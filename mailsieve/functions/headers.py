@@ -30,7 +30,8 @@ def display_name_of(header: Column) -> Column:
 
 def address_list(header: Column) -> Column:
     """Array of struct(display_name, address); entries without an address are skipped."""
-    pieces = F.split(F.coalesce(header, F.lit("")), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    # Text between commas, where quoted parts may hold commas; one pass over the longest of lists.
+    pieces = F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit(r'(?:[^,"]++|"[^"]*+")++'), F.lit(0))
     parsed = F.transform(
         pieces, lambda p: F.struct(display_name_of(p).alias("display_name"), address_of(p).alias("address"))
     )

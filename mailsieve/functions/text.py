@@ -41,9 +41,25 @@ def clean_basic(c: Column) -> Column:
     return squeeze(F.coalesce(c.cast("string"), F.lit("")))
 
 
+def _before_last_close(c: Column, change) -> Column:
+    """Apply ``change`` up to the last ``>``.
+
+    No tag can start behind it, and a pattern that looks for the end of a tag from every ``<`` there would
+    take time quadratic in the length of a hostile text.
+    """
+    cut = F.transform(F.array(c), lambda t: F.struct(t.alias("t"), F.substring_index(t, ">", -1).alias("tail")))
+    return F.transform(
+        cut,
+        lambda s: F.concat(
+            change(F.substring(s["t"], F.lit(1), F.length(s["t"]) - F.length(s["tail"]))), s["tail"]
+        ),
+    )[0]
+
+
 def drop_tags(c: Column) -> Column:
     # The cheap substring test spares the regular expression on the many texts without tags.
-    return F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, V.HTML_TAG, " ")).otherwise(c)
+    replaced = _before_last_close(c, lambda t: F.regexp_replace(t, V.HTML_TAG, " "))
+    return F.when(F.contains(c, F.lit("<")), replaced).otherwise(c)
 
 
 def clean_html(c: Column) -> Column:
@@ -60,8 +76,16 @@ def may_hold_url(c: Column, lowered: Column | None = None) -> Column:
     return F.contains(c, F.lit("://")) | F.contains(low, F.lit("www."))
 
 
+# The address pattern of the fixed values in a form that tries each run of address characters once: the match
+# starts at the first word boundary of the run, which goes on to its end. Letter case as in Unicode.
+_ADDRESS_CHARS = "[a-z0-9._%+-]"
+_ADDRESS = (
+    rf"(?iu)(?<!{_ADDRESS_CHARS})((?>{_ADDRESS_CHARS}*?\b)){_ADDRESS_CHARS}++@[a-z0-9.-]+\.[a-z]{{2,}}\b"
+)
+
+
 def mask_addresses(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, V.EMAIL_ADDRESS, " <EMAIL> ")).otherwise(c)
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, _ADDRESS, "$1 <EMAIL> ")).otherwise(c)
 
 
 def mask_urls(c: Column, rules: TextRules = TRAINING, lowered: Column | None = None) -> Column:
@@ -224,9 +248,12 @@ def html_to_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", "")
     for tag in ("script", "style"):
         t = F.regexp_replace(t, rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?(?:</{tag}(?=[\s/>])[^>]*>|\z)", "")
-    t = F.regexp_replace(t, r"<[!?][^>]*>", "")
-    t = F.regexp_replace(t, _BLOCK, "\n")
-    t = F.regexp_replace(t, _OTHER_TAG, "")
+    t = _before_last_close(
+        t,
+        lambda h: F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(h, r"<[!?][^>]*>", ""), _BLOCK, "\n"), _OTHER_TAG, ""
+        ),
+    )
     t = F.transform(F.array(t), decode_entities)[0]
     t = F.regexp_replace(t, rf"[{V.WS}&&[^{V.LINE_SEP}]]+", " ")
     t = F.regexp_replace(t, rf" ?[{V.LINE_SEP}][ {V.LINE_SEP}]*", "\n")

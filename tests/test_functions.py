@@ -42,7 +42,7 @@ def test_normalize_masks_addresses_before_urls(spark):
 
 
 @settings(max_examples=1, deadline=None)
-@given(st.lists(st.text(alphabet="ab <>@.:/\n\t\xa0wW" + SINHALA, max_size=60), min_size=200, max_size=300))
+@given(st.lists(st.text(alphabet="abc <>@@..:/\n\t\xa0wWé-_%+" + SINHALA, max_size=60), min_size=400, max_size=500))
 def test_clean_and_normalize_against_plain_python(spark, texts):
     def clean(t):
         return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", t)).strip()
@@ -191,6 +191,27 @@ def test_html_to_text_survives_many_quotes(spark):
     assert values(spark, [page], X.html_to_text)[0].startswith("t")
 
 
+def test_hostile_texts_take_linear_time(spark):
+    import time
+
+    n = 300_000
+    texts = ["<" * n, "a." * n + "@", "@" + "a." * n, "<a '" * n, "<!" * n, "a@" * n, " \n" * n + "x", "1-" * n + "@b", "x" * n + "@a.bc"]
+    start = time.time()
+    values(spark, texts, lambda c: F.length(X.normalize_for_model(c)))
+    values(spark, texts, lambda c: F.length(X.html_to_text(c)))
+    many = ",".join(f'"A, {i}" <u{i}@x.test>' for i in range(20_000))
+    assert len(values(spark, [many], H.address_list)[0]) == 20_000
+    assert time.time() - start < 60
+
+
+def test_addresses_in_odd_places(spark):
+    import re
+
+    texts = ["--a@b.co", "éabc.def@x.co", "a_b@c.dd.e", "_@x.yz", ".@x.yz", "a@b@c.de", "x@-.aa", "a@b.c1 a@b.cd", "%a@b.co.", "é@b.co"]
+    pattern = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
+    assert values(spark, texts, X.mask_addresses) == [re.sub(pattern, " <EMAIL> ", t) for t in texts]
+
+
 def test_character_grams(spark):
     def plain(text, low=3, high=5):
         out = []
