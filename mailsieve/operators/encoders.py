@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StandardScaler,
     StopWordsRemover, StringIndexer, VectorAssembler, VectorSizeHint, Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -131,14 +131,18 @@ def char_gram_counts(df: DataFrame, text: str = V.TEXT_COLUMN) -> DataFrame:
 
 def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams", stop_words=None) -> DataFrame:
     """Words of at least two characters without stop words, then single words and neighbouring pairs."""
-    tokens = RegexTokenizer(
-        inputCol=text, outputCol="_tokens", gaps=False, pattern=r"[\p{L}\p{N}_]{2,}", toLowercase=True
-    ).transform(df)
-    remover = StopWordsRemover(inputCol="_tokens", outputCol="_kept")
-    if stop_words is not None:
-        remover.setStopWords(list(stop_words))
-    pairs = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(remover.transform(tokens))
-    return pairs.withColumn(output, F.concat("_kept", "_pairs")).drop("_tokens", "_kept", "_pairs")
+    if stop_words is None:
+        stop_words = StopWordsRemover.loadDefaultStopWords("english")
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    kept = F.array(F.filter(words, lambda w: ~w.isin(list(stop_words))))
+
+    def with_pairs(ws: Column) -> Column:
+        following = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
+        # The last word has no neighbour and gives null.
+        pairs = F.zip_with(ws, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(ws, F.filter(pairs, lambda p: p.isNotNull()))
+
+    return df.withColumn(output, F.transform(kept, with_pairs)[0])
 
 
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:

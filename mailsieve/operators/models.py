@@ -290,11 +290,16 @@ def check_width(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 def fit_hybrid(
     train: DataFrame, embedding_size=64, rounds=300, depth=5, hidden=(512, 256, 128), max_iter=40,
-    encoder_rows=10_000, seed=V.SEED,
+    encoder_rows=10_000, seed=V.SEED, encoder=None,
 ) -> HybridModel:
-    """Fit the three parts in turn; the network sees rows repeated by balanced class weight."""
+    """Fit the three parts in turn; the network sees rows repeated by balanced class weight.
+
+    ``train`` is read several times, so a computed table should be written first. ``encoder`` may be any
+    transformer that adds ``embedding_vector`` of ``embedding_size`` components; by default one is fitted.
+    """
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
-    encoder = N.fit_text_encoder(train, size=embedding_size, fit_rows=encoder_rows)
+    if encoder is None:
+        encoder = N.fit_text_encoder(train, size=embedding_size, fit_rows=encoder_rows)
     boosted = fit_boosted_trees(train, rounds=rounds, depth=depth, seed=seed)
     model = HybridModel(encoder, boosted, None, None)
     fused = _fusion_vector(model.branches(train)).select(

@@ -653,6 +653,9 @@ oracle("m3_report", ["scores"], REPORT)
 oracle("m4_macro_f1", ["scores"], f"select {even('avg(f1)', 9)} as macro_f1 from scores")
 oracle("m5_robustness", ["predictions"], f"""select attack_type, count(*) as rows, count(*) filter (category = prediction) as correct_rows,
   {even('avg((category = prediction)::int::double)', 4)} as accuracy, {even('avg(' + even('confidence', 4) + ')', 4)} as mean_confidence from predictions group by 1""")
+cte("attack_scores", ["predictions"], class_table("predictions", "attack_type"))
+oracle("m4_summary_by_attack", ["attack_scores"], f"""select attack_type, sum(support)::bigint as rows,
+  {even('sum(hits)::double / sum(support) * 100', 2)} as accuracy, {even('avg(f1)', 3)} as macro_f1 from attack_scores group by 1""")
 cte("model_rows", ["predictions"], """select 'fusion' as model, category, prediction from predictions union all select 'majority', category, 'Legitimate' from predictions
 union all select 'by_parity', category, case when email_id % 2 = 0 then category else 'Spam' end from predictions""")
 cte("model_scores", ["model_rows"], class_table("model_rows", "model"))

@@ -790,6 +790,11 @@ def m5_robustness(spark, sf):
     return M.robustness_by_attack(predictions(spark, sf))
 
 
+@query
+def m4_summary_by_attack(spark, sf):
+    return M.summary_by(predictions(spark, sf), ["attack_type"])
+
+
 def model_results(spark, sf):
     p = predictions(spark, sf)
     return {
