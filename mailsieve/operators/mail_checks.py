@@ -96,7 +96,10 @@ def security_features(headers: DataFrame, attachments: DataFrame, key="email_id"
 
 
 def add_header_risk(checked: DataFrame) -> DataFrame:
-    """Add score, level and warnings to rows with mismatch flags, authentication and attachment points."""
+    """Add score, level and warnings to rows with mismatch flags, authentication and attachment points.
+
+    Points and sentences are fixed values.
+    """
     c = F.col
     rules = [
         (c("from_replyto_mismatch") == 1, 1, F.lit("The From and Reply-To domains do not match.")),

@@ -948,7 +948,7 @@ _fitted: dict[tuple, D.HybridModel] = {}
 
 def split_features(spark, sf):
     """Features with their split, written once: fitting and scoring read them many times."""
-    f = feats(spark, sf).select("email_id", "subject", "body", "category", V.TEXT_COLUMN, *V.STRUCTURED_COLUMNS)
+    f = feats(spark, sf).select("email_id", "category", V.TEXT_COLUMN, *V.STRUCTURED_COLUMNS)
     return materialize(T.stratified_split(f), "split-features")
 
 

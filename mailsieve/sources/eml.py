@@ -63,7 +63,7 @@ def _part(no: int, part) -> dict:
     kind = part.get_content_type().lower()
     payload = part.get_payload(decode=True) or b""
     text = None
-    if kind in ("text/plain", "text/html"):
+    if kind in ("text/plain", "text/html") and not part.is_multipart():
         try:
             text = payload.decode(part.get_content_charset() or "ascii", errors="replace")
         except LookupError:
@@ -80,7 +80,8 @@ def _decode(content: bytes) -> dict:
     row = {column: _header(message.get(name)) for column, name in _SINGLE.items()}
     row.update({column: [_header(v) for v in message.get_all(name, [])] for column, name in _MANY.items()})
     row["received_count"] = len(message.get_all("Received", []))
-    row["parts"] = [_part(i, p) for i, p in enumerate(p for p in message.walk() if not p.is_multipart())]
+    # Containers come too: an attached message is one, and counts as an attachment.
+    row["parts"] = [_part(i, p) for i, p in enumerate(message.walk())]
     return row
 
 
@@ -124,7 +125,7 @@ def body_columns(parts: Column) -> dict[str, Column]:
     """Body, its source and whether HTML was present: all plain parts, else the HTML parts as text."""
 
     def texts(kind: str, clean) -> Column:
-        chosen = F.filter(parts, lambda p: ~_attached(p) & (F.lower(p["content_type"]) == kind))
+        chosen = F.filter(parts, lambda p: ~_attached(p) & (p["content_type"] == kind) & p["text"].isNotNull())
         return F.filter(F.transform(chosen, lambda p: clean(p["text"])), lambda t: t != "")
 
     plain, html = texts("text/plain", X.normalize_lines), texts("text/html", X.html_to_text)

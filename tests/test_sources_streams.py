@@ -117,6 +117,17 @@ def test_other_bodies(mailbox):
     assert mailbox["html.eml"]["warnings"] == ["No SPF, DKIM, or DMARC result was found in the visible headers."]
 
 
+def test_attached_message(spark):
+    raw = (
+        b"Subject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=c\n\n--c\nContent-Type: text/plain\n\nouter\n"
+        b"--c\nContent-Type: message/rfc822\nContent-Disposition: attachment; filename=f.eml\n\nSubject: in\n\ninner\n--c--\n"
+    )
+    files = spark.createDataFrame([("a.eml", len(raw), raw)], "path string, length long, content binary")
+    r = eml.parse_mail(files).first()
+    assert [x["filename"] for x in r["attachments"]] == ["f.eml"]
+    assert r["body"] == "outer\n\ninner"
+
+
 # --- streams ---------------------------------------------------------------------
 
 
