@@ -137,6 +137,7 @@ def test_ip_addresses(spark):
     hosts = [
         "1.2.3.4", "256.1.1.1", "01.2.3.4", "1.2.3", "::1", "::", "2001:db8::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "a.b",
         "1::2::3", "fe80::", "12345::", "", "1:2:3:4:5:6:7::",
+        "::ffff:1.2.3.4", "1::2:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3", "fe80::1%eth0", "::%", "1.2.3.4%x",
     ]
     assert values(spark, hosts, U.is_ip_address) == [plain(h) for h in hosts]
 
@@ -241,3 +242,31 @@ def test_empty_mail_is_dropped(spark):
 def test_round_even(spark):
     got = spark.sql("select explode(array(0.125D, 0.375D, 2.5D, -0.125D)) as x").select(X.round_even(F.col("x"), 2).alias("v"))
     assert [r["v"] for r in got.collect()] == [pytest.approx(v) for v in (0.12, 0.38, 2.5, -0.12)]
+
+
+def test_domains_against_the_standard_parser(spark):
+    import random
+    from urllib.parse import urlparse
+
+    rng = random.Random(1)
+    pieces = ["http://", "HTTPS://", "hxxp://", "hxxps://", "www.", "WWW.", "a", "b.c", "@", ":", "80", "/", "?", "#", "[.]", "(.)",
+              "[", "]", "::1", "[::1]", "[v1.x]", "[::1.2.3.4]", "-", "é", "1.2.3.4", "ftp://", "1x://", "//"]
+    urls = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(1500)]
+
+    def refang(u):
+        u = re.sub(r"(?i)^hxxps://", "https://", u.strip())
+        u = re.sub(r"(?i)^hxxp://", "http://", u).replace("[.]", ".").replace("(.)", ".")
+        return "http://" + u if u.lower().startswith("www.") else u
+
+    def domain(u):
+        try:
+            return urlparse(u).netloc or "Unknown"
+        except ValueError:
+            return "Unknown"
+
+    normalized = [refang(u) for u in urls]
+    assert values(spark, urls, U.refang) == normalized
+    got = values(spark, normalized, U.extract_domain)
+    odd = [(u, g, domain(u)) for u, g in zip(normalized, got) if g != domain(u)]
+    # Without a scheme the standard parser reads an authority after a leading ``//``.
+    assert [o for o in odd if not o[0].startswith("//")] == []
