@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from mailsieve import fixed_values as V
 from mailsieve.functions import text as X
 
-_ANGLE = r"<([^<>]*)>"
+_ANGLE = r"<([^<>]*)(?:>|$)"
+# A group or scheme name in front of an address, as in ``Team: a@b;`` or ``mailto:a@b``.
+_PREFIX = r'^[^"@<]*:'
 
 
 def address_of(header: Column) -> Column:
     """Lower-case address of ``Name <address>``, ``address (Name)`` or a bare address."""
     h = F.coalesce(header, F.lit(""))
     bare = X.strip_ws(F.regexp_replace(h, r"\([^()]*\)", " "))
+    bare = F.regexp_replace(F.regexp_replace(bare, _PREFIX, ""), rf"[{V.WS}]*@[{V.WS}]*", "@")
+    bare = F.btrim(bare, F.lit(V.WS_CHARS + ";"))
     bare = F.when(F.rlike(bare, F.lit(rf"[{V.WS}]")), F.lit("")).otherwise(bare)
     return F.lower(
         F.when(F.rlike(h, F.lit(_ANGLE)), X.strip_ws(F.regexp_extract(h, _ANGLE, 1))).otherwise(bare)
@@ -23,7 +27,8 @@ def address_of(header: Column) -> Column:
 
 def display_name_of(header: Column) -> Column:
     h = F.coalesce(header, F.lit(""))
-    before = F.btrim(F.regexp_extract(h, r"^([^<]*)<", 1), F.lit(V.WS_CHARS + '"'))
+    before = F.regexp_replace(F.regexp_extract(h, r"^([^<]*)<", 1), _PREFIX, "")
+    before = F.regexp_replace(F.btrim(before, F.lit(V.WS_CHARS + '"')), r"\\(.)", "$1")
     comment = X.strip_ws(F.regexp_extract(h, r"\(([^()]*)\)", 1))
     return F.when(F.rlike(h, F.lit(_ANGLE)), before).otherwise(comment)
 

@@ -151,6 +151,18 @@ def test_addresses(spark):
     assert values(spark, ["a@b@C.d", "none", "x@[1.2.3.4]"], H.domain_of_address) == ["c.d", "", "1.2.3.4"]
 
 
+def test_addresses_against_the_standard_library(spark):
+    from email.utils import getaddresses
+
+    headers = [
+        "Ann Lee <ann@x.org>", '"Lee, Ann" <Ann@X.org>', " ann@x.org ", "ann@x.org (Ann Lee)", "undisclosed-recipients:;",
+        "a@b, c@d", "Team: a@b, Bo <c@d>;", "mailto:ann@x.org", "ann @ x.org", "Ann <ann@x.org", "Foo (bar) <f@x>", "<>", "",
+        "J\u00fcrgen <j@x.de>, O'Neil <o@x>", "Ann<ann@x.org>",
+    ]
+    want = [[(n.strip(), a.strip().lower()) for n, a in getaddresses([h]) if a.strip()] for h in headers]
+    assert [[tuple(a) for a in v] for v in values(spark, headers, H.address_list)] == want
+
+
 def test_authentication(spark):
     texts = ["spf=pass", "mx; SPF = SoftFail", "xspf=pass", "", None]
     assert values(spark, texts, lambda c: H.auth_result(c, "spf")) == ["pass", "softfail", "unknown", "unknown", "unknown"]
