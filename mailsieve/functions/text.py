@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -196,50 +197,64 @@ _TAG_TAIL = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
 _BLOCK = r"(?i)</?(?:" + "|".join(V.BLOCK_TAGS) + r")(?=[\s/>])" + _TAG_TAIL
 _OTHER_TAG = r"</?[a-zA-Z]" + _TAG_TAIL
 
-# Named character references that occur in mail bodies.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©",
-    "&reg;": "®", "&trade;": "™", "&euro;": "€", "&pound;": "£", "&ndash;": "–",
-    "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&laquo;": "«", "&raquo;": "»",
-    "&eacute;": "é", "&egrave;": "è", "&ecirc;": "ê", "&agrave;": "à",
-    "&ccedil;": "ç", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&szlig;": "ß",
-    "&ntilde;": "ñ",
-}
-
-
-def _decode_numeric(c: Column) -> Column:
-    """``&#39;`` and ``&#x27;`` become their characters."""
-
-    def one(piece: Column, i: Column) -> Column:
-        body = F.regexp_extract(piece, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 0)
-        digits = F.expr("null").cast("string")
-        digits = F.when(body == "", digits).when(
-            F.lower(F.substring(body, 1, 1)) == "x", F.conv(F.regexp_replace(body, "[xX;]", ""), 16, 10)
-        ).otherwise(F.regexp_replace(body, ";", ""))
-        code = digits.cast("int")
-        usable = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        tail = F.substring(piece, F.length(body) + 1, F.length(piece))
+# Named character references from the standard library's tables: those of HTML 4, and the old names that are
+# also read without their semicolon.
+_OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+NAMED_ENTITIES = {name: html5[f"{name};"] for name in sorted({*name2codepoint, *_OLD_NAMES, "apos"})}
+# References to control positions mean the characters of the Windows code page.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_CONTROLS_MEANT = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
+_NUMERIC = r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+_NAMED = r"^([A-Za-z][A-Za-z0-9]{1,31});"
+_OLD = "^(" + "|".join(_OLD_NAMES) + ")"
+
+
+def _number_char(code: Column) -> Column:
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127), F.lit(""))
+        .otherwise(F.translate(char, _CONTROLS, _CONTROLS_MEANT))
+    )
+
+
+def _decode_once(c: Column) -> Column:
+    """Each piece behind an ``&`` may open with a reference: ``amp;``, ``#39;`` or ``#x27;``."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+
+    def found(piece: Column) -> Column:
+        return F.struct(
+            piece.alias("piece"),
+            F.regexp_extract(piece, _NUMERIC, 0).alias("number"),
+            F.regexp_extract(piece, _NAMED, 1).alias("name"),
+            F.regexp_extract(piece, _OLD, 1).alias("old"),
+        )
+
+    def decoded(s: Column, i: Column) -> Column:
+        piece, number, name = s["piece"], s["number"], s["name"]
+        hexadecimal = F.lower(F.substring(number, 2, 1)) == "x"
+        digits = F.regexp_replace(number, "[#xX;]", "")
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        named = F.try_element_at(names, name)
+
+        def rest(size: Column) -> Column:
+            return F.substring(piece, size + 1, F.length(piece))
+
         return (
             F.when(i == 0, piece)
-            .when(body == "", F.concat(F.lit("&#"), piece))
-            .when(usable, F.concat(char, tail))
-            .otherwise(F.concat(F.lit("�"), tail))
+            .when(number != "", F.concat(_number_char(code), rest(F.length(number))))
+            .when(named.isNotNull(), F.concat(named, rest(F.length(name) + 1)))
+            .when(s["old"] != "", F.concat(F.try_element_at(names, s["old"]), rest(F.length(s["old"]))))
+            .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    return F.when(
-        F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#"), one), "")
-    ).otherwise(c)
+    pieces = F.transform(F.split(c, "&"), found)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
     """References are decoded twice, as a parser that decodes and a later decoding step do."""
-    named = F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
-    for entity, char in NAMED_ENTITIES.items():
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    decoded = F.transform(F.array(named), _decode_numeric)[0]
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    return F.transform(F.transform(F.array(c), _decode_once), _decode_once)[0]
 
 
 def html_to_text(c: Column) -> Column:
@@ -254,7 +269,7 @@ def html_to_text(c: Column) -> Column:
             F.regexp_replace(F.regexp_replace(h, r"<[!?][^>]*>", ""), _BLOCK, "\n"), _OTHER_TAG, ""
         ),
     )
-    t = F.transform(F.array(t), decode_entities)[0]
+    t = decode_entities(t)
     t = F.regexp_replace(t, rf"[{V.WS}&&[^{V.LINE_SEP}]]+", " ")
     t = F.regexp_replace(t, rf" ?[{V.LINE_SEP}][ {V.LINE_SEP}]*", "\n")
     return F.btrim(t, F.lit(" \n"))

@@ -282,3 +282,44 @@ def test_domains_against_the_standard_parser(spark):
     odd = [(u, g, domain(u)) for u, g in zip(normalized, got) if g != domain(u)]
     # Without a scheme the standard parser reads an authority after a leading ``//``.
     assert [o for o in odd if not o[0].startswith("//")] == []
+
+
+def test_html_against_the_standard_parser(spark):
+    import html
+    import random
+    from html.parser import HTMLParser
+
+    class Events(HTMLParser):
+        """Records (kind, value) and leaves the reading to the test."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.seen = []
+            self.handle_starttag = lambda tag, attrs: self.seen.append(("open", tag))
+            self.handle_endtag = lambda tag: self.seen.append(("close", tag))
+            self.handle_data = lambda data: self.seen.append(("text", data))
+
+    def plain(page):
+        events = Events()
+        events.feed(page)
+        events.close()
+        text, hidden = "", False
+        for kind, value in events.seen:
+            if kind != "text" and value in ("script", "style"):
+                hidden = kind == "open"
+            elif kind != "text":
+                text += "\n" if value in V.BLOCK_TAGS else ""
+            elif not hidden:
+                text += value
+        rows = (" ".join(row.split()) for row in html.unescape(text).splitlines())
+        return "\n".join(row for row in rows if row)
+
+    pieces = [
+        "<p>", "</p>", "<br/>", "<b>", "</b>", "<a href='x>y'>", '<a href="q">', "text ", " &amp; ", "&lt;", "&#39;", "&#x41;",
+        "&nbsp;", "\n", "<script>a<b</script>", "<style>p{}</style>", "<!-- c -->", "<!DOCTYPE html>", "< 5", "<div class=x>",
+        "</div >", "<pre>", "é", "&eacute;", "&unknown;", "&middot;", "&#150;", "&#146", "&#0;", "&#1;", "&#128512;", "&AMP;",
+        "&notit;", "&copyx", "&eacute", "&euro;", "&amp;eacute;", "&amp;#65;", "&;", "&#;", "<LI>", "<tr><td>1</td></tr>", "<svg/>",
+    ]
+    rng = random.Random(3)
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    assert values(spark, pages, X.html_to_text) == [plain(p) for p in pages]
