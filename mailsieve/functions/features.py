@@ -62,32 +62,29 @@ def entropy(c: Column, digits: int | None = 4) -> Column:
     """
     n = F.length(c).cast("double")
 
+    def weight(acc: Column) -> Column:
+        """k * log2(k) of the character removed last."""
+        k = (acc["bytes"] - F.octet_length(acc["rest"])) / acc["width"]
+        return k * F.log2(F.greatest(k, F.lit(1.0)))
+
     def remove(acc: Column, ch: Column) -> Column:
-        step = F.struct(
+        return F.struct(
+            F.replace(acc["rest"], ch, F.lit("")).alias("rest"),
             F.octet_length(acc["rest"]).alias("bytes"),
             F.octet_length(ch).alias("width"),
-            F.replace(acc["rest"], ch, F.lit("")).alias("rest"),
-            acc["total"].alias("total"),
+            (acc["total"] + weight(acc)).alias("total"),
         )
 
-        def add(s: Column) -> Column:
-            k = (s["bytes"] - F.octet_length(s["rest"])) / s["width"]
-            return F.struct(
-                s["rest"].alias("rest"),
-                (s["total"] + F.when(k > 0, k * F.log2(k)).otherwise(F.lit(0.0))).alias("total"),
-            )
-
-        return F.transform(F.array(step), add)[0]
-
-    start = F.struct(c.alias("rest"), F.lit(0.0).alias("total"))
+    start = F.struct(
+        c.alias("rest"), F.octet_length(c).alias("bytes"), F.lit(1).alias("width"), F.lit(0.0).alias("total")
+    )
     frequent = F.aggregate(F.array(*[F.lit(ch) for ch in _FREQUENT]), start, remove)
 
     def remaining(acc: Column) -> Column:
         left = F.filter(F.array_distinct(F.split(acc["rest"], "")), lambda ch: ch != "")
-        return F.aggregate(left, acc, remove)
+        return F.aggregate(left, acc, remove, lambda end: end["total"] + weight(end))
 
-    total = F.transform(F.array(frequent), remaining)[0]["total"]
-    bits = F.log2(n) - total / n
+    bits = F.log2(n) - F.transform(F.array(frequent), remaining)[0] / n
     if digits is not None:
         bits = X.round_even(bits, digits)
     # Rounding errors must not give a negative number or minus zero for one distinct character.
