@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import bpe
+from mailsieve.llm import bpe, packing, records
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,8 +21,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path(RANKS))
 
 
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_records(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
+
+
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_binary_records": op4_binary_records,
+    "op10_bm25_packing": op10_bm25_packing,
 }
 
 #: DuckDB SQL for the queries that it can express.
