@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import bpe, packing, records
+from mailsieve.llm import bpe, neardup, packing, records
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path(RANKS))
 
 
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
@@ -31,6 +35,7 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_bbit_minhash": op2_bbit_minhash,
     "op4_binary_records": op4_binary_records,
     "op10_bm25_packing": op10_bm25_packing,
 }
