@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import bpe, neardup, packing, records
+from mailsieve.llm import bpe, langid, neardup, packing, quality, records
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,10 +25,18 @@ def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
 
+def op9_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
@@ -36,7 +44,9 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_bbit_minhash": op2_bbit_minhash,
+    "op3_robust_outliers": op3_robust_outliers,
     "op4_binary_records": op4_binary_records,
+    "op9_word_backoff": op9_word_backoff,
     "op10_bm25_packing": op10_bm25_packing,
 }
 
