@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import bpe, langid, neardup, packing, quality, records
+from mailsieve.llm import bpe, langid, neardup, packing, pii, quality, records
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
 
+def op7_shape_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bbit_minhash": op2_bbit_minhash,
     "op3_robust_outliers": op3_robust_outliers,
     "op4_binary_records": op4_binary_records,
+    "op7_shape_field": op7_shape_field,
     "op9_word_backoff": op9_word_backoff,
     "op10_bm25_packing": op10_bm25_packing,
 }
