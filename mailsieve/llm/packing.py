@@ -95,7 +95,7 @@ def heaviest_token(tails: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
                 heavy.append(token[(count * idf[token]).argmax()])
             yield batch.append_column("heavy", pa.array(heavy, pa.int64()))
 
-    return tails.mapInArrow(run, tails.schema.simpleString()[7:-1].replace(":", " ") + ", heavy bigint")
+    return tails.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tails.schema) + ", heavy bigint")
 
 
 def shard_borders(counts: dict[int, int], shard_rows: int) -> dict[int, tuple[int, int]]:
