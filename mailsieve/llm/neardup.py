@@ -6,17 +6,18 @@
 3. Band hashes that two classes or more share are buckets. Every member is first compared with the leader of its
    bucket, the class with the most copies.
 4. What is then still in different components of one bucket is compared by signature, in tiles of bounded size. The
-   share of equal low bits, corrected for chance collisions, estimates the similarity; pairs above the threshold less
-   a slack of several deviations are confirmed on their full sets. Each row first passes on its ``first_best`` nearest
-   only; rounds with larger numbers follow until no row holds any back, so no candidate pair between different
-   components is left out. Pairs within a component are needless and never made.
+   share of equal low bits, corrected for chance collisions, estimates the similarity; rows with a partner whose
+   estimate is above the threshold less a slack of several deviations get their full sets, and the tile confirms its
+   likely pairs, best first, until no two of its components have one left that is not confirmed or refuted. A pair
+   is looked at in the first band that it shares only. A tile passes on links that join components, fewer than rows.
 
 A link needs ``100 * intersection >= 100 * threshold * union`` on the full sets of 64-bit shingle hashes. A pair with
 just the threshold similarity of 0.75 shares none of 32 bands of 4 minima with a probability of 5e-6.
 
 Defined results: documents without words have no shingles, link with nothing and stay; those with fewer words than a
-shingle have one, their whole sequence. Null ids link with nothing and stay, their component is null. Rows with the
-same id count as one node of the graph each. Other columns are ignored; an empty table gives no rows.
+shingle have one, their whole sequence. Null ids link with nothing and stay, their component is null. An id is
+one document: where rows share an id, links are looked for with the text of the smallest digest, and they stay or go
+together; ``one_of_each`` keeps one row of an id. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from mailsieve.session import materialize
 
 BITS = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = "id bigint, n_shingles bigint, key_high bigint, key_low bigint, bands array<bigint>, planes binary"
+_SIGNED = "id bigint, n_shingles bigint, key_high bigint, key_low bigint, bands array<bigint>, planes binary, marks binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def sign(docs: DataFrame, id_column: str, text_column: str, size: int, bands: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(size), Signer(bands, band_rows)
         for part, texts in arrow_rows(batches):
-            counts, high, low, hashes, planes = [], [], [], [], []
+            counts, high, low, hashes, planes, marks = [], [], [], [], [], []
             for text in texts:
                 words = shingler.split(text)
                 found = shingler.hashes(words)
@@ -139,29 +140,38 @@ def sign(docs: DataFrame, id_column: str, text_column: str, size: int, bands: in
                 low.append(key[1])
                 minima = signer.minima(found)
                 hashes.append(signer.band_hashes(minima).view(np.int64))
+                marks.append(hashes[-1].astype(np.uint32).tobytes())  # half of each band hash
                 planes.append(signer.planes(minima))
             ends = pa.array(np.arange(len(texts) + 1) * bands, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes))), pa.array(planes, pa.binary()),
+                    pa.array(marks, pa.binary()),
                 ],
-                ["id", "n_shingles", "key_high", "key_low", "bands", "planes"],
+                ["id", "n_shingles", "key_high", "key_low", "bands", "planes", "marks"],
             )
 
     return docs.select(docs[id_column].cast("bigint"), docs[text_column]).mapInArrow(run, _SIGNED)
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(id, text) to (id, sorted shingle hashes as bytes)."""
+    """(id, text) to (id, digest of the words, sorted shingle hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for part, found in arrow_rows(batches):
-            sets = [shingler.hashes(shingler.split(t)).tobytes() for t in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+            split = [shingler.split(t) for t in found]
+            keys = [np.frombuffer(shingler.digest(b" ".join(w)), "<i8") for w in split]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array([shingler.hashes(w).tobytes() for w in split], pa.binary()),
+                ],
+                ["id", "key_high", "key_low", "hashes"],
+            )
 
-    return texts.mapInArrow(run, "id bigint, hashes binary")
+    return texts.mapInArrow(run, "id bigint, key_high bigint, key_low bigint, hashes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,53 +237,48 @@ def _merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(labels, "components")
 
 
-def tile_pairs(tiles: DataFrame, n: int, threshold: float, slack: float, best: int) -> DataFrame:
-    """Likely pairs of different components within each tile.
+def _likely(rows: dict[str, np.ndarray], bucket_band: np.ndarray, n: int, threshold: float, slack: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row by row, the others of a tile that may be similar to it, with their estimates.
 
-    ``tiles`` has bucket, i, j, tile, id, component, n_shingles and planes; a tile (bucket, i, j) holds at most two
-    blocks of rows. Each row passes on its ``best`` nearest; ``more`` tells that it had others.
+    Only pairs of different components, of fitting sizes, and whose first common band is this bucket's.
     """
     percent = round(100 * threshold)
-
-    def pairs_of(key, rows):
-        i, j, tile, ids, component, sizes, planes = rows
-        left, right = tile == i, tile == j
-        if i[0] != j[0]:
-            x, y = np.flatnonzero(left), np.flatnonzero(right)
-        else:
-            x = y = np.arange(len(ids))
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            estimate = similarity(equal_groups(planes[part], planes[y], n), n)
-            small = np.minimum(sizes[part][:, None], sizes[y][None])
-            large = np.maximum(sizes[part][:, None], sizes[y][None])
-            likely = (estimate >= threshold - slack) & (component[part][:, None] != component[y][None]) & (100 * small >= percent * large)
-            for row in np.flatnonzero(likely.any(1)):
-                others = np.flatnonzero(likely[row])
-                chosen = others[np.argsort(-estimate[row, others], kind="stable")[:best]]
-                a, b = np.full(len(chosen), ids[part[row]]), ids[y[chosen]]
-                yield np.minimum(a, b), np.maximum(a, b), np.full(len(chosen), len(others) > best)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in [*_with_end(batches)]:
-            table = batch if rest is None else (rest if batch is None else pa.concat_tables([rest, batch]))
-            if table is None or not table.num_rows:
-                continue
-            keys = [table.column(k).to_numpy() for k in ("bucket", "i", "j")]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            cuts = [0, *new.tolist(), *([table.num_rows] if batch is None else [])]
-            planes = np.frombuffer(b"".join(table.column("planes").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            values = [*keys[1:], *(table.column(c).to_numpy() for c in ("tile", "id", "component", "n_shingles")), planes]
-            found = [p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in pairs_of(None, [v[a:b] for v in values])]
-            rest = table.slice(cuts[-1])
-            if found:
-                a, b, more = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
-
-    ordered = tiles.select("bucket", "i", "j", "tile", "id", "component", "n_shingles", "planes")
-    ordered = ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    return ordered.mapInArrow(run, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    x, y = np.flatnonzero(rows["tile"] == rows["i"]), np.flatnonzero(rows["tile"] == rows["j"])
+    own = rows["i"][0] == rows["j"][0]
+    planes, sizes, component, bands = (rows[c] for c in ("planes", "n_shingles", "component", "marks"))
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        estimate = similarity(equal_groups(planes[part], planes[y], n), n)
+        small = np.minimum(sizes[part][:, None], sizes[y][None])
+        large = np.maximum(sizes[part][:, None], sizes[y][None])
+        likely = (estimate >= threshold - slack) & (component[part][:, None] != component[y][None]) & (100 * small >= percent * large)
+        if own:
+            likely &= part[:, None] < y[None]
+        for row in np.flatnonzero(likely.any(1)):
+            others = np.flatnonzero(likely[row])
+            same = bands[part[row]][None] == bands[y[others]]
+            others = others[same.argmax(1) == bucket_band]
+            if len(others):
+                yield part[row], y[others], estimate[row, others]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, dict[str, np.ndarray], pa.Table]]:
+    """The tiles (bucket, i, j) of sorted batches, whole: bucket, columns as arrays and the rows themselves."""
+    rest = None
+    for batch in _with_end(batches):
+        table = batch if rest is None else (rest if batch is None else pa.concat_tables([rest, batch]))
+        if table is None or not table.num_rows:
+            continue
+        keys = [table.column(k).to_numpy() for k in ("bucket", "i", "j")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        cuts = [0, *new.tolist(), *([table.num_rows] if batch is None else [])]
+        rows = {c: table.column(c).to_numpy() for c in columns}
+        for name, kind in (("planes", np.uint64), ("marks", np.uint32)):
+            rows[name] = np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                yield keys[0][a], {c: v[a:b] for c, v in rows.items()}, table.slice(a, b - a)
+        rest = table.slice(cuts[-1])
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
@@ -283,9 +288,70 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
     yield None
 
 
+_TILE = ("band", "i", "j", "tile", "id", "component", "n_shingles")
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+
+
+def rows_to_compare(tiles: DataFrame, n: int, threshold: float, slack: float) -> DataFrame:
+    """The rows of each tile that have a likely partner there; never more than the tile has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, table in _tiles(batches, _TILE):
+            wanted = np.zeros(table.num_rows, bool)
+            for row, others, _ in _likely(rows, rows["band"][0], n, threshold, slack):
+                wanted[row] = True
+                wanted[others] = True
+            if wanted.any():
+                yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    ordered = _by_tile(tiles.select("bucket", "band", "i", "j", "tile", "id", "component", "n_shingles", "planes", "marks"))
+    return ordered.mapInArrow(run, ordered.schema)
+
+
+def links_in_tiles(tiles: DataFrame, n: int, threshold: float, slack: float) -> DataFrame:
+    """Confirmed links (a, b) between components of each tile, as many as join what can be joined.
+
+    Every likely pair is confirmed on its full sets, best estimates first, unless links found before in the tile have
+    joined its two components.
+    """
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, table in _tiles(batches, _TILE):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+            top: dict[int, int] = {}
+
+            def root(x):
+                while (up := top.get(x, x)) != x:
+                    top[x] = x = top.get(up, up)
+                return x
+
+            a, b = [], []
+            for row, others, estimate in _likely(rows, rows["band"][0], n, threshold, slack):
+                mine = sets[row]
+                for other in others[np.argsort(-estimate, kind="stable")]:
+                    one, two = root(rows["component"][row]), root(rows["component"][other])
+                    if one == two:
+                        continue
+                    theirs = sets[other]
+                    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    common = int(np.count_nonzero(mine[at] == theirs))
+                    if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                        top[max(one, two)] = min(one, two)
+                        a.append(min(rows["id"][row], rows["id"][other]))
+                        b.append(max(rows["id"][row], rows["id"][other]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _by_tile(tiles).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75, size: int = 5,
-    bands: int = 32, band_rows: int = 4, slack: float = 0.19, tile_rows: int = 1024, first_best: int = 4,
+    bands: int = 32, band_rows: int = 4, slack: float = 0.19, tile_rows: int = 512,
 ) -> DataFrame:
     """One row per document: the size of its set, its component and whether it is the one that stays."""
     n, percent = bands * band_rows, round(100 * threshold)
@@ -294,46 +360,41 @@ def near_duplicates(
     classes = materialize(
         linked.groupBy("key_high", "key_low").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes"
     )
-    ones = linked.join(classes, ["key_high", "key_low", "id"]).select("id", "n_shingles", "copies", F.explode("bands").alias("bucket"))
+    one = F.min(F.struct("key_high", "key_low", "copies")).alias("one")  # an id with several texts: the smallest digest
+    nodes = classes.groupBy("id").agg(one).select("id", "one.*")
+    ones = linked.join(nodes, ["key_high", "key_low", "id"]).select("id", "n_shingles", "copies", F.posexplode("bands").alias("band", "bucket"))
     ones = ones.distinct()  # rows with the same id and text
     leaders = ones.groupBy("bucket").agg(
         F.min(F.struct((-F.col("copies")).alias("copies"), "id", "n_shingles")).alias("leader"), F.count("*").alias("members")
     ).filter("members > 1")
     leaders = materialize(leaders.select("bucket", "members", F.col("leader.id").alias("leader"), F.col("leader.n_shingles").alias("size")), "leaders")
-    members = materialize(ones.join(leaders, "bucket").select("bucket", "members", "id", "n_shingles", "leader", "size"), "members")
+    members = materialize(ones.join(leaders, "bucket").select("bucket", "band", "members", "id", "n_shingles", "leader", "size"), "members")
 
-    involved = materialize(members.select("id").distinct(), "involved")
+    involved = materialize(members.select("id").distinct().join(nodes, "id").drop("copies"), "involved")
     texts = docs.select(docs[id_column].cast("bigint").alias("id"), docs[text_column].alias("text"))
-    sets = materialize(shingle_sets(texts.join(involved, "id"), size).dropDuplicates(["id"]), "sets")
-    planes = materialize(linked.select("id", "planes").join(involved, "id").dropDuplicates(["id"]), "planes")
+    node = ["id", "key_high", "key_low"]
+    sets = shingle_sets(texts.join(involved.select("id"), "id"), size).join(involved, node)
+    sets = materialize(sets.dropDuplicates(["id"]).select("id", "hashes"), "sets")
+    planes = linked.join(involved, node).dropDuplicates(["id"])
+    planes = materialize(planes.select("id", "planes", "marks"), "planes")
 
     near = "100 * least(n_shingles, size) >= {0} * greatest(n_shingles, size)".format(percent)
     star = members.filter("id != leader").filter(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tested = materialize(star, "pairs")
-    labels = _merge(None, materialize(confirm(tested, sets, percent), "links"))
-
-    best = first_best
-    while True:
-        known = members.select("bucket", "members", "id", "n_shingles").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        known = materialize(known.withColumn("component", F.coalesce("component", "id")), "known")
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        mixed = materialize(mixed.select("bucket"), "mixed")
-        blocks = F.ceil(F.col("members") / tile_rows).cast("int")
-        tile = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        tiles = (
-            known.join(mixed, "bucket").join(planes, "id").withColumn("blocks", blocks).withColumn("tile", tile)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        )
-        pairs = materialize(tile_pairs(tiles, n, threshold, slack, best), "pairs")
-        more = bool(pairs.agg(F.max("more")).first()[0])
-        fresh = materialize(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(confirm(fresh, sets, percent), "links")
-        if not links.isEmpty():
-            labels = _merge(labels, links)
-        if not more:
-            break
-        tested, best = tested.unionAll(fresh), best * 16
+    labels = _merge(None, materialize(confirm(materialize(star, "pairs"), sets, percent), "links"))
+
+    known = members.select("bucket", "band", "members", "id", "n_shingles").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = materialize(known.withColumn("component", F.coalesce("component", "id")), "known")
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    mixed = materialize(mixed.select("bucket"), "mixed")
+    tiles = (
+        known.join(mixed, "bucket").join(planes, "id").withColumn("blocks", F.ceil(F.col("members") / tile_rows).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    )
+    wanted = materialize(rows_to_compare(tiles, n, threshold, slack), "wanted")
+    links = materialize(links_in_tiles(wanted.join(sets, "id"), n, threshold, slack), "links")
+    labels = _merge(labels, links)
 
     owner = classes.select("key_high", "key_low", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     owner = materialize(owner.select("key_high", "key_low", F.coalesce("component", "id").alias("component_id")), "owners")
@@ -343,3 +404,10 @@ def near_duplicates(
     )
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return found.select(F.col("id").alias(id_column), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, and all without an id."""
+    kept = near_duplicates(docs, id_column, text_column, **options).filter("kept").select(id_column).distinct()
+    named = docs.filter(docs[id_column].isNotNull()).join(kept, id_column, "left_semi").dropDuplicates([id_column])
+    return named.unionByName(docs.filter(docs[id_column].isNull()))
