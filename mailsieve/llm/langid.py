@@ -99,7 +99,8 @@ class Predictor:
         counts = Counter(words_of(text))
         if not self.model.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in counts):
             return UNKNOWN, 0.0
-        found = self.rows[self._places(list(counts))].T @ np.fromiter(counts.values(), np.float64, len(counts))
+        places = self._places(list(counts))  # may set up other rows
+        found = self.rows[places].T @ np.fromiter(counts.values(), np.float64, len(counts))
         odds = np.exp(found - found.max())
         best = int(found.argmax())
         return self.model.languages[best], float(odds[best] / odds.sum())
@@ -164,22 +165,32 @@ def fit(
     return BackoffModel(languages, most(words, max_words), tables)
 
 
-def identify(docs: DataFrame, model: BackoffModel, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Language and score of every whole text; ``keep`` names columns to carry along, under k_ names."""
+def identify(docs: DataFrame, model: BackoffModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Id, language and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of words and n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for part, texts in arrow_rows(batches):
             lang, score = zip(*map(predictor.predict, texts))
-            fixed = [part.column(i) for i in range(part.num_columns) if i != 1]
-            yield pa.RecordBatch.from_arrays(
-                [*fixed, pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", *(f"k_{c}" for c in keep), "lang_pred", "score"]
-            )
-
-    kind = lambda c: docs.schema[c].dataType.simpleString()
-    schema = ", ".join([f"id {kind(id_column)}", *(f"`k_{c}` {kind(c)}" for c in keep), "lang_pred string, score double"])
-    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"), *(docs[c].alias(f"k_{c}") for c in keep)).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+
+def label(docs: DataFrame, model: BackoffModel, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The same rows and columns with the predicted language in ``lang_column``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_column), docs.columns.index(lang_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(shared.value)
+        for part, texts in arrow_rows(batches, text_at):
+            lang = pa.array([predictor.predict(t)[0] for t in texts], part.schema.field(lang_at).type)
+            yield part.set_column(lang_at, part.schema.field(lang_at), lang)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def predict_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **sizes) -> DataFrame:

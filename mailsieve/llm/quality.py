@@ -148,13 +148,17 @@ def fit_mcd(vectors: DataFrame, floors: tuple[float, ...], support: float, steps
 
 def judge(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
-    floors: tuple[float, ...] = (0.12, 0.055, 0.15, 0.12), support: float = 0.75, steps: int = 3, min_rows: int = 50, cut: float = CHI_9999,
+    floors: tuple[float, ...] = (0.12, 0.055, 0.15, 0.12), support: float = 0.75, steps: int = 3, min_rows: int = 50, cut: float = CHI_9999, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: base counts, ``base_failed``, squared ``distance`` (null: not judged) and ``kept``."""
+    """One row per document: base counts, ``base_failed``, squared ``distance`` (null: not judged) and ``kept``.
+
+    ``keep`` names columns to carry along, under k_ names.
+    """
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"k_{c}").cast("string")), F.lit("-"))
-    counted = base_counts(docs, id_column, text_column, (lang_column, source_column)).withColumns(
+    carried = tuple(dict.fromkeys((lang_column, source_column, *keep)))
+    counted = base_counts(docs, id_column, text_column, carried).withColumns(
         {"lang_key": part(lang_column), "own": F.concat_ws("\x1f", part(lang_column), part(source_column))}
-    ).drop(f"k_{lang_column}", f"k_{source_column}")
+    ).drop(*(f"k_{c}" for c in carried if c not in keep))
     counted = materialize(counted.select("*", *_vector()), "counts")
     distinct = materialize(counted.filter("not base_failed").select("lang_key", "own", *FEATURES).distinct(), "vectors")
     sizes = distinct.groupBy("lang_key", "own").count()
@@ -169,5 +173,5 @@ def judge(
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.select(
         F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        kept.alias("kept"), "distance",
+        kept.alias("kept"), "distance", *(f"k_{c}" for c in keep),
     )
