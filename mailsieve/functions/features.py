@@ -56,9 +56,9 @@ _FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
 def entropy(c: Column, digits: int | None = 4) -> Column:
     """Shannon entropy in bits over the characters of a text.
 
-    H = log2(n) - sum(k * log2 k) / n over the counts k of the distinct characters. Each character is removed in
-    turn and the bytes lost give its count: first the frequent letters, which leave little, then whatever
-    is left. Rows need no shuffle.
+    H = log2(n) - sum(k * log2 k) / n over the counts k of the distinct characters. The frequent letters are removed in
+    turn and the bytes lost give their counts; what little they leave is sorted and its runs are counted, so any
+    alphabet takes n log n. Rows need no shuffle.
     """
     n = F.length(c).cast("double")
 
@@ -80,9 +80,20 @@ def entropy(c: Column, digits: int | None = 4) -> Column:
     )
     frequent = F.aggregate(F.array(*[F.lit(ch) for ch in _FREQUENT]), start, remove)
 
+    def run_weight(acc: Column) -> Column:
+        return acc["n"] * F.log2(F.greatest(acc["n"], F.lit(1.0)))
+
+    def count(acc: Column, ch: Column) -> Column:
+        same = acc["ch"] == ch
+        return F.struct(
+            ch.alias("ch"), F.when(same, acc["n"] + 1).otherwise(F.lit(1.0)).alias("n"),
+            F.when(same, acc["total"]).otherwise(acc["total"] + run_weight(acc)).alias("total"),
+        )
+
     def remaining(acc: Column) -> Column:
-        left = F.filter(F.array_distinct(F.split(acc["rest"], "")), lambda ch: ch != "")
-        return F.aggregate(left, acc, remove, lambda end: end["total"] + weight(end))
+        left = F.array_sort(F.filter(F.split(acc["rest"], ""), lambda ch: ch != ""))
+        before = F.struct(F.lit("").alias("ch"), F.lit(0.0).alias("n"), (acc["total"] + weight(acc)).alias("total"))
+        return F.aggregate(left, before, count, lambda end: end["total"] + run_weight(end))
 
     bits = F.log2(n) - F.transform(F.array(frequent), remaining)[0] / n
     if digits is not None:
@@ -105,13 +116,22 @@ def detect_language(c: Column) -> Column:
     )
 
 
+# What counts as a number in text. A cast alone would also take ``NaN``, ``12d`` and ``1.5F``.
+_NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
+def _number(c: Column) -> Column:
+    return F.when(F.rlike(c.cast("string"), F.lit(_NUMBER)), c.cast("string").try_cast("double"))
+
+
 def coerce_double(c: Column) -> Column:
-    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """The number in a text or number column; what is none, ``NaN`` included, becomes 0."""
+    return F.coalesce(_number(c), F.lit(0.0))
 
 
 def coerce_int(c: Column) -> Column:
     """``'3.0'`` and ``'3.7'`` become 3, unreadable text becomes 0."""
-    return F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(_number(c).try_cast("int"), F.lit(0))
 
 
 def build_features(df: DataFrame, rules: X.TextRules = X.TRAINING) -> DataFrame:

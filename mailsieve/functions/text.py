@@ -197,14 +197,15 @@ _TAG_TAIL = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
 _BLOCK = r"(?i)</?(?:" + "|".join(V.BLOCK_TAGS) + r")(?=[\s/>])" + _TAG_TAIL
 _OTHER_TAG = r"</?[a-zA-Z]" + _TAG_TAIL
 
-# Named character references from the standard library's tables: those of HTML 4, and the old names that are
-# also read without their semicolon.
+# Named character references from the standard library's tables: those of HTML 4 with the old names that are also
+# read without their semicolon, and, looked up only where these fail, all others.
 _OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
 NAMED_ENTITIES = {name: html5[f"{name};"] for name in sorted({*name2codepoint, *_OLD_NAMES, "apos"})}
+OTHER_ENTITIES = {n[:-1]: v for n, v in sorted(html5.items()) if n.endswith(";") and n[:-1] not in NAMED_ENTITIES}
 # References to control positions mean the characters of the Windows code page.
 _CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 _CONTROLS_MEANT = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
-_NUMERIC = r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+_NUMERIC = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
 _NAMED = r"^([A-Za-z][A-Za-z0-9]{1,31});"
 _OLD = "^(" + "|".join(_OLD_NAMES) + ")"
 
@@ -214,16 +215,20 @@ def _number_char(code: Column) -> Column:
     return (
         F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
         .when(code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127), F.lit(""))
+        .when(code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
         .otherwise(F.translate(char, _CONTROLS, _CONTROLS_MEANT))
     )
 
 
 def _decode_once(c: Column) -> Column:
     """Each piece behind an ``&`` may open with a reference: ``amp;``, ``#39;`` or ``#x27;``."""
-    # Two literals that the optimizer folds into one map.
-    names = F.map_from_arrays(
-        F.split(F.lit("\n".join(NAMED_ENTITIES)), "\n"), F.split(F.lit("\n".join(NAMED_ENTITIES.values())), "\n")
-    )
+    def table(entities: dict[str, str]) -> Column:
+        """Two literals that the optimizer folds into one map."""
+        return F.map_from_arrays(
+            F.split(F.lit("\x1f".join(entities)), "\x1f"), F.split(F.lit("\x1f".join(entities.values())), "\x1f")
+        )
+
+    names, others = table(NAMED_ENTITIES), table(OTHER_ENTITIES)
 
     def found(piece: Column) -> Column:
         return F.struct(
@@ -236,9 +241,11 @@ def _decode_once(c: Column) -> Column:
     def decoded(s: Column, i: Column) -> Column:
         piece, number, name = s["piece"], s["number"], s["name"]
         hexadecimal = F.lower(F.substring(number, 2, 1)) == "x"
-        digits = F.regexp_replace(number, "[#xX;]", "")
-        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        named = F.try_element_at(names, name)
+        # Without leading zeros seven digits say all: anything longer lies beyond the last character.
+        digits = F.regexp_replace(number, "^#[xX]?0*|;", "")
+        short = F.when(F.length(digits) > 7, F.lit("1234567")).when(digits == "", F.lit("0")).otherwise(digits)
+        code = F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).cast("int")
+        named = F.coalesce(F.try_element_at(names, name), F.try_element_at(others, name))
 
         def rest(size: Column) -> Column:
             return F.substring(piece, size + 1, F.length(piece))
@@ -260,12 +267,41 @@ def decode_entities(c: Column) -> Column:
     return F.transform(F.transform(F.array(c), _decode_once), _decode_once)[0]
 
 
+_END = "\x00\uffff"
+
+
+def _drop_element(c: Column, tag: str) -> Column:
+    """Without the elements of a tag and their contents; one that is never closed takes the rest with it.
+
+    Only the text up to the last ``>`` is searched, where every opening finds its end. A mark behind it tells whether
+    an unclosed element ran to the end.
+    """
+    pattern = rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?(?:</{tag}(?=[\s/>])[^>]*>|\z)"
+    cut = F.transform(F.array(c), lambda t: F.struct(t.alias("t"), F.substring_index(t, ">", -1).alias("tail")))
+    changed = F.transform(
+        cut,
+        lambda s: F.struct(
+            F.regexp_replace(
+                F.concat(F.substring(s["t"], F.lit(1), F.length(s["t"]) - F.length(s["tail"])), F.lit(_END)), pattern, ""
+            ).alias("head"),
+            s["tail"].alias("tail"),
+        ),
+    )
+    return F.transform(
+        changed,
+        lambda s: F.when(
+            F.endswith(s["head"], F.lit(_END)),
+            F.concat(F.substring(s["head"], F.lit(1), F.length(s["head"]) - len(_END)), s["tail"]),
+        ).otherwise(s["head"]),
+    )[0]
+
+
 def html_to_text(c: Column) -> Column:
     """Readable text of an HTML body: no scripts and styles, one line per block."""
     t = F.coalesce(c, F.lit(""))
     t = F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", "")
     for tag in ("script", "style"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?(?:</{tag}(?=[\s/>])[^>]*>|\z)", "")
+        t = _drop_element(t, tag)
     t = _before_last_close(
         t,
         lambda h: F.regexp_replace(

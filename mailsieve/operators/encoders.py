@@ -13,12 +13,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
 from mailsieve.functions.text import squeeze
-from mailsieve.operators.sampling import simple_sample
 
 STRUCTURED_WIDTH_LIMIT = 10_000
 
@@ -186,23 +185,28 @@ def masked_mean(tokens: DataFrame, width: int, key="email_id", vector="vector",
 
 
 def fit_text_encoder(
-    df: DataFrame, text: str = V.TEXT_COLUMN, size: int = 64, fit_rows: int = 10_000, key="email_id",
-    max_tokens: int = 128, output: str = "embedding_vector", min_count: int = 5, iterations: int = 1,
+    df: DataFrame, text: str = V.TEXT_COLUMN, size: int = 64, output: str = "embedding_vector", min_count: int = 5,
+    max_words: int = 100_000, iterations: int = 1, partitions: int = 8,
 ) -> PipelineModel:
-    """Dense text encoder: the mean of the word vectors of the first tokens of a text.
+    """Dense text encoder: the mean of the word vectors of all tokens of a text.
 
-    Word vectors are trained on a bounded repeatable sample, as the vocabulary lives on one machine; every
-    row is then encoded. ``max_tokens`` is the token limit of the encoder.
+    Vectors are trained on all rows, in ``partitions`` parts at a time. The model holds the ``max_words`` most frequent
+    words that occur ``min_count`` times at least: as its vectors live on the driver, a rarer word has none.
     """
-    cut = SQLTransformer(
-        statement=f"SELECT *, slice(filter(split({text}, '[ ]+'), w -> w <> ''), 1, {max_tokens}) AS _tokens FROM __THIS__"
-    )
+    split = f"filter(split({text}, '[ ]+'), w -> w <> '')"
+    words = df.select(F.explode(F.expr(split)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each frequency: the smallest that leaves at most max_words words.
+    sizes = words.filter(F.col("n") >= min_count).groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upward = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    fitting = sizes.withColumn("all", F.sum("words").over(upward)).filter(F.col("all") <= max_words)
+    least = fitting.agg(F.min("n")).first()[0] or min_count
     vectors = Word2Vec(
-        vectorSize=size, inputCol="_tokens", outputCol=output, seed=V.SEED, minCount=min_count, maxIter=iterations,
-        numPartitions=1, maxSentenceLength=max_tokens,
+        vectorSize=size, inputCol="_tokens", outputCol=output, seed=V.SEED, minCount=least, maxIter=iterations,
+        numPartitions=partitions,
     )
+    tokens = SQLTransformer(statement=f"SELECT *, {split} AS _tokens FROM __THIS__")
     drop = SQLTransformer(statement="SELECT * EXCEPT (_tokens) FROM __THIS__")
-    return Pipeline(stages=[cut, vectors, drop]).fit(simple_sample(df.select(key, text), fit_rows, key))
+    return Pipeline(stages=[tokens, vectors, drop]).fit(df.select(text))
 
 
 def encode_with(df: DataFrame, encode, text: str = V.TEXT_COLUMN, output: str = "embedding") -> DataFrame:

@@ -61,7 +61,10 @@ def for_export(stored: DataFrame) -> DataFrame:
 def training_candidates(stored: DataFrame) -> DataFrame:
     """(clean_email_text, category): the verdict's class, else the prediction; the latest verdict per text wins.
 
-    An aggregation with map-side combine, so a text reviewed very often is no hot spot.
+    Digests of the texts are aggregated with map-side combine, so a text reviewed very often is no hot spot; the text
+    itself is fetched for the latest ids, which are unique.
     """
     category = F.coalesce(F.col("correct_category"), F.col("predicted_category"))
-    return stored.groupBy("clean_email_text").agg(F.max_by(category, F.col("id")).alias("category"))
+    digest = F.sha2(F.coalesce(F.concat(F.lit("="), F.col("clean_email_text")), F.lit("null")), 256)
+    latest = stored.groupBy(digest.alias("_k")).agg(F.max("id").alias("id")).select("id")
+    return stored.join(latest, "id", "left_semi").select("clean_email_text", category.alias("category"))

@@ -9,8 +9,9 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel,
+    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,63 @@ def class_id(label: str, classes: list[str]) -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("double")
 
 
+MAX_CLASSES = 1000
+
+
+def class_names(train: DataFrame) -> list[str]:
+    """The distinct classes in alphabetical order; there are few of them, or it is the wrong column."""
+    found = train.select(V.TARGET_COLUMN).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"over {MAX_CLASSES} classes in {V.TARGET_COLUMN}")
+    return sorted(r[0] for r in found)
+
+
 def _result(df: DataFrame, classes: list[str]) -> DataFrame:
     """Probability vector -> array, winner and confidence."""
     with_array = df.withColumn("probabilities", vector_to_array("_probability"))
     return K.with_winner(with_array, "probabilities", classes).drop("_probability", "_raw", "_id")
 
 
+# --- storing -------------------------------------------------------------------
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def missing_parts(spark: SparkSession, path: str, parts: tuple[str, ...]) -> list[str]:
+    """Names of the model parts that are absent under a path."""
+    return [part for part in parts if not _exists(spark, f"{path}/{part}")]
+
+
+def _need(spark: SparkSession, path: str, parts: tuple[str, ...]) -> None:
+    absent = missing_parts(spark, path, parts)
+    if absent:
+        raise FileNotFoundError("missing model parts: " + ", ".join(absent))
+
+
+def _write_info(path: str, info: dict) -> None:
+    spark = SparkSession.getActiveSession()
+    row = spark.createDataFrame([(json.dumps(info),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def _read_info(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/info").first()[0])
+
+
+def _structured_info(s: N.StructuredEncoder) -> dict:
+    return {"numeric": s.numeric, "categorical": s.categorical, "means": s.means, "stds": s.stds, "levels": s.levels}
+
+
+def _structured_from(info: dict) -> N.StructuredEncoder:
+    return N.StructuredEncoder(info["numeric"], info["categorical"], info["means"], info["stds"], info["levels"])
+
+
+# --- linear and forest branches ---------------------------------------------------
+
+
 @dataclass
 class TextModel:
     """A linear or forest classifier on TF-IDF of word or character n-grams plus structured features."""
@@ -56,6 +108,23 @@ class TextModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return _result(self.classifier.transform(self.features(df)), self.classes).drop("_x", "tfidf", "grams")
 
+    PARTS = ("tfidf", "classifier", "info")
+    KINDS = {k.__name__: k for k in (LogisticRegressionModel, RandomForestClassificationModel)}
+
+    def save(self, path: str) -> None:
+        self.tfidf.write().overwrite().save(f"{path}/tfidf")
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+        kind = type(self.classifier).__name__
+        _write_info(path, {"classes": self.classes, "analyzer": self.analyzer, "kind": kind, "structured": _structured_info(self.structured)})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TextModel":
+        _need(spark, path, cls.PARTS)
+        info = _read_info(spark, path)
+        classifier = cls.KINDS[info["kind"]].load(f"{path}/classifier")
+        tfidf = PipelineModel.load(f"{path}/tfidf")
+        return cls(info["classes"], _structured_from(info["structured"]), tfidf, classifier, info["analyzer"])
+
 
 def _grams(df: DataFrame, analyzer: str) -> DataFrame:
     if analyzer == "char":
@@ -75,7 +144,7 @@ def _fit_text_model(train: DataFrame, analyzer: str, vocabulary: int, make_class
     an iterative fit reads them many times."""
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
     weighted = T.with_balanced_weight(train)
-    classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
+    classes = class_names(train)
     structured = N.StructuredEncoder().fit(train)
     if analyzer == "char":
         counts = N.char_gram_counts(train)
@@ -96,14 +165,19 @@ _COLUMNS = dict(
 )
 
 
-def fit_logistic_regression(train: DataFrame, analyzer="word", vocabulary=50_000, max_iter=1000, c=1.0) -> TextModel:
-    """Multinomial logistic regression with balanced weights; penalty 1 / (c * rows)."""
+def fit_logistic_regression(
+    train: DataFrame, analyzer="word", vocabulary=50_000, max_iter=1000, c=1.0, tolerance=1e-4
+) -> TextModel:
+    """Multinomial logistic regression with balanced weights; penalty 1 / (c * rows).
+
+    The steps end when the loss falls by less than ``tolerance`` of itself, at ``max_iter`` at the latest.
+    """
 
     def make(rows: DataFrame):
         n = max(rows.count(), 1)
         return LogisticRegression(
             **_COLUMNS, weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1.0 / (c * n),
-            elasticNetParam=0.0, standardization=False,
+            elasticNetParam=0.0, standardization=False, tol=tolerance,
         )
 
     return _fit_text_model(train, analyzer, vocabulary, make)
@@ -147,6 +221,18 @@ class BoostedModel:
             "_x", "_raw", "_sum", *[f"_p{i}" for i in range(len(self.members))]
         )
 
+    def save(self, path: str) -> None:
+        for i, member in enumerate(self.members):
+            member.write().overwrite().save(f"{path}/members/{i}")
+        _write_info(path, {"classes": self.classes, "structured": _structured_info(self.structured)})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "BoostedModel":
+        _need(spark, path, ("members", "info"))
+        info = _read_info(spark, path)
+        members = [GBTClassificationModel.load(f"{path}/members/{i}") for i in range(len(info["classes"]))]
+        return cls(info["classes"], _structured_from(info["structured"]), members)
+
     def importances(self, spark: SparkSession) -> DataFrame:
         """(feature, importance): mean over the members; one row per feature."""
         names = self.structured.names
@@ -161,7 +247,7 @@ def fit_boosted_trees(
     train: DataFrame, rounds=300, depth=5, step=0.05, sample=0.9, seed=V.SEED, parallelism=5
 ) -> BoostedModel:
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
-    classes = sorted(r[0] for r in train.select(V.TARGET_COLUMN).distinct().collect())
+    classes = class_names(train)
     structured = N.StructuredEncoder().fit(train)
     ensure_checkpoint_dir(train.sparkSession)
     rows = materialize(
@@ -224,56 +310,27 @@ class HybridModel:
         )
 
     # Saving writes one folder per part; loading checks that all are there.
-    PARTS = ("encoder", "scaler", "network", "info")
+    PARTS = ("encoder", "scaler", "network", "boosted", "info")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
         self.encoder.write().overwrite().save(f"{path}/encoder")
         self.scaler.write().overwrite().save(f"{path}/scaler")
         self.network.write().overwrite().save(f"{path}/network")
-        for i, member in enumerate(self.boosted.members):
-            member.write().overwrite().save(f"{path}/boosted/{i}")
-        s = self.boosted.structured
-        info = {
-            **self.info, "classes": self.classes, "numeric": s.numeric, "categorical": s.categorical,
-            "means": s.means, "stds": s.stds, "levels": s.levels,
-        }
-        spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/info"
-        )
+        self.boosted.save(f"{path}/boosted")
+        _write_info(path, self.info)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "HybridModel":
-        absent = missing_parts(spark, path)
-        if absent:
-            raise FileNotFoundError("missing model parts: " + ", ".join(absent))
-        info = json.loads(spark.read.text(f"{path}/info").first()[0])
-        structured = N.StructuredEncoder(
-            info.pop("numeric"), info.pop("categorical"), info.pop("means"), info.pop("stds"), info.pop("levels")
-        )
-        classes = info.pop("classes")
-        members = [GBTClassificationModel.load(f"{path}/boosted/{i}") for i in range(len(classes))]
+        _need(spark, path, cls.PARTS)
         return cls(
             PipelineModel.load(f"{path}/encoder"),
-            BoostedModel(classes, structured, members),
+            BoostedModel.load(spark, f"{path}/boosted"),
             PipelineModel.load(f"{path}/scaler"),
             MultilayerPerceptronClassificationModel.load(f"{path}/network"),
-            info,
+            _read_info(spark, path),
         )
 
 
-def missing_parts(spark: SparkSession, path: str) -> list[str]:
-    """Names of the model parts that are absent under a path."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    absent = []
-    for part in (*HybridModel.PARTS, "boosted"):
-        place = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-        if not place.getFileSystem(conf).exists(place):
-            absent.append(part)
-    return absent
-
-
 def _fusion_vector(rows: DataFrame) -> DataFrame:
     parts = F.concat(vector_to_array("embedding_vector"), F.col("branch_probabilities"), F.col("structured"))
     return rows.withColumn("fusion_vector", array_to_vector(parts))
@@ -290,7 +347,7 @@ def check_width(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 def fit_hybrid(
     train: DataFrame, embedding_size=64, rounds=300, depth=5, hidden=(512, 256, 128), max_iter=40,
-    encoder_rows=10_000, seed=V.SEED, encoder=None,
+    seed=V.SEED, encoder=None,
 ) -> HybridModel:
     """Fit the three parts in turn; the network sees rows repeated by balanced class weight.
 
@@ -299,7 +356,7 @@ def fit_hybrid(
     """
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
     if encoder is None:
-        encoder = N.fit_text_encoder(train, size=embedding_size, fit_rows=encoder_rows)
+        encoder = N.fit_text_encoder(train, size=embedding_size)
     boosted = fit_boosted_trees(train, rounds=rounds, depth=depth, seed=seed)
     model = HybridModel(encoder, boosted, None, None)
     fused = _fusion_vector(model.branches(train)).select(

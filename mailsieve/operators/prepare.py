@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
 from mailsieve.functions import features as E
 from mailsieve.functions import text as X
-from mailsieve.operators.bounded import broadcast_if_small
+from mailsieve.session import materialize
 
 OPTIONAL_COLUMNS = ["sender", "receiver", "date", "urls"]
 
@@ -115,14 +114,16 @@ def with_category(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key: the first in the given order.
+    """One row per key: the first in the given order, whose columns together tell the rows apart.
 
-    An aggregation instead of a window, so that each map task hands on at most one row per key and
-    a text that fills a third of the table is no hot spot.
+    Only a digest of the key and the order columns are aggregated, each map task handing on at most one row per key, so
+    a text that fills a third of the table is no hot spot. The rows chosen are then picked by their order columns.
     """
-    ordered = F.struct(*order, *[c for c in df.columns if c not in order])
-    first = df.groupBy(F.sha2(F.coalesce(F.col(key), F.lit("")), 256).alias("_k"), F.col(key).isNull().alias("_n"))
-    return first.agg(F.min(ordered).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
+    digest = F.sha2(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")), 256)
+    first = df.select(digest.alias("_k"), F.struct(*order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_o"))
+    chosen = first.select(*[F.col(f"_o.{c}").alias(f"_{c}") for c in order])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(chosen[f"_{c}"]) for c in order])
+    return df.join(chosen, same, "left_semi")
 
 
 def duplicate_counts(df: DataFrame, subsets: list[list[str]]) -> DataFrame:
@@ -152,40 +153,25 @@ def duplicate_counts(df: DataFrame, subsets: list[list[str]]) -> DataFrame:
 
 
 def add_running_id(
-    df: DataFrame, order: list[str], id_column: str = "email_id", rows_per_bucket: int = 2_000_000
+    df: DataFrame, order: list[str], id_column: str = "email_id"
 ) -> DataFrame:
-    """1..n in the order of the given columns, the last of which is a unique number.
+    """1..n in the order of the given columns, which together tell the rows apart.
 
-    Only the order columns are numbered: the last one is cut into ranges of similar size, rows are numbered
-    inside each (leading columns, range), and the counts of all earlier ranges are added. The numbers are then joined
-    back on the unique column. No task sees the whole table, and wide rows move once.
+    Only the order columns are numbered: they are dealt to tasks by ranges, sorted there and written with the number of
+    their task and their place in it; to that the counts of all earlier tasks are added. The numbers are then joined
+    back. No task sees the whole table, and wide rows move once.
     """
-    *leading, number = order
-    narrow = df.select(*order)
-    lo, n = narrow.agg(F.min(number), F.count(F.lit(1))).first()
-    if not n:
-        return df.withColumn(id_column, F.lit(0).cast("long"))
-    buckets = int(min(2_000, max(1, n // rows_per_bucket)))
-    bounds = []
-    if buckets > 1:
-        probabilities = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(narrow.stat.approxQuantile(number, probabilities, 0.25 / buckets)) - {float(lo)})
-    valued = narrow.withColumn("_v", F.col(number).cast("double"))
-    if bounds:
-        splits = [float("-inf"), *bounds, float("inf")]
-        ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(valued)
-    else:
-        ranged = valued.withColumn("_range", F.lit(0.0))
-    place = [*leading, "_range"]
-    counts = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per (leading values, range): a bounded table, so a window without partitions is fine.
-    before = Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*place).orderBy(number)
-    numbered = (
-        ranged.withColumn("_pos", F.row_number().over(inside))
-        .join(broadcast_if_small(offsets), place)
-        .select(*order, (F.col("_before") + F.col("_pos")).cast("long").alias(id_column))
+    ranged = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("_m", F.monotonically_increasing_id()), "running-ids")
+    task, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    # One row for each task.
+    counts = dict(placed.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = {}, 0
+    for t in sorted(counts):
+        before[t], total = total, total + counts[t]
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "_t long, _before long")
+    numbered = placed.join(F.broadcast(offsets), task == F.col("_t")).select(
+        *order, (F.col("_before") + place + 1).cast("long").alias(id_column)
     )
     others = [c for c in df.columns if c not in order and c != id_column]
     if not others:
@@ -208,14 +194,19 @@ def with_class_risk(df: DataFrame, category: str = "category") -> DataFrame:
 
 
 def fuse_branches(embeddings: DataFrame, probabilities: DataFrame, structured: DataFrame, key="email_id") -> DataFrame:
-    """(key, embedding), (key, probabilities), (key, structured) -> (key, fusion): arrays one after the other."""
-    joined = embeddings.join(probabilities, key).join(structured, key)
-    return joined.select(
-        key,
-        F.concat(
-            *[F.col(c).cast("array<double>") for c in ("embedding", "probabilities", "structured")]
-        ).alias("fusion"),
+    """(key, embedding), (key, probabilities), (key, structured) -> (key, fusion): arrays one after the other.
+
+    A key that a branch lacks is an error, as it would be for branches of different lengths.
+    """
+    parts = ("embedding", "probabilities", "structured")
+    joined = embeddings.join(probabilities, key, "full_outer").join(structured, key, "full_outer")
+    message = F.concat(
+        F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" is missing in: "),
+        F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in parts]),
     )
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parts])
+    fusion = F.concat(*[F.col(c).cast("array<double>") for c in parts])
+    return joined.select(key, F.when(whole, fusion).otherwise(F.raise_error(message).cast("array<double>")).alias("fusion"))
 
 
 def check_alignment(left: DataFrame, right: DataFrame, key="email_id", value="label") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
-from mailsieve.operators.bounded import broadcast_if_small
+from mailsieve.operators.bounded import broadcast_bounded
 from mailsieve.operators.prepare import lookup, remainder
 
 KEY_BITS = 60
@@ -49,7 +49,7 @@ def _cut_rows(df: DataFrame, group: list[str], targets: dict[str, Column], key="
         .filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
         .drop("_n")
     )
-    wanted = broadcast_if_small(wanted)
+    wanted = broadcast_bounded(wanted)  # one row for each group and target
     place = [*group, "_bucket"]
     numbered = keyed.join(wanted, place, "left_semi").withColumn(
         "_pos", F.row_number().over(Window.partitionBy(*place).orderBy("_key", "_id"))
@@ -70,7 +70,7 @@ def _with_cuts(df: DataFrame, group: list[str], targets: dict[str, Column], key=
     here = F.struct(order_key(F.col(key), seed).alias("cut_key"), F.col(key).alias("cut_id"))
     keyed = df.withColumn("_here", here)
     if group:
-        keyed = keyed.join(broadcast_if_small(wide), group, "left")
+        keyed = keyed.join(broadcast_bounded(wide), group, "left")
     else:
         # One row of cut positions at most: they become literals.
         first = wide.first()
@@ -136,7 +136,7 @@ def balanced_weights(df: DataFrame, label="category") -> DataFrame:
 
 def with_balanced_weight(df: DataFrame, label="category", weight="weight") -> DataFrame:
     weights = balanced_weights(df, label).select(label, F.col("weight").alias(weight))
-    return df.join(broadcast_if_small(weights), label)
+    return df.join(broadcast_bounded(weights), label)
 
 
 def oversample(df: DataFrame, weight="weight", key="email_id", seed=V.SEED) -> DataFrame:
@@ -192,7 +192,7 @@ def generate_code_mixed(ids: DataFrame, index: str = "index", rows: int | Column
     body = F.replace(body, F.lit("{timeframe}"), pick(i, "timeframe", TIMEFRAMES, seed))
     ai = F.pmod(i, F.lit(5)) == 0
     drafted = ids.select(
-        F.concat(F.lit("CM_"), F.lpad(i.cast("string"), 6, "0")).alias("email_id"),
+        F.format_string("CM_%06d", i).alias("email_id"),
         F.lit("Synthetic_CodeMixed").alias("source_dataset"),
         pick(i, "sender", SENDERS, seed).alias("sender"),
         pick(i, "receiver", RECEIVERS, seed).alias("receiver"),

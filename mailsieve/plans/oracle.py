@@ -206,7 +206,7 @@ def pick(slot: str, choices) -> str:
 
 
 cte("code_mixed", [], f"""
-select 'CM_' || lpad(i::varchar, 6, '0') as email_id, 'Synthetic_CodeMixed' as source_dataset,
+select printf('CM_%06d', i) as email_id, 'Synthetic_CodeMixed' as source_dataset,
   {pick('sender', T.SENDERS)} as sender, {pick('receiver', T.RECEIVERS)} as receiver, '' as date,
   {pick('subject', T.SUBJECTS)} as subject,
   case when i % 5 = 0 then {pick('opening', T.OPENINGS)} || ' ' || base else base end as body,
@@ -272,7 +272,7 @@ def repaired(x: str) -> str:
 
 oracle("s2_feature_repair", ["raw"], f"""select email_id, {repaired('urls')} as url_count_extracted,
   {', '.join(f'0.0::double as {n}' for n in V.NUMERIC_FEATURES if n not in ('url_count_extracted', 'email_entropy'))},
-  case when email_id % 2 = 0 then 1.5::double else 0.0::double end as email_entropy, 'Unknown' as detected_language,
+  (case email_id % 6 when 0 then 1.5 when 2 then -2500.0 when 4 then 3.0 else 0.0 end)::double as email_entropy, 'Unknown' as detected_language,
   case when email_id % 5 = 0 then 'Unknown' else source_dataset end as category,
   case when email_id % 7 = 0 then '' else coalesce(subject, '') end as clean_email_text from raw""")
 oracle("s3_table_sink", ["feats"], f"select email_id, category, {', '.join(V.NUMERIC_FEATURES)} from feats")
@@ -575,9 +575,10 @@ oracle("j2_label_lookup", ["predictions"], """select email_id, case when c = 'Le
     when c in ('Business_Email_Compromise', 'AI_Generated_Phishing') then 'Critical' else 'High' end as risk,
   case c when 'Legitimate' then 0 when 'Spam' then 1 when 'Traditional_Phishing' then 2 when 'Business_Email_Compromise' then 3 when 'AI_Generated_Phishing' then 4 end::int as label
 from (select email_id, case when email_id % 6 = 0 then 'Other' else category end as c from predictions)""")
-oracle("j3_fuse_branches", ["mail_vectors", "probs", "mail_headers"], """select email_id, unnest(range(0, len(f)))::int as pos, unnest(f) as value from (
-  select v.email_id, list_concat(list_concat(list_transform(v.embedding, lambda x: x::double), p.p), [length(h.from_header)::double, length(h.message_id)::double]) as f
-  from mail_vectors v join probs p on p.email_id = v.email_id join mail_headers h on h.email_id = v.email_id)""")
+oracle("j3_fuse_branches", ["mail_vectors", "mail_headers"], """select email_id, unnest(range(0, len(f)))::int as pos, unnest(f) as value from (
+  select v.email_id, list_concat(list_concat(list_transform(v.embedding, lambda x: x::double), list_transform(v.w, lambda x: x / list_sum(v.w))), [length(h.from_header)::double, length(h.message_id)::double]) as f
+  from (select *, list_transform(embedding[1:5], lambda x: (1 + floor(abs(x::float) * 1000::float))::double) as w from mail_vectors) v
+  join mail_headers h on h.email_id = v.email_id)""")
 oracle("j4_alignment", ["predictions"], """select count(*) filter (l.email_id is not null and r.email_id is not null and l.category = r.prediction) as matching,
   count(*) filter (l.email_id is not null and r.email_id is not null and l.category <> r.prediction) as different,
   count(*) filter (l.email_id is null) as missing_left, count(*) filter (r.email_id is null) as missing_right
@@ -701,13 +702,13 @@ def vocabulary(source: str, size: int) -> str:
 group by gram order by occurrences desc, gram limit {size}"""
 
 
-oracle("e3_word_grams", ["word_lists"], vocabulary("word_lists", 5000))
+oracle("e3_word_grams", ["word_lists"], vocabulary("word_lists", 50000))
 cte("padded", ["feats"], f"select email_id, ' ' || unnest(list_filter(regexp_split_to_array(clean_email_text, '[{V.WS}]+'), lambda w: w <> '')) || ' ' as w from feats")
 cte("char_lists", ["padded"], """select email_id, list_concat(
   case when length(w) <= 3 then [w] else list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) end, list_concat(
   case when length(w) < 4 then [] else list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) end,
   case when length(w) < 5 then [] else list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) end)) as g from padded""")
-oracle("e4_char_grams", ["char_lists"], vocabulary("char_lists", 2000))
+oracle("e4_char_grams", ["char_lists"], vocabulary("char_lists", 100000))
 oracle("e5_label_ids", ["predictions"], "select email_id, category, (dense_rank() over (order by category) - 1)::int as label_id from predictions")
 oracle("e6_masked_mean", [], f"""select email_id, i::int as pos, {even('coalesce(avg(x) filter (m), 0)', 6)} as value from (
   select vec_id % 50 as email_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x, vec_id % 3 <> 0 as m from embeddings) group by 1, 2""")
@@ -762,4 +763,4 @@ feature_cte("stream_feats", "stream_mail", V.TRAINING_URL, V.TRAINING_KEYWORDS)
 oracle("w1_feature_stream", ["stream_feats"], f"select email_id, clean_email_text, {FEATURES} from stream_feats")
 oracle("w2_feedback_rates", [], """select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, strftime(w + interval 1 hour, '%Y-%m-%d %H:%M:%S') as window_end, event_type, count(*) as n
 from (select distinct on (event_id) event_id, date_trunc('hour', ts) as w, event_type from events)
-where w + interval 1 hour <= (select max(ts) - interval 10 minute from events) group by w, event_type""")
+group by w, event_type""")

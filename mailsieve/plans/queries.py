@@ -176,7 +176,7 @@ def s2_feature_repair(spark, sf):
         "email_id", c("urls").alias("url_count_extracted"),
         F.when(c("email_id") % 5 == 0, lit(None)).otherwise(c("source_dataset")).alias("category"),
         F.when(c("email_id") % 7 == 0, lit(None)).otherwise(c("subject")).alias("clean_email_text"),
-        F.when(c("email_id") % 2 == 0, lit(" 1.5 ")).otherwise(lit("12a")).alias("email_entropy"),
+        F.element_at(F.array(*map(lit, (" 1.5 ", "12a", "-2.5e3", "NaN", "3.", "12d"))), (c("email_id") % 6 + 1).cast("int")).alias("email_entropy"),
     )
     return P.repair_features(raw).select("email_id", *V.STRUCTURED_COLUMNS, "category", "clean_email_text")
 
@@ -238,7 +238,11 @@ def s6_feedback_store(spark, sf):
 
 
 def parsed_mail(spark, sf):
-    return eml.parse_mail(W.view(spark, sf, W.RAW_MAIL))
+    """The messages written as files, empty and foreign ones among them, then scanned."""
+    folder = scratch_path(spark, "mailbox")
+    eml.write_messages(W.view(spark, sf, W.RAW_MAIL), folder)
+    parsed = eml.parse_mail(eml.scan_eml(spark, folder))
+    return parsed.withColumn("path", F.concat(lit("mail/"), F.substring_index("path", "/", -1)))
 
 
 @query
@@ -600,7 +604,7 @@ def r4_keep_first(spark, sf):
 @query
 def r5_running_id(spark, sf):
     rows = repeated(spark, sf).select("doc_id", "corpus_rank")
-    return P.add_running_id(rows, ["corpus_rank", "doc_id"], rows_per_bucket=200)
+    return P.add_running_id(rows, ["corpus_rank", "doc_id"])
 
 
 @query
@@ -648,7 +652,12 @@ def j2_label_lookup(spark, sf):
 @query
 def j3_fuse_branches(spark, sf):
     counts = headers(spark, sf).select("email_id", F.array(F.length("from_header"), F.length("message_id")).alias("structured"))
-    fused = P.fuse_branches(mail_embeddings(spark, sf), class_probabilities(spark, sf), counts)
+    vectors = mail_embeddings(spark, sf)
+    # Every e-mail has all three branches: its probabilities come from its own vector.
+    weights = F.transform(F.slice("embedding", 1, 5), lambda x: lit(1.0) + F.floor(F.abs(x) * 1000))
+    total = F.aggregate("w", lit(0.0), lambda a, x: a + x)
+    probabilities = vectors.select("email_id", weights.alias("w")).select("email_id", F.transform("w", lambda x: x / total).alias("probabilities"))
+    fused = P.fuse_branches(vectors, probabilities, counts)
     return fused.select("email_id", F.posexplode("fusion").alias("pos", "value"))
 
 
@@ -899,13 +908,13 @@ def e2_one_hot(spark, sf):
 @query
 def e3_word_grams(spark, sf):
     grams = N.word_grams(feats(spark, sf).select("email_id", V.TEXT_COLUMN), stop_words=V.OCCLUSION_STOP_WORDS)
-    return N.vocabulary(N.gram_counts(grams, c("grams")), 5000)
+    return N.vocabulary(N.gram_counts(grams, c("grams")), 50_000)
 
 
 @query
 def e4_char_grams(spark, sf):
     f = materialize(feats(spark, sf).select(V.TEXT_COLUMN), "texts")
-    return N.vocabulary(N.char_gram_counts(f), 2000)
+    return N.vocabulary(N.char_gram_counts(f), 100_000)
 
 
 @query
@@ -926,7 +935,7 @@ def e6_masked_mean(spark, sf):
 @query
 def e6_text_vectors(spark, sf):
     f = materialize(feats(spark, sf).select("email_id", V.TEXT_COLUMN), "texts")
-    encoder = N.fit_text_encoder(f, size=16)
+    encoder = N.fit_text_encoder(f)
     return encoder.transform(f).select("email_id", N.to_array("embedding_vector").alias("embedding"))
 
 
@@ -941,8 +950,6 @@ def e7_fusion_scaler(spark, sf):
 
 # --- models ---------------------------------------------------------------------------------
 
-# Sizes for runs over the test tables; the operators' defaults are the full settings.
-_SMALL = dict(embedding_size=16, rounds=5, depth=4, hidden=(32,), max_iter=40)
 _fitted: dict[tuple, D.HybridModel] = {}
 
 
@@ -956,7 +963,7 @@ def hybrid_model(spark, sf) -> D.HybridModel:
     """Fitted once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fitted:
-        _fitted[key] = D.fit_hybrid(split_features(spark, sf).filter("split = 'train'"), **_SMALL)
+        _fitted[key] = D.fit_hybrid(split_features(spark, sf).filter("split = 'train'"))
     return _fitted[key]
 
 
@@ -969,28 +976,28 @@ def _scored(model, rows):
 @query
 def l1_logistic_regression(spark, sf):
     rows = split_features(spark, sf)
-    model = D.fit_logistic_regression(rows.filter("split = 'train'"), "word", vocabulary=2000, max_iter=30)
+    model = D.fit_logistic_regression(rows.filter("split = 'train'"), "word")
     return _scored(model, rows)
 
 
 @query
 def l1_logistic_regression_char(spark, sf):
     rows = split_features(spark, sf)
-    model = D.fit_logistic_regression(rows.filter("split = 'train'"), "char", vocabulary=2000, max_iter=20)
+    model = D.fit_logistic_regression(rows.filter("split = 'train'"), "char", vocabulary=100_000)
     return _scored(model, rows)
 
 
 @query
 def l2_random_forest(spark, sf):
     rows = split_features(spark, sf)
-    model = D.fit_random_forest(rows.filter("split = 'train'"), vocabulary=2000, trees=20, depth=8)
+    model = D.fit_random_forest(rows.filter("split = 'train'"), trees=200)
     return _scored(model, rows)
 
 
 @query
 def l3_boosted_trees(spark, sf):
     rows = split_features(spark, sf)
-    model = D.fit_boosted_trees(rows.filter("split = 'train'"), rounds=5, depth=4)
+    model = D.fit_boosted_trees(rows.filter("split = 'train'"))
     scored = model.transform(rows.filter("split <> 'train'"))
     return K.with_winner(scored, "probabilities", model.classes).select(
         "email_id", "split", "category", "prediction", X.round_even(c("confidence"), 4).alias("confidence")
@@ -1148,5 +1155,6 @@ def w1_score_stream(spark, sf):
 def w2_feedback_rates(spark, sf):
     events = W.table(spark, sf, "events")
     stream = jobs.file_stream(spark, sf, events.schema, "events.parquet").select("event_id", c("ts").cast("timestamp").alias("ts"), "event_type")
-    rates = jobs.run_to_table(jobs.feedback_rates(stream, status="event_type", key="event_id"), "feedback-rates")
+    rates = jobs.feedback_rates(stream, status="event_type", key="event_id")
+    rates = jobs.run_updates(rates, ["window_start", "window_end", "event_type"], "feedback-rates")
     return rates.withColumns({w: F.date_format(w, "yyyy-MM-dd HH:mm:ss") for w in ("window_start", "window_end")})

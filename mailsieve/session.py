@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,25 +36,44 @@ _fallback: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session takes a temporary folder that goes with the process. On a cluster that would be
+    another disk on every machine, so there it is an error.
+    """
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="mailsieve-")
+        atexit.register(shutil.rmtree, _fallback, ignore_errors=True)
     return _fallback
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Iterative fits cut their lineage in the checkpoint folder; set one only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_folder(spark)}/mailsieve-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written so far; results that still read it must be used before."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -63,12 +84,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str, tasks_per_core: int = 3) -> DataFrame:
-    """Use all cores for heavy text work when the input comes in fewer splits than there are cores.
+    """On one machine, deal rows to all cores by the hash of their id; a cluster reads its splits as they are.
 
-    On large inputs the scan already has more splits than cores, and this changes nothing. Rows are
-    placed by the hash of their id, so a lost task is recomputed to the same rows.
+    The small tables of a local run are single row groups, which one task would read and work on alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * tasks_per_core, key)
-    return df
+    master = df.sparkSession.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * tasks_per_core, key)

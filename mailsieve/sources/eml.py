@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from email import policy
 from email.header import decode_header, make_header
 from email.parser import BytesParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,18 +35,46 @@ _MANY = {
 }
 
 
-def scan_eml(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of every file below a folder.
+def scan_eml(spark: SparkSession, path: str, max_bytes: int = V.MAX_EML_BYTES) -> DataFrame:
+    """(path, length, content) of every file below a folder; only messages of up to ``max_bytes`` come with content.
 
-    Too large files come without content: the reader skips them by their length, so they cost nothing.
-    The reader itself leaves out files of zero bytes.
+    The reader leaves files of zero bytes out, so those come from its list of files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= V.MAX_EML_BYTES).select("path", "length", "content")
-    large = files.filter(F.col("length") > V.MAX_EML_BYTES).select(
-        "path", "length", F.lit(None).cast("binary").alias("content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    every = reader.load(path)
+    messages = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(path)
+    fits = F.endswith(F.lower("path"), F.lit(".eml")) & (F.col("length") <= max_bytes)
+    nothing = F.lit(None).cast("binary").alias("content")
+    # The list writes local paths with three slashes, the reader with one.
+    names = [(unquote(p).replace("file:///", "file:/", 1), 0) for p in every.inputFiles()]
+    listed = spark.createDataFrame(names, "path string, length long")
+    return (
+        messages.filter(F.col("length") <= max_bytes).select("path", "length", "content")
+        .unionByName(every.filter(~fits).select("path", "length", nothing))
+        .unionByName(listed.join(every.select("path"), "path", "left_anti").select("path", "length", nothing))
     )
-    return small.unionByName(large)
+
+
+def write_messages(messages: DataFrame, folder: str) -> int:
+    """Write (path, content) as files below a folder that all tasks reach; a task that runs again writes the same files.
+
+    Returns the number of files.
+    """
+    base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path, content in batch.itertuples(index=False):
+                place = f"{root}/{path}"
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return messages.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _header(value) -> str:
@@ -100,17 +129,21 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names).astype({"received_count": "Int32"})
 
 
-def rejection() -> Column:
+def rejection(max_bytes: int = V.MAX_EML_BYTES) -> Column:
     return (
         F.when(~F.endswith(F.lower("path"), F.lit(".eml")), F.lit("not an .eml file"))
         .when(F.col("length") == 0, F.lit("empty file"))
-        .when(F.col("length") > V.MAX_EML_BYTES, F.lit("larger than 15 MB"))
+        .when(F.col("length") > max_bytes, F.lit(f"larger than {max_bytes / 2**20:g} MB"))
     )
 
 
-def decode_messages(files: DataFrame) -> DataFrame:
-    """(path, length, content) -> headers and parts; rejected files keep a row with ``error``."""
-    checked = files.select("path", "length", "content", rejection().alias("error"))
+def decode_messages(files: DataFrame, max_bytes: int = V.MAX_EML_BYTES) -> DataFrame:
+    """(path, length, content) -> headers and parts; rejected files keep a row with ``error``.
+
+    The bytes of rejected files stay behind.
+    """
+    error = rejection(max_bytes)
+    checked = files.select("path", "length", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
     return checked.mapInPandas(_decode_batches, RAW_SCHEMA)
 
 
@@ -132,9 +165,9 @@ def body_columns(parts: Column) -> dict[str, Column]:
     return {"_plain": plain, "_html": html}
 
 
-def parse_mail(files: DataFrame) -> DataFrame:
+def parse_mail(files: DataFrame, max_bytes: int = V.MAX_EML_BYTES) -> DataFrame:
     """(path, length, content) -> one nested row per message, with flags, attachments and risk."""
-    decoded = decode_messages(files).withColumns(body_columns(F.col("parts")))
+    decoded = decode_messages(files, max_bytes).withColumns(body_columns(F.col("parts")))
     c = F.col
     with_body = decoded.withColumns(
         {

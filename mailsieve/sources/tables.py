@@ -72,16 +72,23 @@ def expected_rows(metadata: DataFrame, split: str) -> int:
 
 
 def append_feedback(records: DataFrame, path: str, order: str) -> None:
-    """Append verdicts with new ids after the largest stored one; ``order`` is a unique number column."""
+    """Append verdicts with new ids after the largest stored one; ``order`` is a unique number column.
+
+    One writer at a time: a lock file beside the store is made before the largest id is read and goes after the write.
+    A second writer fails; after a crash the lock has to be removed by hand.
+    """
     spark = records.sparkSession
+    jvm = spark._jvm
+    store, lock = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.lock"))
+    system = store.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.createNewFile(lock):
+        raise RuntimeError(f"another writer holds {lock}")
     try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception as missing:  # the first append finds no table
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        last = 0
-    numbered = add_running_id(records, [order], "id").withColumn("id", F.col("id") + F.lit(last))
-    write_table(numbered, path, mode="append")
+        last = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) if system.exists(store) else 0
+        numbered = add_running_id(records, [order], "id").withColumn("id", F.col("id") + F.lit(last))
+        write_table(numbered, path, mode="append")
+    finally:
+        system.delete(lock, False)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

@@ -41,6 +41,32 @@ def feedback_rates(
     )
 
 
+def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Process what is there in update mode and return the last state of every key, open windows included.
+
+    Each batch goes to a folder of its own number, so a batch that is run again replaces itself.
+    """
+    spark = stream.sparkSession
+    target, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/_number={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    written = spark.read.option("basePath", target).schema(f"{_ddl(stream)}, _number bigint").parquet(target)
+    values = [c for c in stream.columns if c not in keys]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_number").alias("_v"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in stream.columns])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Process what is there, write it to a new table in the shared folder and read it back."""
     spark = stream.sparkSession

@@ -208,7 +208,7 @@ def test_hostile_texts_take_linear_time(spark):
     import time
 
     n = 300_000
-    texts = ["<" * n, "a." * n + "@", "@" + "a." * n, "<a '" * n, "<!" * n, "a@" * n, " \n" * n + "x", "1-" * n + "@b", "x" * n + "@a.bc"]
+    texts = ["<" * n, "a." * n + "@", "@" + "a." * n, "<a '" * n, "<!" * n, "a@" * n, " \n" * n + "x", "1-" * n + "@b", "x" * n + "@a.bc", "<script " * n, "<style>" * n, "<script>a</scrip" * n, "</script " * n, "&#" + "0" * n]
     start = time.time()
     values(spark, texts, lambda c: F.length(X.normalize_for_model(c)))
     values(spark, texts, lambda c: F.length(X.html_to_text(c)))
@@ -323,3 +323,41 @@ def test_html_against_the_standard_parser(spark):
     rng = random.Random(3)
     pages = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
     assert values(spark, pages, X.html_to_text) == [plain(p) for p in pages]
+
+
+def test_entities_as_the_standard_library_reads_them(spark):
+    from html import unescape
+
+    texts = [
+        "https&colon;&sol;&sol;evil&period;test&sol;login", "&#00000065;&#x0000041;&#65", "&NewLine;|&Tab;|&nvlt;|&CounterClockwiseContourIntegral;",
+        "&#0;&#x110000;&#99999999999999999999;&#xD800;&#xFDD0;&#x1FFFE;&#128;&#x9f;", "&ampx &notit; &notin; &bogus; &#; &#x; &", "&lt;&#60;&amp;lt;",
+    ]
+    once = [unescape(t) for t in texts]
+    assert values(spark, texts, X.decode_entities) == [unescape(t) for t in once]
+
+
+def test_elements_without_an_end(spark):
+    texts = ["a<script>b", "a<script>b</script>c", "a<script x", "a<style>b>c</style >d<script>e>f", "x<script>a</scripty>b</script>c", "<script>\x00\uffff</script>t"]
+    assert values(spark, texts, X.html_to_text) == ["a", "ac", "a<script x", "ad", "xc", "t"]
+
+
+def test_entropy_of_a_large_alphabet(spark):
+    import math
+    import time
+    from collections import Counter
+
+    texts = ["".join(chr(0x4E00 + i % n) for i in range(60_000)) for n in (1, 7, 20_000)] + ["aab", "Zz9 e", ""]
+    start = time.time()
+    got = values(spark, texts, E.entropy)
+    assert time.time() - start < 30
+    for text, value in zip(texts, got):
+        shares = [k / len(text) for k in Counter(text).values()]
+        assert value == round(-sum(p * math.log2(p) for p in shares) + 0.0, 4)
+
+
+def test_numbers_in_text(spark):
+    texts = ["1.5", " -2e3 ", "12d", "1.5F", "NaN", "nan", "+.5", "3.", "", "1 2", "0x1", None]
+    assert values(spark, texts, E.coerce_double) == [1.5, -2000.0, 0.0, 0.0, 0.0, 0.0, 0.5, 3.0, 0.0, 0.0, 0.0, 0.0]
+    assert values(spark, texts, E.coerce_int) == [1, -2000, 0, 0, 0, 0, 0, 3, 0, 0, 0, 0]
+    numbers = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in numbers.select(E.coerce_double(F.col("x"))).collect()] == [1.0, 0.0, 0.0]

@@ -46,7 +46,7 @@ def test_saved_model_scores_alike(spark, sf_dir):
 
 
 def test_missing_parts(spark, tmp_path):
-    assert D.missing_parts(spark, str(tmp_path)) == ["encoder", "scaler", "network", "info", "boosted"]
+    assert D.missing_parts(spark, str(tmp_path), D.HybridModel.PARTS) == list(D.HybridModel.PARTS)
     with pytest.raises(FileNotFoundError, match="network"):
         D.HybridModel.load(spark, str(tmp_path))
 

@@ -99,12 +99,12 @@ def test_oversample(spark):
 
 def test_running_id(spark):
     df = spark.range(5000).select((F.col("id") * 3 % 5000).alias("n"), (F.col("id") % 3).alias("rank"))
-    got = P.add_running_id(df, ["rank", "n"], rows_per_bucket=300).orderBy("email_id").collect()
+    got = P.add_running_id(df, ["rank", "n"]).orderBy("email_id").collect()
     assert [r["email_id"] for r in got] == list(range(1, 5001))
     assert [(r["rank"], r["n"]) for r in got] == sorted((r["rank"], r["n"]) for r in got)
     # Clustered values, and a table with one row.
     odd = spark.range(3000).select(F.when(F.col("id") < 2999, F.col("id")).otherwise(10**12).alias("n"))
-    ids = P.add_running_id(odd, ["n"], rows_per_bucket=100).orderBy("n").collect()
+    ids = P.add_running_id(odd, ["n"]).orderBy("n").collect()
     assert [r["email_id"] for r in ids] == list(range(1, 3001))
     assert P.add_running_id(spark.range(1).toDF("n"), ["n"]).first()["email_id"] == 1
     assert P.add_running_id(spark.range(0).toDF("n"), ["n"]).count() == 0
@@ -195,10 +195,38 @@ def test_no_window_over_a_whole_class(spark, sf_dir):
 
 
 def test_broadcast_limit(spark):
-    from mailsieve.operators.bounded import broadcast_if_small
+    from mailsieve.operators.bounded import broadcast_bounded
 
-    small = broadcast_if_small(spark.range(10).toDF("k"), 10)
-    large = broadcast_if_small(spark.range(11).toDF("k"), 10)
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString() or "hint" in str(small._jdf.queryExecution().analyzed()).lower()
-    assert "hint" not in str(large._jdf.queryExecution().analyzed()).lower()
-    assert (small.count(), large.count()) == (10, 11)
+    small = broadcast_bounded(spark.range(10).toDF("k"), 10)
+    assert "hint" in str(small._jdf.queryExecution().analyzed()).lower() and small.count() == 10
+    with pytest.raises(ValueError, match="too many groups"):
+        broadcast_bounded(spark.range(11).toDF("k"), 10)
+
+
+def test_generated_ids_stay_apart(spark):
+    numbers = [1, 100_000, 999_999, 1_000_000, 1_000_001, 1_000_009]
+    ids = spark.createDataFrame([(i,) for i in numbers], "index long")
+    got = [r[0] for r in T.generate_code_mixed(ids, rows=2_000_000).orderBy("email_id").select("email_id").collect()]
+    assert sorted(got) == sorted(f"CM_{i:06d}" for i in numbers)
+
+
+def test_missing_branch_is_an_error(spark):
+    one = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "email_id long, embedding array<double>")
+    two = spark.createDataFrame([(1, [3.0])], "email_id long, probabilities array<double>")
+    three = spark.createDataFrame([(1, [4.0]), (2, [5.0])], "email_id long, structured array<double>")
+    with pytest.raises(Exception, match="2 is missing in: probabilities"):
+        P.fuse_branches(one, two, three).collect()
+    assert P.fuse_branches(one.filter("email_id = 1"), two, three.filter("email_id = 1")).first()[1] == [1.0, 3.0, 4.0]
+
+
+def test_running_ids_of_many_leading_values(spark):
+    rows = spark.range(5000).selectExpr("id % 700 as lead", "id as number", "concat('t', id) as text")
+    got = [(r.lead, r.number, r.email_id) for r in P.add_running_id(rows, ["lead", "number"]).collect()]
+    want = [(lead, n, i + 1) for i, (lead, n) in enumerate(sorted((i % 700, i) for i in range(5000)))]
+    assert sorted(got) == sorted(want)
+    assert P.add_running_id(rows.limit(0), ["lead", "number"]).collect() == []
+
+
+def test_keep_first_with_nulls_in_the_order(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), (1, 2, "a"), (None, 3, None), (2, 4, None), (2, 5, "b")], "r long, n long, t string")
+    assert sorted(r.n for r in P.keep_first(rows, "t", ["r", "n"]).collect()) == [1, 3, 5]

@@ -44,8 +44,46 @@ def test_counts_combine_before_the_shuffle(spark, sf_dir):
         assert "partial_" in text.split("FileScan")[0]
 
 
-def test_enough_splits_are_left_alone(spark, sf_dir):
-    from mailsieve.session import spread
+class Settings:
+    """A table of a session with other settings."""
 
-    many = spark.range(0, 1000, 1, 64).withColumnRenamed("id", "k")
-    assert spread(many, "k") is many
+    def __init__(self, **settings):
+        self.sparkSession = self.conf = self
+        self.settings = settings
+
+    def get(self, key, default=None):
+        return self.settings.get(key.replace("spark.", "", 1).replace(".", "_"), default)
+
+
+@pytest.mark.parametrize("master", ["yarn", "k8s://host", "spark://host:1", "local-cluster[2,1,1024]"])
+def test_a_cluster_reads_its_splits_and_needs_a_shared_folder(master):
+    from mailsieve import session
+
+    table = Settings(master=master)
+    assert session.spread(table, "k") is table
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(table)
+    assert session.shared_folder(Settings(master=master, checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_nothing_is_left_behind(spark):
+    import os
+
+    from mailsieve import session
+
+    session.materialize(spark.range(3), "left")
+    assert os.path.isdir(session.scratch_root(spark))
+    session.remove_scratch(spark)
+    assert not os.path.exists(session.scratch_root(spark))
+
+
+@pytest.mark.parametrize("name", ["r4_keep_first", "b4_training_candidates"])
+def test_texts_are_not_sorted(name, spark, sf_dir):
+    for line in plan(spark, sf_dir, name).splitlines():
+        if "SortAggregate" in line or " Sort " in line:
+            assert "text" not in line.replace("clean_email_text", "text") or "sha2" in line
+
+
+@pytest.mark.parametrize("name", ["r5_running_id", "t1_stratified_split"])
+def test_no_window_without_partitions(name, spark, sf_dir):
+    assert "WindowExec" not in plan(spark, sf_dir, name) and "SinglePartition" not in plan(spark, sf_dir, name)

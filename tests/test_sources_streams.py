@@ -76,17 +76,36 @@ def mailbox(spark, tmp_path_factory):
     (box / "bare.EML").write_bytes(b"\x00\xff\xfe")
     (box / "note.txt").write_bytes(b"x")
     (box / "large.eml").write_bytes(b"Subject: x\n\n" + b"a" * (15 * 1024 * 1024))
+    (box / "zero.eml").write_bytes(b"")
+    (box / "zero one.eml").write_bytes(b"")
     rows = eml.parse_mail(eml.scan_eml(spark, str(box))).collect()
     return {r["path"].rsplit("/", 1)[1]: r for r in rows}
 
 
 def test_rejected_files(mailbox):
     assert {n: r["error"] for n, r in mailbox.items() if r["error"]} == {
-        "note.txt": "not an .eml file", "large.eml": "larger than 15 MB",
+        "note.txt": "not an .eml file", "large.eml": "larger than 15 MB", "zero.eml": "empty file", "zero one.eml": "empty file",
     }
     assert mailbox["large.eml"]["headers"] is None
 
 
+def test_size_limit_is_a_parameter(spark, tmp_path):
+    messages = spark.createDataFrame([("a/x.eml", b"Subject: s\n\n" + b"b" * 3000), ("a/y.eml", b"Subject: t\n\nb")], "path string, content binary")
+    assert eml.write_messages(messages, str(tmp_path)) == 2
+    rows = eml.parse_mail(eml.scan_eml(spark, str(tmp_path), 1024), 1024).collect()
+    assert {r["path"][-5:]: r["error"] for r in rows} == {"x.eml": "larger than 0.000976562 MB", "y.eml": None}
+
+
+def test_second_writer_of_the_store_fails(spark, tmp_path):
+    path = str(tmp_path / "store")
+    (tmp_path / "store.lock").write_text("")
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.append_feedback(spark.range(3).toDF("event"), path, "event")
+    (tmp_path / "store.lock").unlink()
+    tables.append_feedback(spark.range(3).toDF("event"), path, "event")
+    assert tables.count_feedback(spark, path) == 3 and not (tmp_path / "store.lock").exists()
+
+
 def test_empty_content(spark):
     files = spark.createDataFrame([("a/x.eml", 0, b"")], "path string, length long, content binary")
     assert eml.parse_mail(files).first()["error"] == "empty file"
@@ -164,6 +183,14 @@ def test_rates_drop_late_rows_and_repeats(spark, tmp_path):
     assert [(r["window_start"].hour, r["feedback_status"], r["n"]) for r in got] == [
         (0, "Correct", 1), (0, "Wrong", 1), (2, "Correct", 1), (2, "Wrong", 1),
     ]
+    source = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+        .option("latestFirst", False).parquet(str(folder))
+    )
+    updated = jobs.run_updates(jobs.feedback_rates(source), ["window_start", "window_end", "feedback_status"], "test-updates")
+    assert {(r["window_start"].hour, r["feedback_status"], r["n"]) for r in updated.collect()} == {
+        (0, "Correct", 1), (0, "Wrong", 1), (2, "Correct", 1), (2, "Wrong", 1), (6, "Correct", 1),
+    }
     everything = spark.createDataFrame([r for b in batches for r in b], schema)
     batch = {(r["window_start"].hour, r["feedback_status"]): r["n"] for r in jobs.feedback_rates(everything).collect()}
     assert batch == {(0, "Correct"): 1, (0, "Wrong"): 2, (2, "Correct"): 1, (2, "Wrong"): 1, (6, "Correct"): 1}
