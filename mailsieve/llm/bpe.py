@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mailsieve.llm.tokens import PieceCache, arrow_rows
+from mailsieve.llm.tokens import PieceTable, arrow_rows
 
 LONG_PIECE = 512
 _NONE = np.int32(2**31 - 1)
@@ -87,7 +87,7 @@ class MatrixBpe:
         self.tokens = [b""] * (max(self.rank_of.values()) + 1)
         for token, rank in self.rank_of.items():
             self.tokens[rank] = token
-        self.cache = PieceCache(self.encode_pieces)
+        self.table = PieceTable(self.encode_pieces)
         self.decimals = [b"%d" % i for i in range(len(self.tokens))]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -169,7 +169,7 @@ class MatrixBpe:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.cache.buffers(texts)
+        return self.table.buffers(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
