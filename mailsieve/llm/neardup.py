@@ -373,7 +373,8 @@ def near_duplicates(
     involved = materialize(members.select("id").distinct().join(nodes, "id").drop("copies"), "involved")
     texts = docs.select(docs[id_column].cast("bigint").alias("id"), docs[text_column].alias("text"))
     node = ["id", "key_high", "key_low"]
-    sets = shingle_sets(texts.join(involved.select("id"), "id"), size).join(involved, node)
+    # The same join at every size: texts are dealt by id.
+    sets = shingle_sets(texts.join(involved.select("id").hint("merge"), "id"), size).join(involved, node)
     sets = materialize(sets.dropDuplicates(["id"]).select("id", "hashes"), "sets")
     planes = linked.join(involved, node).dropDuplicates(["id"])
     planes = materialize(planes.select("id", "planes", "marks"), "planes")
