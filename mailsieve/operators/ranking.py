@@ -60,8 +60,9 @@ def top_drops(drops: Column, n: int = 5) -> Column:
 
 
 def top_absolute(items: Column, n: int) -> Column:
-    """The n largest by absolute value, n limited to 1..25, of an array of struct(pos, name, value)."""
-    n = max(1, min(int(n), 25))
+    """The n largest by absolute value, n from 1 to 25, of an array of struct(pos, name, value)."""
+    if not 1 <= n <= 25:
+        raise ValueError("n must lie between 1 and 25")
 
     def order(a: Column, b: Column) -> Column:
         x, y = F.abs(a["value"]), F.abs(b["value"])

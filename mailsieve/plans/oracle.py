@@ -764,3 +764,36 @@ oracle("w1_feature_stream", ["stream_feats"], f"select email_id, clean_email_tex
 oracle("w2_feedback_rates", [], """select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, strftime(w + interval 1 hour, '%Y-%m-%d %H:%M:%S') as window_end, event_type, count(*) as n
 from (select distinct on (event_id) event_id, date_trunc('hour', ts) as w, event_type from events)
 group by w, event_type""")
+
+# --- models: what must hold for every row, next to facts that SQL knows by itself ------------------
+
+
+def all_true(*names: str) -> str:
+    return ", ".join(f"true as {n}" for n in names)
+
+
+SOUND = all_true("class_known", "sums_to_one", "is_winner", "confidence_fits")
+for name in ("l1_logistic_regression", "l1_logistic_regression_char", "l2_random_forest", "l3_boosted_trees", "l4_fusion_network"):
+    oracle(name, ["splits"], f"select email_id, split, category, {SOUND} from splits where split <> 'train'")
+oracle("l5_hybrid_scoring", ["feats_serving"], f"""select email_id, detected_language, url_count_extracted::bigint as url_count,
+  {all_true("risk_fits", "is_winner", "sums_to_one", "branch_known", "has_reasons")} from feats_serving""")
+oracle("s8_model_store", ["splits"], """select model, email_id, true as same
+from splits, (values ('hybrid'), ('boosted'), ('text')) m(model) where split = 'test'""")
+oracle("m5_model_robustness", ["predictions"], f"""select attack_type, count(*) as rows, {all_true("correct_within_rows", "accuracy_fits")}
+from predictions group by attack_type""")
+oracle("m5_robustness_rows", ["predictions"], f"""select email_id, attack_type, category,
+  {all_true("class_known", "flag_fits", "confidence_fits")} from predictions""")
+oracle("k3_top_importances", [], f"select unnest(range(1, 11))::int as rank, {all_true('feature_known', 'in_order')}")
+oracle("e6_text_vectors", ["feats"], "select email_id, 64::int as width, true as finite from feats")
+oracle("x3_occlusion", ["feats"], f"""select email_id,
+  {all_true("class_known", "at_most_five", "words_known", "in_order", "all_positive")} from feats""")
+oracle("x4_word_surrogate", ["emails"], f"""select email_id,
+  {all_true("ranks_gapless", "at_most_ten", "terms_distinct", "effects_fit", "class_known")}, 50::bigint as samples from emails""")
+oracle("x5_structured_attribution", ["feats"], f"select email_id, 10::bigint as features, {all_true('adds_up', 'class_known')} from feats")
+oracle("x6_importances", [], f"""select unnest([{', '.join(q(n) for n in V.NUMERIC_FEATURES)}]) as feature,
+  {all_true("share", "shares_sum_to_one")}""")
+oracle("x7_explanation_table", ["feats", "predictions"], f"""select f.email_id, p.attack_type, f.category as actual_class,
+  {', '.join('f.' + n for n in V.NUMERIC_FEATURES)}, f.detected_language, {all_true("reasons_fit", "flag_fits", "has_occlusion")}
+from feats f join predictions p on p.email_id = f.email_id""")
+oracle("w1_score_stream", [], f"""select doc_id as email_id,
+  {all_true("same_prediction", "same_confidence", "same_branch_prediction", "same_branch_confidence")} from documents""")

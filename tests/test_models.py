@@ -25,12 +25,58 @@ def majority(df):
     return max(counts) / sum(counts)
 
 
-@pytest.mark.parametrize("name", ["l1_logistic_regression", "l1_logistic_regression_char", "l2_random_forest", "l3_boosted_trees", "l4_fusion_network"])
-def test_better_than_the_largest_class(name, spark, sf_dir):
-    scored = Q.QUERIES[name](spark, sf_dir)
+@pytest.fixture(scope="module")
+def fitted(hybrid, rows):
+    """Each kind of model; the linear ones and the forest at small sizes."""
+    train = rows.filter("split = 'train'")
+    return {
+        "word": D.fit_logistic_regression(train, "word", vocabulary=2000, max_iter=30),
+        "char": D.fit_logistic_regression(train, "char", vocabulary=2000, max_iter=20),
+        "forest": D.fit_random_forest(train, vocabulary=2000, trees=20, depth=8),
+        "boosted": hybrid.boosted, "hybrid": hybrid,
+    }
+
+
+@pytest.mark.parametrize("name", ["word", "char", "forest", "boosted", "hybrid"])
+def test_better_than_the_largest_class(name, fitted, rows):
+    model = fitted[name]
+    scored = Q.scored_rows(model, rows)
+    if name == "boosted":
+        scored = Q.K.with_winner(scored, "probabilities", model.classes)
     assert hit_rate(scored) > majority(scored) + 0.2
 
 
+@pytest.mark.parametrize("name", ["word", "forest", "boosted", "hybrid"])
+def test_saved_model_scores_alike(name, fitted, rows, spark, tmp_path):
+    model, path = fitted[name], str(tmp_path / name)
+    few = rows.filter("split = 'test'")
+    model.save(path)
+    again = type(model).load(spark, path)
+    first, second = (m.transform(few).select("email_id", "probabilities").orderBy("email_id").collect() for m in (model, again))
+    assert [r["email_id"] for r in first] == [r["email_id"] for r in second] and first
+    assert np.allclose([r["probabilities"] for r in first], [r["probabilities"] for r in second])
+    with pytest.raises(FileNotFoundError, match="info"):
+        type(model).load(spark, str(tmp_path / "nothing"))
+
+
+def test_every_token_counts(spark):
+    words = [f"w{i % 40}" for i in range(400)]
+    texts = spark.createDataFrame([(i, " ".join(words[: 200 + i])) for i in range(60)], f"email_id long, {V.TEXT_COLUMN} string")
+    encoder = N.fit_text_encoder(texts, size=8, partitions=2)
+    vectors = {r["word"]: r["vector"].toArray() for r in encoder.stages[1].getVectors().collect()}
+    assert len(vectors) == 40
+    for r in encoder.transform(texts).orderBy("email_id").collect()[::20]:
+        want = np.mean([vectors[w] for w in r[V.TEXT_COLUMN].split(" ")], axis=0)
+        assert np.allclose(r["embedding_vector"].toArray(), want, atol=1e-6)
+
+
+def test_vocabulary_bound_keeps_the_most_frequent(spark):
+    texts = spark.createDataFrame([(1, " ".join(["a"] * 9 + ["b"] * 9 + ["c"] * 7 + ["d"] * 6 + ["e"] * 2))], f"email_id long, {V.TEXT_COLUMN} string")
+    for bound, want in ((10, {"a", "b", "c", "d"}), (3, {"a", "b", "c"}), (2, {"a", "b"})):
+        encoder = N.fit_text_encoder(texts, size=2, max_words=bound, partitions=1)
+        assert {r["word"] for r in encoder.stages[1].getVectors().collect()} == want
+
+
 def test_probabilities(hybrid, rows):
     scored = hybrid.transform(rows)
     for column in ("probabilities", "branch_probabilities"):
@@ -40,11 +86,6 @@ def test_probabilities(hybrid, rows):
     assert hybrid.classes == V.CLASSES_SORTED
 
 
-def test_saved_model_scores_alike(spark, sf_dir):
-    pairs = Q.QUERIES["s8_model_store"](spark, sf_dir)
-    assert pairs.filter("prediction <> loaded_prediction or confidence <> loaded_confidence").count() == 0
-
-
 def test_missing_parts(spark, tmp_path):
     assert D.missing_parts(spark, str(tmp_path), D.HybridModel.PARTS) == list(D.HybridModel.PARTS)
     with pytest.raises(FileNotFoundError, match="network"):
@@ -170,8 +211,11 @@ def test_surrogate_ridge_against_normal_equations():
 
 def test_surrogate_names_the_cause(spark, sf_dir, hybrid):
     mail = Q.emails(spark, sf_dir).filter("email_id < 6").select("email_id", "subject", "body")
-    got = L.word_surrogate(mail, hybrid, num_features=4, num_samples=10)
+    got = L.word_surrogate(mail, hybrid, num_features=4, num_samples=50)
     assert got.filter("num_samples <> 50").count() == 0
+    for wrong in (dict(num_samples=10), dict(num_samples=501), dict(num_features=0), dict(num_features=21)):
+        with pytest.raises(ValueError, match="between"):
+            L.word_surrogate(mail, hybrid, **wrong)
     assert got.groupBy("email_id").count().filter("count > 4").count() == 0
 
 
@@ -189,11 +233,15 @@ def test_importances(spark, hybrid):
     assert [r["feature"] for r in got][:9] == V.NUMERIC_FEATURES
 
 
-def test_stream_scores_equal_batch(spark, sf_dir, hybrid):
-    from mailsieve.functions import text as X
-    from mailsieve.functions.features import build_features
+def test_limits_fail_loudly(spark, hybrid, rows):
+    with pytest.raises(ValueError, match="background"):
+        L.structured_attribution(rows, hybrid.boosted, permutations=4, background_rows=8)
+    with pytest.raises(ValueError, match="between 1 and 25"):
+        Q.K.top_absolute(F.array(), 40)
+
 
-    got = Q.QUERIES["w1_score_stream"](spark, sf_dir)
-    mail = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as email_id", "source as subject", "text as body")
-    want = hybrid.transform(build_features(mail, X.TRAINING)).select(got.columns)
-    assert got.count() > 0 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+def test_all_words_can_be_tried(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    df = spark.createDataFrame([(text,)], "t string")
+    sizes = df.select(F.size(L.occlusion_candidates(F.col("t"))), F.size(L.occlusion_candidates(F.col("t"), None))).first()
+    assert tuple(sizes) == (20, 50)
