@@ -41,7 +41,7 @@ def split_pieces(text: str) -> list[str]:
 
 
 #: Characters that are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _LETTER, _NUMBER, _OTHER, _WHITE, _BORDER = 1, 2, 3, 4, 5
 _SEPARATOR = "\uffff"  # not settled, so no text that is cut here holds it
 _CUT = re.compile(" (?=[A-Za-z])")
@@ -107,7 +107,7 @@ class PieceTable:
     corpus. Texts with characters outside the settled blocks are split by the full pattern and encoded piece by piece.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], max_entries: int = 1_400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], max_entries: int = 800_000):
         global _classes
         if _classes is None:
             _classes = _Classes()
