@@ -14,15 +14,17 @@ FEATURES_KEPT = [
 ]
 
 
-def rejection_reason() -> Column:
-    """Null for acceptable verdicts. The status is case sensitive."""
+def rejection_reason(blank: Column | None = None) -> Column:
+    """Null for acceptable verdicts. The status is case sensitive. ``blank`` tells of an empty e-mail; by default its texts do."""
+    if blank is None:
+        blank = X.is_blank(F.col("subject")) & X.is_blank(F.col("body"))
     status, category = F.col("feedback_status"), F.col("correct_category")
     return (
         F.when(
             ~F.coalesce(status.isin("Correct", "Wrong"), F.lit(False)), F.lit("status must be Correct or Wrong")
         )
         .when(~F.coalesce(category.isin(V.CLASSES), F.lit(False)), F.lit("unknown category"))
-        .when(X.is_blank(F.col("subject")) & X.is_blank(F.col("body")), F.lit("empty e-mail"))
+        .when(blank, F.lit("empty e-mail"))
     )
 
 
@@ -31,15 +33,15 @@ def validate(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("rejected", rejection_reason())
 
 
-def accepted(verdicts: DataFrame) -> DataFrame:
-    return validate(verdicts).filter(F.col("rejected").isNull()).drop("rejected")
+def accepted(verdicts: DataFrame, blank: Column | None = None) -> DataFrame:
+    return verdicts.filter(rejection_reason(blank).isNull())
 
 
-def enrich(verdicts: DataFrame, scored: DataFrame, key="email_id") -> DataFrame:
+def enrich(verdicts: DataFrame, scored: DataFrame, key="email_id", blank: Column | None = None) -> DataFrame:
     """Join each accepted verdict with the prediction and features of its e-mail.
 
     ``scored`` has one row per e-mail, so the verdict side may be skewed without multiplying rows;
-    adaptive execution splits a hot key.
+    adaptive execution splits a hot key. With a flag ``blank`` the verdicts need no texts, and no second pass over them.
     """
     kept = scored.select(
         key,
@@ -49,7 +51,7 @@ def enrich(verdicts: DataFrame, scored: DataFrame, key="email_id") -> DataFrame:
         F.col("branch_confidence").alias("xgboost_confidence"),
         *FEATURES_KEPT,
     )
-    return accepted(verdicts).join(kept, key)
+    return accepted(verdicts, blank).join(kept, key)
 
 
 def for_export(stored: DataFrame) -> DataFrame:
