@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,3 +93,23 @@ def spread(df: DataFrame, key: str, tasks_per_core: int = 3) -> DataFrame:
     if not master.startswith("local") or master.startswith("local-cluster"):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * tasks_per_core, key)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of the application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="mailsieve-package-"), "mailsieve_package.zip")
+    with zipfile.ZipFile(path, "w") as package:
+        for folder, _, names in sorted(os.walk(home)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                place = os.path.join(folder, name)
+                package.write(place, os.path.relpath(place, os.path.dirname(home)))
+    context.addPyFile(path)
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    _shipped.add(context.applicationId)
