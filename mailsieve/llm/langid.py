@@ -18,6 +18,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.frequent import most_frequent
 from mailsieve.llm.tokens import arrow_rows
 from mailsieve.session import materialize
 
@@ -52,34 +54,37 @@ def held_out(id_column: Column) -> Column:
 
 
 class BackoffModel:
-    """Log frequencies of words and n-grams, one column for each language."""
+    """Log frequencies of words and n-grams: a row of a matrix for each, a column for each language."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
         self.languages = languages
-        total = sum(words.values(), np.zeros(len(languages)))
-        self.words = {w: np.log((c + 0.5) / (total + 0.5 * (len(words) + 1))) for w, c in words.items()}
-        sums = {n: np.zeros(len(languages)) for n in range(1, LONGEST + 1)}
-        kinds = Counter(len(g) for g in grams)
-        for g, c in grams.items():
-            sums[len(g)] = sums[len(g)] + c
-        self.grams = {g: np.log((c + 0.5) / (sums[len(g)] + 0.5 * (kinds[len(g)] + 1))) for g, c in grams.items()}
+        self.words = {w: i for i, w in enumerate(words)}
+        counts = np.array(list(words.values()), np.float64).reshape(len(words), len(languages))
+        self.word_rows = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (len(words) + 1)))
+        self.grams = {g: i for i, g in enumerate(grams)}
+        counts = np.array(list(grams.values()), np.float64).reshape(len(grams), len(languages))
+        sizes = np.array([len(g) for g in grams], np.int64)
+        self.gram_rows = np.empty(counts.shape)
+        for n in range(1, LONGEST + 1):
+            own = counts[sizes == n]
+            self.gram_rows[sizes == n] = np.log((own + 0.5) / (own.sum(0) + 0.5 * (len(own) + 1)))
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [v for g in grams_of(word, n) if (v := self.grams.get(g)) is not None]
+            known = [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]
             if known:
-                return sum(known) / len(known)
+                return self.gram_rows[known].sum(0) / len(known)
         return np.zeros(len(self.languages))
 
     def row(self, word: str) -> np.ndarray:
         known = self.words.get(word)
-        return self.unseen(word) if known is None else known
+        return self.unseen(word) if known is None else self.word_rows[known]
 
 
 class Predictor:
-    """Scores texts; the rows of words that a task has met are kept in a bounded matrix."""
+    """Scores texts; the rows of words that a process has met are kept in a bounded matrix."""
 
-    def __init__(self, model: BackoffModel, max_cells: int = 1 << 20):
+    def __init__(self, model: BackoffModel, max_cells: int = 1 << 19):
         self.model, self.place = model, {}
         self.max_rows = max_cells // max(1, len(model.languages))
         self.rows = np.zeros((self.max_rows, len(model.languages)))
@@ -106,6 +111,17 @@ class Predictor:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
+_predictors: dict[str, Predictor] = {}
+
+
+def _predictor(key: str, shared) -> Predictor:
+    """The predictor of a model, one for each worker process."""
+    if key not in _predictors:
+        _predictors.clear()
+        _predictors[key] = Predictor(shared.value)
+    return _predictors[key]
+
+
 def fit(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
     train_rows: int = 4000, max_words: int = 30_000, max_grams: int = 20_000, max_languages: int = 400,
@@ -153,10 +169,8 @@ def fit(
 
     def most(counts: DataFrame, limit: int) -> dict[str, np.ndarray]:
         by_key = counts.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        out = {}
-        for key, _, by in by_key.orderBy(F.desc("n"), "key").limit(limit).collect():  # as many as the model holds
-            out[key] = np.array([by.get(name, 0) for name in languages], np.float64)
-        return out
+        rows = most_frequent(materialize(by_key, "by-key"), limit).collect()  # as many as the model holds
+        return {key: np.array([by.get(name, 0) for name in languages], np.float64) for key, _, by in sorted(rows)}
 
     grams = materialize(grams, "grams")
     tables: dict[str, np.ndarray] = {}
@@ -169,8 +183,10 @@ def identify(docs: DataFrame, model: BackoffModel, id_column: str = "doc_id", te
     """Id, language and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of words and n-grams
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        predictor = _predictor(key, shared)
         for part, texts in arrow_rows(batches):
             lang, score = zip(*map(predictor.predict, texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
@@ -184,8 +200,10 @@ def label(docs: DataFrame, model: BackoffModel, text_column: str = "text", lang_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_column), docs.columns.index(lang_column)
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        predictor = _predictor(key, shared)
         for part, texts in arrow_rows(batches, text_at):
             lang = pa.array([predictor.predict(t)[0] for t in texts], part.schema.field(lang_at).type)
             yield part.set_column(lang_at, part.schema.field(lang_at), lang)
