@@ -187,11 +187,12 @@ def read_blocks(blocks: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _encoding(path).decode_bytes
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens, loss = np.array(row["tokens"], np.int64), np.array(row["loss_mask"], bool)
-                start, out = [*row["node_start"], len(tokens)], []
-                for node, digest in zip(row["leaf_node"], row["leaf_path"]):
-                    spans = [*row["ancestors"][node], start[node], start[node + 1]]
+            for n in range(batch.num_rows):  # block by block, as a batch may hold many
+                row = {c: batch.column(c)[n] for c in ("tokens", "loss_mask", "node_start", "ancestors", "leaf_node", "leaf_path")}
+                tokens, loss = row["tokens"].values.to_numpy(), row["loss_mask"].values.to_numpy().astype(bool)
+                start, out = [*row["node_start"].as_py(), len(tokens)], []
+                for node, digest in zip(row["leaf_node"].as_py(), row["leaf_path"].as_py()):
+                    spans = [*row["ancestors"][node].as_py(), start[node], start[node + 1]]
                     at = np.concatenate([np.arange(a, b) for a, b in zip(spans[::2], spans[1::2])])
                     formatted = decode(tokens[at].tolist()).decode()
                     mask = loss[at]
