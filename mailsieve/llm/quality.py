@@ -148,7 +148,7 @@ def fit_mcd(vectors: DataFrame, floors: tuple[float, ...], support: float, steps
 
 def judge(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source",
-    floors: tuple[float, ...] = (0.12, 0.055, 0.15, 0.12), support: float = 0.75, steps: int = 3, min_rows: int = 50, cut: float = CHI_9999, keep: tuple[str, ...] = (),
+    floors: tuple[float, ...] = (0.12, 0.055, 0.18, 0.18), support: float = 0.75, steps: int = 3, min_rows: int = 50, cut: float = CHI_9999, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: base counts, ``base_failed``, squared ``distance`` (null: not judged) and ``kept``.
 
