@@ -30,7 +30,7 @@ def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("distance")
 
 
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,37 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_word_backoff": op9_word_backoff,
     "op10_bm25_packing": op10_bm25_packing,
 }
-
-#: DuckDB SQL for the queries that it can express.
-ORACLE: dict[str, str] = {
-    "op5_prefix_tree_chat": r"""
-        with rows as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-            union all select -7, turn, role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(turn, role)
-        ), formatted as (
-            select *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')
-                || ':' || chr(10) || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')
-                || '</turn>' || chr(10) as shown
-            from rows
-        )
-        select conv_id, count(*) as n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
-            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-            sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-            sum(length(shown))::bigint as formatted_chars
-        from formatted group by conv_id
-    """,
-    "op8_int8_blocks": """
-        with good as (
-            select vec_id, embedding::double[] as v from embeddings
-            where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-                and len(list_filter(embedding, lambda x: x <> 0)) > 0
-        ), scored as (
-            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
-            from good q join good c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
-        ), ranked as (
-            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from scored
-        )
-        select query_id, rank, vec_id, score from ranked where rank <= 20
-    """,
-}

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mailsieve.llm import chat
-from mailsieve.llm.queries import ORACLE, RANKS, op5_prefix_tree_chat
+from mailsieve.llm.queries import RANKS
 from mailsieve.llm.tokens import vocabulary_path
 
 from .helpers import rows_of
@@ -81,11 +81,3 @@ def test_tree_blocks(spark):
     if len(blocks) == 1:  # the shared first turn is there once
         first = encode(chat.opening("user")) + encode("start") + encode(chat.CLOSING)
         assert blocks[0].tokens[: len(first)] == first and len(blocks[0].node_start) == 1 + 4 * 3
-
-
-def test_query(spark, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
-    assert rows_of(op5_prefix_tree_chat(spark, sf_dir)) == sorted(con.execute(ORACLE["op5_prefix_tree_chat"]).fetchall(), key=repr)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.llm import nearest
-from mailsieve.llm.queries import ORACLE, op8_int8_blocks
 
 from .helpers import rows_of
 
@@ -73,11 +72,3 @@ def test_bounds_hold():
         best = np.argsort(-exact, 1)[:, :5]
         assert {(i, j) for i in range(40) for j in best[i]} <= set(zip(rows.tolist(), columns.tolist()))
         assert len(rows) < 40 * 40 * 0.8
-
-
-def test_query(spark, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
-    assert rows_of(op8_int8_blocks(spark, sf_dir)) == sorted(con.execute(ORACLE["op8_int8_blocks"]).fetchall(), key=repr)
