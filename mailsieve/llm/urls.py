@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.frequent import most_frequent
 from mailsieve.session import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +64,8 @@ def word_counts(pages: DataFrame, html_column: str, max_words: int) -> dict[str,
     """The most frequent words of the pages' texts."""
     text = F.regexp_replace(F.coalesce(pages[html_column], F.lit("")), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(max_words)
-    return dict(counts.collect())  # max_words rows at most
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    return dict(most_frequent(counts, max_words).collect())
 
 
 class Segmenter:
