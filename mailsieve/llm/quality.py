@@ -33,7 +33,7 @@ FEATURES = ("x0", "x1", "x2", "x3")
 STEP = 4096
 #: Distributions of chi-square with 4 and 6 degrees of freedom: the 97.5 % and 99.99 % points of the first, and by how
 #: much the covariance of the nearest 75 % (97.5 %) of normal vectors is too small.
-CHI_975, CHI_9999, GROW_75, GROW_975 = 11.143, 23.513, 1.4830, 1.0837
+CHI_975, CHI_9999, GROW_75, GROW_975 = 11.143, 23.513, 1.4864, 1.0645
 
 
 def base_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
