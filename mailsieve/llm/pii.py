@@ -28,7 +28,6 @@ from itertools import islice, takewhile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mailsieve.llm.tokens import arrow_rows
 
