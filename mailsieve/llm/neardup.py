@@ -46,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct 64-bit hashes of the word shingles of a text; word hashes are kept in a bounded table."""
 
-    def __init__(self, size: int = 5, max_words: int = 500_000):
+    def __init__(self, size: int = 5, max_words: int = 150_000):
         import xxhash
 
         class Words(dict):
