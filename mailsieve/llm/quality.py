@@ -5,8 +5,9 @@ once as a narrow table, and all further passes read that.
 
 * The vector of a document: log of the mean word length, and the angles (arc sine of the square root) of the shares of
   symbols, repeated lines and words in repeated windows, each in steps of 1/4096 so that sums are exact in any order.
-* Copies must not define what is usual: each distinct vector of a group counts once.
-* A group is a language and source. Groups of fewer than ``min_rows`` vectors take the estimate of all their
+* Copies must not define what is usual: each distinct text of a group counts once (told apart by 64-bit hashes). Texts with
+  the same vector are one row with their number ``n``, which weighs in every quantile, sum and size.
+* A group is a language and source. Groups of fewer than ``min_rows`` texts take the estimate of all their
   language's small groups together; where that is too small as well, the method rejects nothing.
 * Minimum covariance determinant: from medians and median deviations, each concentration step keeps the share
   ``support`` of a group with the smallest distances and takes mean and covariance from it; a last step reweights with
@@ -50,7 +51,7 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "n_words": F.size("words").cast("bigint"),
         "n_lines": F.size("lines").cast("bigint"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
-        "h": F.transform("words", lambda w: F.xxhash64(w)),
+        "h": F.transform("words", lambda w: F.xxhash64(w)), "digest": F.xxhash64("text"),
     }).drop("text", "words", "lines")
     # Hashes of 2, 4 and 8 neighbouring words; the last of each are cut off at the end.
     for new, old, by in (("h2", "h", 1), ("h4", "h2", 2), ("h8", "h4", 4)):
@@ -67,7 +68,7 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
     return df.select(
         "id", *(F.col(f"k_{c}") for c in keep), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), "digest",
     ).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -113,17 +114,17 @@ def _moments(vectors: DataFrame) -> DataFrame:
     p = len(FEATURES)
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
     return vectors.groupBy("group").agg(
-        F.count("*").alias("n"), *(exact(F.col(FEATURES[i])).alias(f"s_{i}") for i in range(p)),
-        *(exact(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)),
+        F.sum("n").alias("n"), *(exact(F.col(FEATURES[i]) * F.col("n")).alias(f"s_{i}") for i in range(p)),
+        *(exact(F.col(FEATURES[i]) * F.col(FEATURES[j]) * F.col("n")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)),
     )
 
 
 def _median_start(vectors: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     p = len(FEATURES)
-    middle = materialize(vectors.groupBy("group").agg(*(F.percentile(x, 0.5).alias(f"c_{i}") for i, x in enumerate(FEATURES))), "medians")
+    middle = materialize(vectors.groupBy("group").agg(*(F.percentile(x, 0.5, F.col("n")).alias(f"c_{i}") for i, x in enumerate(FEATURES))), "medians")
     off = vectors.join(middle, "group").groupBy("group").agg(
         *(F.first(f"c_{i}").alias(f"c_{i}") for i in range(p)),
-        *(F.percentile(F.abs(F.col(x) - F.col(f"c_{i}")), 0.5).alias(f"d_{i}") for i, x in enumerate(FEATURES)),
+        *(F.percentile(F.abs(F.col(x) - F.col(f"c_{i}")), 0.5, F.col("n")).alias(f"d_{i}") for i, x in enumerate(FEATURES)),
     )
     return off.select(
         "group", *((F.col(f"c_{i}") / STEP).alias(f"m_{i}") for i in range(p)),
@@ -135,14 +136,16 @@ def _median_start(vectors: DataFrame, floors: tuple[float, ...]) -> DataFrame:
 
 
 def fit_mcd(vectors: DataFrame, floors: tuple[float, ...], support: float, steps: int) -> DataFrame:
-    """Means and Cholesky factors by group of (group, x0..x3)."""
+    """Means and Cholesky factors by group of (group, x0..x3, n); without ``n`` every row counts once."""
+    if "n" not in vectors.columns:
+        vectors = vectors.withColumn("n", F.lit(1).cast("bigint"))
     estimate = materialize(_median_start(vectors, floors), "estimate")
     for _ in range(steps):
         # A fine logarithmic scale has few thousand values, so the quantile's histogram stays small.
-        near = materialize(vectors.join(estimate, "group").select("group", *FEATURES, F.round(256 * F.log1p(_distance())).cast("int").alias("d")), "distances")
-        bounds = materialize(near.groupBy("group").agg(F.percentile("d", support).alias("bound")), "bounds")
+        near = materialize(vectors.join(estimate, "group").select("group", *FEATURES, "n", F.round(256 * F.log1p(_distance())).cast("int").alias("d")), "distances")
+        bounds = materialize(near.groupBy("group").agg(F.percentile("d", support, F.col("n")).alias("bound")), "bounds")
         estimate = materialize(_factor(_moments(near.join(bounds, "group").filter("d <= bound")), GROW_75, floors), "estimate")
-    inside = vectors.join(estimate, "group").filter(_distance() <= CHI_975).select("group", *FEATURES)
+    inside = vectors.join(estimate, "group").filter(_distance() <= CHI_975).select("group", *FEATURES, "n")
     return materialize(_factor(_moments(inside), GROW_975, floors), "estimate")
 
 
@@ -160,13 +163,14 @@ def judge(
         {"lang_key": part(lang_column), "own": F.concat_ws("\x1f", part(lang_column), part(source_column))}
     ).drop(*(f"k_{c}" for c in carried if c not in keep))
     counted = materialize(counted.select("*", *_vector()), "counts")
-    distinct = materialize(counted.filter("not base_failed").select("lang_key", "own", *FEATURES).distinct(), "vectors")
-    sizes = distinct.groupBy("lang_key", "own").count()
+    texts = materialize(counted.filter("not base_failed").select("lang_key", "own", "digest", *FEATURES).distinct(), "texts")
+    sizes = texts.groupBy("lang_key", "own").count()
     group = F.when(F.col("count") >= min_rows, F.col("own")).otherwise(F.concat("lang_key", F.lit("\x1e")))
     groups = materialize(sizes.select("own", group.alias("group")), "groups")
-    vectors = distinct.join(groups, "own").select("group", *FEATURES).distinct()
-    vectors = materialize(vectors, "vectors")
-    enough = vectors.groupBy("group").count().filter(F.col("count") >= min_rows)
+    # A text that several small groups of a language hold counts once for all of them.
+    once = texts.join(groups, "own").select("group", "digest", *FEATURES).distinct()
+    vectors = materialize(once.groupBy("group", *FEATURES).agg(F.count("*").alias("n")), "vectors")
+    enough = vectors.groupBy("group").agg(F.sum("n").alias("count")).filter(F.col("count") >= min_rows)
     estimate = fit_mcd(vectors, floors, support, steps).join(enough.select("group"), "group", "left_semi")
     known = materialize(groups.join(estimate, "group").drop("group"), "estimate")
     judged = counted.join(known, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))

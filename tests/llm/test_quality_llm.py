@@ -72,6 +72,25 @@ def test_small_groups_share_and_tiny_ones_keep(spark):
     assert all(verdict[600 + i] == (True, None) for i in range(5))
 
 
+def test_texts_weigh_not_vectors(spark):
+    """One distribution at several sizes: many clean texts share few vectors, the bad ones all differ."""
+    rng = random.Random(12)
+
+    def clean(i):  # of 20 words, up to 19 have a longer ending: 20 vectors in all
+        words = [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{i:06d}{k:02d}" for k in range(20)]
+        return " ".join(w + "x" * (k < i % 20) for k, w in enumerate(words))
+
+    def bad(i):  # 10 to 40 % symbols, another share in each text
+        words = [f"w{i:04d}{k:03d}" for k in range(40 + i % 50)]
+        return " ".join(words) + " " + "$" * (len("".join(words)) * (110 + i) // 1000)
+
+    for size in (100, 400, 1600):
+        rows = [(i, clean(i), "en", "s", 0) for i in range(size)] + [(10_000 + i, bad(i), "en", "s", 0) for i in range(size // 5)]
+        verdict = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+        assert all(verdict[i] for i in range(size)), size
+        assert not any(verdict[10_000 + i] for i in range(size // 5)), size
+
+
 def numpy_mcd(x, floors, support, steps):
     """The same estimator on one group of distinct integer vectors."""
     def quantile(v, q):
