@@ -2,11 +2,11 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers (Luhn) and international phone numbers; their spans always
 stay. The field adds spans of the same kinds in other writings: phone numbers without a plus sign, ``name [at] host [dot]
-org``, ``10[.]0[.]0[.]1``, card numbers with dots or wide gaps. It is trained on the driver from the small labelled table
+org`` in any case and bracket, ``10[.]0[.]0[.]1``, card numbers with dots or wide gaps. It is trained on the driver from the small labelled table
 below (digits drawn anew for each copy, seeded) and decoded by Viterbi over padded numpy batches, bucketed by length.
 
 A word can only take part in an entity if it or a direct neighbour is *active*: holds a digit, an at sign or a bracketed
-``at`` or ``dot``. All other words are outside by definition of the model, so a text splits exactly into chains of
+``at`` or ``dot`` of any case. All other words are outside by definition of the model, so a text splits exactly into chains of
 words around the active ones, with known states at both ends, and texts without active words have no chain at all.
 
 A span of the field counts if it does not overlap a pattern's span and passes the check of its kind: 13 to 19 digits and
@@ -34,7 +34,8 @@ from mailsieve.llm.tokens import arrow_rows
 KINDS = ("email", "ip", "card", "phone")
 STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
-# The labelled table: entities in braces after their kind, 0 stands for any digit (cards: made to pass Luhn).
+# The labelled table: entities in braces after their kind, 0 stands for any digit (cards: made to pass Luhn), ‹› for
+# braces in the text.
 LABELLED = """
 call {phone (000) 000-0000} after nine
 call me at {phone 000-000-0000} today
@@ -61,6 +62,18 @@ ask {email joe(at)example(dot)com} for it
 escribe a {email ana [at] correo [dot] es} hoy
 an {email max(at)beispiel.de} schreiben
 the address {email sales@example[.]com} is new
+write to {email jane [AT] example [DOT] org} today
+mail {email bob(AT)example(DOT)com} or call
+by mail: {email SUE [AT] WEB [DOT] EXAMPLE [DOT] NET} or so
+send it to {email kim.lee (At) mail (Dot) example (Dot) net} first
+contact {email ann ‹at› example ‹dot› org} now
+reach {email tom00 ‹AT› host0 ‹DOT› example ‹DOT› net} soon
+ask {email joe‹at›example‹dot›com} for it
+mail {email bob‹AT›example.org} or call
+write {email ann.lee-marie(at)mail.example(dot)net} or wait
+mail {email mary-ann(at)example.org} today
+contact {email joe_b(at)web-host.example(dot)org} for more
+ask {email first.second.third-and-fourth.name_of_a_person(at)mail.department.example(dot)com} for it
 server {ip 00[.]0[.]0[.]00} is down
 from {ip 000[.]000[.]0[.]0} we saw
 host {ip 000(.)00(.)00(.)0} answered
@@ -94,6 +107,9 @@ paid @ 00 each and @home
 look (at) this or [at] that
 a [dot] and a (dot) alone
 we are (at) home [dot] that is all
+look (AT) this or ‹at› that
+a [DOT] and a ‹dot› alone
+we are ‹AT› home (DOT) that is all
 ISBN 000-0-000-00000-0 in print
 version 0.00.000 of 0000
 about 0 000 000 people in 0000
@@ -101,7 +117,10 @@ about 0 000 000 people in 0000
 lat 00.0000 lon 00.0000 there
 """.strip().split("\n")
 
-_ACTIVE = re.compile(r"[0-9@]|[\[(](?:at|dot|\.)[\])]")
+_ACTIVE = re.compile(r"[0-9@]|[\[({](?:at|dot|\.)[\])}]", re.IGNORECASE)
+_AT = re.compile(r"@|[\[({]at[\])}]", re.IGNORECASE)
+_MARK = re.compile(r"[\[({](?:at|dot)[\])}]", re.IGNORECASE)
+_DOT = re.compile(r"\.|[\[({]dot[\])}]", re.IGNORECASE)
 _WORDS = re.compile(r"\S+")
 _ENTITY = re.compile(r"\{(\w+) ([^}]*)\}")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -152,8 +171,10 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _shape(word: str) -> str:
-    shape = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word[:40]))
-    return re.sub(r"x+", "x", re.sub(r"X+", "X", shape))
+    """Shape of the whole word: runs of letters are one letter, runs of over 20 digits are 20, marks are in lower case and no braces."""
+    word = _MARK.sub(lambda m: m[0].lower().replace("{", "[").replace("}", "]"), word)
+    shape = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word))
+    return re.sub(r"d{21,}", "d" * 20, re.sub(r"x+", "x", re.sub(r"X+", "X", shape)))
 
 
 def word_features(word: str) -> list[str]:
@@ -162,7 +183,9 @@ def word_features(word: str) -> list[str]:
     shape, digits = _shape(core), sum(c.isdigit() and c.isascii() for c in word)
     out = [f"s={shape}", f"f={re.sub('d+', 'd', shape)}", f"n={min(digits, 20)}", f"p={shape[:2]}", f"e={shape[-2:]}"]
     out += [f"a={bool(_ACTIVE.search(word))}", f"c={''.join(sorted(set(re.sub('[dxX]', '', shape))))}", f"end={core != word}"]
-    if (low := core.strip("()[].:").lower()) in _CUES or low == "dot":
+    if at := _AT.search(core):  # an address in one word, whatever its other marks
+        out.append(f"m={0 < at.start() and at.end() < len(core)}{bool(_DOT.search(core, at.end()))}")
+    if (low := core.strip("()[]{}.:").lower()) in _CUES or low == "dot":
         out.append(f"w={low}")
     return out
 
@@ -186,7 +209,7 @@ def _draw(sentence: str, rng: np.random.Generator) -> tuple[list[str], list[str]
 
     def add(text, kind):
         for k, w in enumerate(text.split()):
-            words.append(w)
+            words.append(w.translate(str.maketrans("‹›", "{}")))
             states.append("O" if kind is None else f"{'BI'[k > 0]}-{kind}")
 
     for m in _ENTITY.finditer(sentence):
@@ -345,8 +368,8 @@ def _passes(kind: str, found: str) -> bool:
     if kind == "ip":
         parts = [p for p in _DIGITS.split(found) if p]
         return len(parts) == 4 and all(map(_small, parts))
-    at = re.search(r"@|[\[(]at[\])]", found)
-    return bool(at) and bool(re.search(r"\.|[\[(]dot[\])]", found[at.end() :]))
+    at = _AT.search(found)
+    return bool(at) and bool(_DOT.search(found, at.end()))
 
 
 class Finder:
@@ -356,6 +379,8 @@ class Finder:
         self.field, self.max_words, self.known = field, max_words, {}
 
     def _own(self, word: str) -> list[str]:
+        if len(word) > 200:  # seldom seen again, and its features are as long
+            return word_features(word)
         if word not in self.known:
             if len(self.known) >= self.max_words:
                 self.known.clear()

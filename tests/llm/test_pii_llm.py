@@ -78,6 +78,25 @@ def test_field_adds_other_writings(field):
         assert base == [] and added == [(kind, text.index(found), text.index(found) + len(found))]
 
 
+def test_field_finds_any_case_and_bracket(field):
+    finder = pii.Finder(field)
+    long = "hubert.wolfgang.maximilian.von-der-heide.und.zu.allem(at)mail.institut.beispiel(dot)de"
+    for found in [
+        "jane [AT] example [DOT] org", "bob(AT)example(DOT)com", "ann {at} example {dot} org", "lea [At] verein [Dot] net",
+        "PAT (AT) HOST (DOT) ORG", "max{at}web{dot}de", long,
+    ]:
+        for before, after in (("write to ", " today"), ("you may ask ", " for it")):
+            text = f"{before}{found}{after}"
+            assert finder.spans([text]) == [([], [("email", len(before), len(before) + len(found))])], text
+    for text in ("meet me (AT) noon", "a {dot} on a line"):
+        assert finder.spans([text]) == [([], [])], text
+
+
+def test_shape_is_of_the_whole_word():
+    assert pii._shape("abcdefghij" * 9 + "(at)b.org") == "x(x)x.x"
+    assert pii._shape("1" * 60 + "-Ab") == "d" * 20 + "-Xx"
+
+
 def test_field_leaves_other_numbers(field):
     finder = pii.Finder(field)
     for text in [
