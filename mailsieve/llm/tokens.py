@@ -102,11 +102,15 @@ class PieceTable:
     """Token ids of texts by way of a bounded hash table of pieces, in numpy arrays.
 
     Pieces are found and hashed (64 bits, from random values of their characters) for many texts at once; only pieces
-    that the table does not hold become strings. ``encode`` gets a list of distinct ones and returns their ids as
-    little-endian unsigned 32-bit buffers. At ``max_entries`` the table starts anew, so memory does not grow with the
-    corpus. Texts with characters outside the settled blocks are split by the full pattern and encoded piece by piece.
+    that the table does not hold become strings. The hash only leads to a slot: the characters of every piece are
+    compared with those stored there, and a piece that shares another one's hash is encoded by itself. ``encode`` gets a
+    list of distinct pieces and returns their ids as little-endian unsigned 32-bit buffers. At ``max_entries`` pieces or
+    ``MAX_LETTERS`` stored characters the table starts anew, so memory does not grow with the corpus. Texts with
+    characters outside the settled blocks are split by the full pattern and encoded piece by piece.
     """
 
+    MAX_LETTERS = 1 << 24
+
     def __init__(self, encode: Callable[[list[str]], list[bytes]], max_entries: int = 800_000):
         global _classes
         if _classes is None:
@@ -120,6 +124,9 @@ class PieceTable:
         self.first = np.zeros(1 << self.bits, np.int32)
         self.size = np.zeros(1 << self.bits, np.int32)
         self.pool, self.used, self.entries = np.zeros(1 << 16, np.uint32), 0, 0
+        self.spelled = np.zeros(1 << self.bits, np.int64)  # where the characters of a piece begin, and their number
+        self.letters_of = np.zeros(1 << self.bits, np.int32)
+        self.letters, self.lettered = np.zeros(1 << 16, np.uint16), 0
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash, or the free one where it belongs."""
@@ -131,21 +138,42 @@ class PieceTable:
             todo = todo[(there != hashes[todo]) & (there != 0)]
         return slot
 
-    def _insert(self, hashes: np.ndarray, buffers: list[bytes]) -> None:
-        """New distinct hashes with their ids."""
+    def _store(self, buffers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Put ids into the pool; their places and sizes."""
         ids = np.frombuffer(b"".join(buffers), "<u4")
         sizes = np.fromiter(map(len, buffers), np.int64, len(buffers)) // 4
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         firsts = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
-        self.used, self.entries = self.used + len(ids), self.entries + len(hashes)
+        self.used, self.entries = self.used + len(ids), self.entries + len(buffers)
+        return firsts, sizes
+
+    def _insert(self, hashes: np.ndarray, buffers: list[bytes], chars: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> None:
+        """New distinct hashes with the ids and the characters of their pieces."""
+        firsts, sizes = self._store(buffers)
+        total = int(lengths.sum())
+        while self.lettered + total > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(len(self.letters), np.uint16)])
+        inside = np.cumsum(lengths) - lengths
+        self.letters[self.lettered : self.lettered + total] = chars[np.repeat(start - inside, lengths) + np.arange(total)]
+        spelled = self.lettered + inside
+        self.lettered += total
         while len(hashes):
             slot = self._slots(hashes)
             self.keys[slot] = hashes  # of several for one free slot one stays
             own = self.keys[slot] == hashes
             self.first[slot[own]], self.size[slot[own]] = firsts[own], sizes[own]
-            hashes, firsts, sizes = hashes[~own], firsts[~own], sizes[~own]
+            self.spelled[slot[own]], self.letters_of[slot[own]] = spelled[own], lengths[own]
+            hashes, firsts, sizes, spelled, lengths = (x[~own] for x in (hashes, firsts, sizes, spelled, lengths))
+
+    def _differs(self, chars: np.ndarray, start: np.ndarray, lengths: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each piece is not the one that its slot holds; pieces cover ``chars``."""
+        other = self.letters_of[slot] != lengths
+        place = np.repeat(self.spelled[slot] - start, lengths) + np.arange(len(chars))
+        wrong = np.flatnonzero(self.letters.take(place, mode="clip") != chars)
+        other[np.searchsorted(start, wrong, "right") - 1] = True
+        return other
 
     def _settled(self, texts: list[str]) -> list[bytes]:
         joined = _SEPARATOR.join(texts) + _SEPARATOR
@@ -161,8 +189,12 @@ class PieceTable:
         hashes = (sums[end] - sums[start]) * _classes.inverse[start]
         hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         hashes = (hashes ^ (hashes >> np.uint64(32))) | np.uint64(1)  # never the mark of a free slot
+        lengths = end - start
+        if self.entries > self.max_entries or self.lettered > self.MAX_LETTERS:
+            self.clear()
         slot = self._slots(hashes)
         new = np.flatnonzero(inner & (self.keys[slot] == 0))
+        text = lambda which: [joined[a:b] for a, b in zip(start[which].tolist(), end[which].tolist())]
         if len(new):
             distinct, at = np.unique(hashes[new], return_index=True)
             if self.entries + len(distinct) > self.max_entries:
@@ -170,11 +202,18 @@ class PieceTable:
                 new = np.flatnonzero(inner)
                 distinct, at = np.unique(hashes[new], return_index=True)
             places = new[at]
-            self._insert(distinct, self.encode([joined[a:b] for a, b in zip(start[places].tolist(), end[places].tolist())]))
+            self._insert(distinct, self.encode(text(places)), chars, start[places], lengths[places])
             slot = self._slots(hashes)
-        sizes = np.where(inner, self.size[slot], 0)
+        first, sizes = self.first[slot].astype(np.int64), np.where(inner, self.size[slot], 0)
+        alike = np.flatnonzero(inner & self._differs(chars, start, lengths, slot))
+        if len(alike):  # other pieces with the hash of a stored one
+            pieces = text(alike)
+            number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+            firsts, lens = self._store(self.encode(list(number)))
+            first[alike], sizes[alike] = firsts[which], lens[which]
         ends = np.cumsum(sizes)
-        where = np.repeat(self.first[slot] - (ends - sizes), sizes) + np.arange(ends[-1])
+        where = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])
         data = self.pool[where].tobytes()
         cuts = (4 * ends[~inner]).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]

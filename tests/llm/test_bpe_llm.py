@@ -87,3 +87,23 @@ def test_plan_has_no_shuffle(spark, sf_dir):
     df = op1_byte_bpe(spark, sf_dir)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.agg(F.count("*")).first()[0] > 0
+
+
+@pytest.mark.parametrize("pair", ["ab", "cx", "et"])
+def test_pieces_of_equal_hash(library, pair):
+    """Thue-Morse words and their complements share every polynomial hash modulo a power of two."""
+    from tokenizers import Tokenizer
+
+    from mailsieve.llm.tokens import LibraryEncoder
+
+    def word(a, b, n):
+        return a if n == 1 else word(a, b, n // 2) + word(b, a, n // 2)
+
+    texts = [word(x, y, n) for n in (512, 1024, 4096) for x, y in (pair, pair[::-1])]
+    path = vocabulary_path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    for order in (texts, texts[::-1]):
+        for text, ids in zip(order, bpe.MatrixBpe(PATH).encode(order)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        for text, ids in zip(order, LibraryEncoder(path).buffers(order)):
+            assert np.frombuffer(ids, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
