@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import bpe, chat, langid, nearest, neardup, packing, pii, quality, records, urls
+from mailsieve.llm import bpe, chat, counts, langid, nearest, neardup, packing, pii, quality, records, urls
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,6 +66,10 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
 
+def op11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_bbit_minhash": op2_bbit_minhash,
@@ -77,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_int8_blocks": op8_int8_blocks,
     "op9_word_backoff": op9_word_backoff,
     "op10_bm25_packing": op10_bm25_packing,
+    "op11_pair_counts": op11_pair_counts,
 }
