@@ -146,4 +146,23 @@ from sets t left join least on node = t.doc_id
         )
         select query_id, rank, vec_id, score from ranked where rank <= 20
     """,
+    "op13_shared_lists": """
+        with good as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                list_transform(embedding::double[], lambda x: floor(256 * x)) as v
+            from embeddings
+            where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as alike,
+                case when len(a.v) = 0 then 0 else list_inner_product(a.v, c.v) end::bigint as score
+            from good a join good c on a.vec_id % 100 = 0 and len(c.v) = len(a.v)
+        ), positives as (
+            select anchor_id, other_id as positive_id, score as positive_score from scored where alike and other_id <> anchor_id
+            qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+        )
+        select p.anchor_id, positive_id, row_number() over best::integer as rank, other_id as negative_id, positive_score, score as negative_score
+        from positives p join scored s on s.anchor_id = p.anchor_id and not alike and 80 * positive_score <= 100 * score and score <= positive_score
+        window best as (partition by p.anchor_id, positive_id order by score desc, other_id)
+        qualify row_number() over best <= 5
+    """,
 }

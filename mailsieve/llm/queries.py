@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import bpe, chat, counts, langid, nearest, neardup, packing, pii, quality, records, urls
+from mailsieve.llm import bpe, chat, counts, langid, nearest, neardup, negatives, packing, pii, quality, records, resample, urls
 from mailsieve.llm.tokens import vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,6 +70,16 @@ def op11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
 
 
+def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("id") % 100 == 0, "vec_id", "embedding", "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_bbit_minhash": op2_bbit_minhash,
@@ -82,4 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_word_backoff": op9_word_backoff,
     "op10_bm25_packing": op10_bm25_packing,
     "op11_pair_counts": op11_pair_counts,
+    "op12_crc_resampling": op12_crc_resampling,
+    "op13_shared_lists": op13_shared_lists,
 }
