@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+    LogisticRegression, LogisticRegressionModel,
     MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -22,6 +22,7 @@ from mailsieve.functions import features as E
 from mailsieve.functions import reasons as R
 from mailsieve.functions import text as X
 from mailsieve.functions import urls as U
+from mailsieve.operators import boosting as G
 from mailsieve.operators import encoders as N
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
@@ -197,77 +198,69 @@ def fit_random_forest(train: DataFrame, analyzer="char", vocabulary=15_000, tree
 
 @dataclass
 class BoostedModel:
-    """One boosted binary classifier per class; their probabilities are divided by their sum."""
+    """Trees boosted on the softmax loss of all classes."""
 
     classes: list[str]
     structured: N.StructuredEncoder
-    members: list[GBTClassificationModel]
+    trees: G.Trees
 
     def transform(self, df: DataFrame, output: str = "probabilities") -> DataFrame:
         """Add ``output`` (array) and ``structured`` (array)."""
         return self.score(self.structured.transform(df), "structured", output)
 
     def score(self, df: DataFrame, structured: str, output: str) -> DataFrame:
-        scored = df.withColumn("_x", array_to_vector(structured))
-        for i, member in enumerate(self.members):
-            scored = member.copy(
-                {member.probabilityCol: f"_p{i}", member.rawPredictionCol: f"_r{i}", member.predictionCol: f"_d{i}"}
-            ).transform(scored).drop(f"_r{i}", f"_d{i}")
-        raw = F.array(*[vector_to_array(f"_p{i}")[1] for i in range(len(self.members))])
-        scored = scored.withColumn("_raw", raw).withColumn(
-            "_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
-        )
-        return scored.withColumn(output, F.transform("_raw", lambda x: x / F.col("_sum"))).drop(
-            "_x", "_raw", "_sum", *[f"_p{i}" for i in range(len(self.members))]
-        )
+        t = self.trees  # only what scoring needs goes to the tasks
+        light = G.Trees(t.feature.astype("int16"), None, t.cut, None, None, t.value)
+
+        @F.pandas_udf("array<double>")
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(G.probabilities(light, np.stack(x))) if len(x) else [])
+
+        return df.withColumn(output, run(F.col(structured)))
+
+    @property
+    def players(self) -> list[int]:
+        """The raw feature that each encoded one comes from."""
+        numeric = len(self.structured.numeric)
+        return [*range(numeric), *[numeric] * len(self.structured.levels)]
 
     def save(self, path: str) -> None:
-        for i, member in enumerate(self.members):
-            member.write().overwrite().save(f"{path}/members/{i}")
-        _write_info(path, {"classes": self.classes, "structured": _structured_info(self.structured)})
+        spark = SparkSession.getActiveSession()
+        self.trees.table(spark).write.mode("overwrite").parquet(f"{path}/trees")
+        rounds, classes, _ = self.trees.feature.shape
+        _write_info(path, {"classes": self.classes, "structured": _structured_info(self.structured), "shape": [rounds, classes, self.trees.depth]})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BoostedModel":
-        _need(spark, path, ("members", "info"))
+        _need(spark, path, ("trees", "info"))
         info = _read_info(spark, path)
-        members = [GBTClassificationModel.load(f"{path}/members/{i}") for i in range(len(info["classes"]))]
-        return cls(info["classes"], _structured_from(info["structured"]), members)
+        # One row for each node: rounds x classes x 2 ** (depth + 1) at most.
+        trees = G.Trees.from_rows(spark.read.parquet(f"{path}/trees").collect(), *info["shape"])
+        return cls(info["classes"], _structured_from(info["structured"]), trees)
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance): mean over the members; one row per feature."""
+        """(feature, importance): the mean gain of the cuts of each encoded feature, as shares."""
         names = self.structured.names
+        return spark.createDataFrame(list(zip(names, self.trees.mean_gains(len(names)))), "feature string, importance double")
+
+    def raw_importances(self, spark: SparkSession) -> DataFrame:
+        """The same by raw feature: the shares of the levels of a category are added."""
+        names, gains = self.structured.numeric + [self.structured.categorical], self.trees.mean_gains(len(self.structured.names))
         sums = [0.0] * len(names)
-        for member in self.members:
-            for i, x in enumerate(member.featureImportances.toArray()):
-                sums[i] += float(x) / len(self.members)
+        for player, gain in zip(self.players, gains):
+            sums[player] += gain
         return spark.createDataFrame(list(zip(names, sums)), "feature string, importance double")
 
 
-def fit_boosted_trees(
-    train: DataFrame, rounds=300, depth=5, step=0.05, sample=0.9, seed=V.SEED, parallelism=5
-) -> BoostedModel:
+def fit_boosted_trees(train: DataFrame, rounds=300, depth=5, step=0.05, sample=0.9, seed=V.SEED) -> BoostedModel:
+    """Trees on the softmax loss; ``sample``: the share of rows of a round, and of features of a tree."""
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
     classes = class_names(train)
     structured = N.StructuredEncoder().fit(train)
-    ensure_checkpoint_dir(train.sparkSession)
-    rows = materialize(
-        structured.transform(train).select(
-            array_to_vector("structured").alias("_x"), class_id(V.TARGET_COLUMN, classes).alias("_id")
-        ),
-        "structured-features",
-    )
-
-    def fit_one(i: int) -> GBTClassificationModel:
-        one = rows.select("_x", (F.col("_id") == i).cast("double").alias("_y"))
-        return GBTClassifier(
-            featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample,
-            seed=seed, featureSubsetStrategy=str(sample),
-        ).fit(one)
-
-    # The members are independent: their jobs share the executors.
-    with ThreadPool(max(1, min(parallelism, len(classes)))) as pool:
-        members = pool.map(inheritable_thread_target(train.sparkSession)(fit_one), range(len(classes)))
-    return BoostedModel(classes, structured, members)
+    rows = materialize(structured.transform(train).select("structured", class_id(V.TARGET_COLUMN, classes).alias("_id")), "structured-features")
+    flags = range(len(structured.numeric), len(structured.names))
+    trees = G.fit_trees(rows, "structured", "_id", len(classes), len(structured.names), flags, rounds, depth, step, sample, sample, seed)
+    return BoostedModel(classes, structured, trees)
 
 
 # --- fusion --------------------------------------------------------------------

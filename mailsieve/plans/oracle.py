@@ -789,8 +789,8 @@ oracle("x3_occlusion", ["feats"], f"""select email_id,
   {all_true("class_known", "at_most_five", "words_known", "in_order", "all_positive")} from feats""")
 oracle("x4_word_surrogate", ["emails"], f"""select email_id,
   {all_true("ranks_gapless", "at_most_ten", "terms_distinct", "effects_fit", "class_known")}, 50::bigint as samples from emails""")
-oracle("x5_structured_attribution", ["feats"], f"select email_id, 10::bigint as features, {all_true('adds_up', 'class_known')} from feats")
-oracle("x6_importances", [], f"""select unnest([{', '.join(q(n) for n in V.NUMERIC_FEATURES)}]) as feature,
+oracle("x5_structured_attribution", ["feats"], f"select email_id, 10::bigint as features, {all_true('adds_up', 'class_known', 'any_effect')} from feats")
+oracle("x6_importances", [], f"""select unnest([{', '.join(q(n) for n in [*V.NUMERIC_FEATURES, *V.CATEGORICAL_FEATURES])}]) as feature,
   {all_true("share", "shares_sum_to_one")}""")
 oracle("x7_explanation_table", ["feats", "predictions"], f"""select f.email_id, p.attack_type, f.category as actual_class,
   {', '.join('f.' + n for n in V.NUMERIC_FEATURES)}, f.detected_language, {all_true("reasons_fit", "flag_fits", "has_occlusion")}

@@ -1149,21 +1149,22 @@ def x4_word_surrogate(spark, sf):
 
 @query
 def x5_structured_attribution(spark, sf):
-    """All ten features of every e-mail; base value and attributions add up to the probability."""
+    """All ten features of every e-mail; mean margin and attributions add up to the margin that the trees give by themselves."""
     f = structured(spark, sf)
     rows = L.structured_attribution(f, hybrid_model(spark, sf).boosted, top=25)
-    gap = F.abs(F.sum("value") + F.first("expected_value") - F.first("prediction_confidence"))
+    gap = F.abs(F.sum("value") + F.first("expected_value") - F.first("margin"))
     return rows.groupBy("email_id").agg(
-        F.count("*").alias("features"), (gap <= 0.0002).alias("adds_up"), F.every(c("predicted_class").isin(V.CLASSES)).alias("class_known"),
+        F.count("*").alias("features"), (gap <= 0.00001).alias("adds_up"), F.every(c("predicted_class").isin(V.CLASSES)).alias("class_known"),
+        F.some(c("value") != 0).alias("any_effect"),
     )
 
 
 @query
 def x6_importances(spark, sf):
-    rows = hybrid_model(spark, sf).boosted.importances(spark)
+    """Shares of all ten raw features, the levels of the language added up."""
+    rows = hybrid_model(spark, sf).boosted.raw_importances(spark)
     total = rows.agg(F.sum("importance")).first()[0]
-    numeric = rows.filter(c("feature").isin(V.NUMERIC_FEATURES))
-    return numeric.select("feature", c("importance").between(0, 1).alias("share"), (F.abs(lit(total) - 1) <= 1e-9).alias("shares_sum_to_one"))
+    return rows.select("feature", c("importance").between(0, 1).alias("share"), (F.abs(lit(total) - 1) <= 1e-9).alias("shares_sum_to_one"))
 
 
 @query

@@ -1,10 +1,13 @@
 """Models by inequalities, explanations against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
+from mailsieve.operators import boosting as G
 from mailsieve.operators import encoders as N
 from mailsieve.operators import explain as L
 from mailsieve.operators import models as D
@@ -219,23 +222,133 @@ def test_surrogate_names_the_cause(spark, sf_dir, hybrid):
     assert got.groupBy("email_id").count().filter("count > 4").count() == 0
 
 
+def subset_value(trees, class_, row, known, player_of):
+    """The expected margin with only the known players, tree by tree."""
+
+    def down(r, i):
+        f, rows = trees.feature[r, class_, i], trees.rows[r, class_]
+        if f < 0:
+            return trees.value[r, class_, i]
+        left, right = 2 * i + 1, 2 * i + 2
+        if player_of[f] in known:
+            return down(r, right if row[f] >= trees.cut[r, class_, i] else left)
+        return (rows[left] * down(r, left) + rows[right] * down(r, right)) / rows[i]
+
+    return sum(down(r, 0) for r in range(len(trees.feature)))
+
+
+def test_attribution_against_all_subsets(spark, hybrid, rows):
+    model = hybrid.boosted
+    few = model.structured.transform(rows).limit(3).collect()
+    players, trees = model.players, model.trees.take(slice(0, 40, 8))
+    count = max(players) + 1
+    for r in few:
+        x = np.array(r["structured"])
+        for class_ in (0, 3):
+            value = [subset_value(trees, class_, x, {i for i in range(count) if s >> i & 1}, players) for s in range(1 << count)]
+            want = [
+                sum(
+                    math.factorial(s.bit_count()) * math.factorial(count - 1 - s.bit_count()) / math.factorial(count) * (value[s | 1 << i] - value[s])
+                    for s in range(1 << count) if not s >> i & 1
+                )
+                for i in range(count)
+            ]
+            got = G.Attribution(trees, class_, players, count)
+            assert got.base == pytest.approx(value[0]) and np.allclose(got.values(x[None])[0], want, atol=1e-12)
+
+
 def test_attribution_adds_up(spark, hybrid, rows):
-    sums = L.structured_attribution(rows, hybrid.boosted, permutations=6, background_rows=4, top=25).groupBy(
-        "email_id", "predicted_class", "expected_value", "prediction_confidence"
-    ).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    off = sums.filter("abs(v + expected_value - prediction_confidence) > 0.0002 or n <> 10")
-    assert off.count() == 0
+    table = L.structured_attribution(rows, hybrid.boosted, top=25)
+    sums = table.groupBy("email_id", "predicted_class", "expected_value", "margin").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    assert sums.filter("abs(v + expected_value - margin) > 0.00001 or n <> 10").count() == 0
+    # The expected value is the mean margin of all training rows.
+    train = hybrid.boosted.structured.transform(rows.filter("split = 'train'")).select("structured").collect()
+    x, trees = np.array([r[0] for r in train]), hybrid.boosted.trees
+    mean = trees.margins(trees.nodes_of_values(x)).mean(0)
+    for r in sums.select("predicted_class", "expected_value").distinct().collect():
+        assert r["expected_value"] == pytest.approx(mean[hybrid.classes.index(r["predicted_class"])], abs=1e-5)
+
+
+def boost_rows(spark, n=600):
+    rng = np.random.default_rng(0)
+    x = np.column_stack([rng.normal(size=(n, 3)), rng.integers(0, 4, n), rng.random(n) > 0.7])
+    y = (x[:, 0] > 0.3).astype(int) + ((x[:, 1] * x[:, 2] > 0) & (x[:, 4] > 0))
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "v array<double>, y int").repartition(3)
+    return x, y, D.materialize(df, "boost-rows")
+
+
+def grow(rows, **other):
+    options = dict(rounds=3, depth=4, step=0.3, sample=1.0, columns=1.0, seed=1) | other
+    return G.fit_trees(rows, "v", "y", 3, 5, range(4, 5), **options)
+
+
+def test_boosting_against_plain_search(spark):
+    """Every cut of two rounds against all cuts of all features over the rows in memory."""
+    x, y, rows = boost_rows(spark)
+    trees = grow(rows, rounds=2)
+    cuts = G.find_cuts(rows, "v", 5, range(4, 5))
+    margins = np.zeros((len(x), 3))
+    for r in range(2):
+        p = G.softmax(margins)
+        for k in range(3):
+            g, h = p[:, k] - (y == k), 2 * p[:, k] * (1 - p[:, k])
+            score = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+            todo = [(0, np.ones(len(x), bool))]
+            while todo:
+                i, own = todo.pop()
+                f = trees.feature[r, k, i]
+                assert trees.rows[r, k, i] == own.sum()
+                best = 1e-6
+                for feature, edges in enumerate(cuts):
+                    for cut in edges:
+                        right = own & (x[:, feature] >= cut)
+                        left = own & ~right
+                        if h[left].sum() >= 1 and h[right].sum() >= 1:
+                            best = max(best, score(left) + score(right) - score(own))
+                if f < 0:
+                    assert trees.value[r, k, i] == pytest.approx(-0.3 * g[own].sum() / (h[own].sum() + 1))
+                    assert best == 1e-6 or i >= 15
+                else:
+                    assert trees.gain[r, k, i] == pytest.approx(best)
+                    right = x[:, f] >= trees.cut[r, k, i]
+                    todo += [(2 * i + 1, own & ~right), (2 * i + 2, own & right)]
+        margins = trees.take(slice(0, r + 1))
+        margins = margins.margins(margins.nodes_of_values(x))
+    assert (margins.argmax(1) == y).mean() > 0.8
+
+
+def test_levels_and_whole_subtrees_give_the_same_trees(spark, monkeypatch):
+    _, _, rows = boost_rows(spark)
+    grown = []
+    for limit, keep, block in ((1 << 16, 10, 8192), (0, 1, 8192), (150, 2, 64)):
+        monkeypatch.setattr(G, "SUBTREE", limit)
+        monkeypatch.setattr(G, "KEEP", keep)
+        monkeypatch.setattr(G, "BLOCK", block)
+        grown.append(grow(rows))
+    for other in grown[1:]:
+        for name in ("feature", "bin", "cut", "gain", "rows", "value"):
+            assert np.allclose(getattr(grown[0], name), getattr(other, name))
+
+
+def test_boosting_on_a_hot_class_and_nothing(spark):
+    rows = spark.createDataFrame([([float(i % 7)] * 5, 0) for i in range(300)] + [([9.0] * 5, 2)], "v array<double>, y int")
+    p = G.probabilities(grow(rows, least_weight=0.0), np.array([[1.0] * 5, [9.0] * 5]))
+    assert p[0].argmax() == 0 and p[1, 2] > p[0, 2] and np.allclose(p.sum(1), 1)
+    empty = grow(rows.limit(0))
+    assert (empty.feature == -1).all() and np.allclose(G.probabilities(empty, np.ones((1, 5))), 1 / 3)
 
 
 def test_importances(spark, hybrid):
     got = hybrid.boosted.importances(spark).collect()
+    raw = hybrid.boosted.raw_importances(spark).collect()
+    assert sum(r["importance"] for r in raw) == pytest.approx(1.0) and len(raw) == 10
     assert sum(r["importance"] for r in got) == pytest.approx(1.0)
     assert [r["feature"] for r in got][:9] == V.NUMERIC_FEATURES
 
 
 def test_limits_fail_loudly(spark, hybrid, rows):
-    with pytest.raises(ValueError, match="background"):
-        L.structured_attribution(rows, hybrid.boosted, permutations=4, background_rows=8)
+    with pytest.raises(ValueError, match="depth"):
+        G.Attribution(G.Trees.empty(1, 2, 7), 0, [0], 1)
     with pytest.raises(ValueError, match="between 1 and 25"):
         Q.K.top_absolute(F.array(), 40)
 
