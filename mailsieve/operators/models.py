@@ -9,9 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    LogisticRegression, LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel,
-    RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +24,7 @@ from mailsieve.operators import boosting as G
 from mailsieve.operators import encoders as N
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
+from mailsieve.operators.network import Network, fit_network
 from mailsieve.operators.prepare import lookup
 from mailsieve.session import ensure_checkpoint_dir, materialize
 
@@ -273,7 +272,7 @@ class HybridModel:
     encoder: PipelineModel
     boosted: BoostedModel
     scaler: PipelineModel
-    network: MultilayerPerceptronClassificationModel
+    network: Network
     info: dict = field(default_factory=dict)
 
     @property
@@ -287,8 +286,8 @@ class HybridModel:
     def fuse(self, rows: DataFrame) -> DataFrame:
         """Rows with the three branch columns -> class probabilities of the network."""
         checked = check_width(_fusion_vector(rows), "fusion_vector", self.info["fusion_width"])
-        scored = self.network.transform(self.scaler.transform(checked))
-        return _result(scored, self.classes).drop("fusion_vector", "fusion_scaled", "_p")
+        scored = self.network.transform(self.scaler.transform(checked), "fusion_scaled", "probabilities")
+        return K.with_winner(scored, "probabilities", self.classes).drop("fusion_vector", "fusion_scaled")
 
     def transform(self, features: DataFrame) -> DataFrame:
         """Feature rows -> prediction, confidence, probabilities and the result of the tree branch."""
@@ -308,7 +307,7 @@ class HybridModel:
     def save(self, path: str) -> None:
         self.encoder.write().overwrite().save(f"{path}/encoder")
         self.scaler.write().overwrite().save(f"{path}/scaler")
-        self.network.write().overwrite().save(f"{path}/network")
+        self.network.save(f"{path}/network")
         self.boosted.save(f"{path}/boosted")
         _write_info(path, self.info)
 
@@ -319,7 +318,7 @@ class HybridModel:
             PipelineModel.load(f"{path}/encoder"),
             BoostedModel.load(spark, f"{path}/boosted"),
             PipelineModel.load(f"{path}/scaler"),
-            MultilayerPerceptronClassificationModel.load(f"{path}/network"),
+            Network.load(spark, f"{path}/network"),
             _read_info(spark, path),
         )
 
@@ -340,32 +339,41 @@ def check_width(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 def fit_hybrid(
     train: DataFrame, embedding_size=64, rounds=300, depth=5, hidden=(512, 256, 128), max_iter=40,
-    seed=V.SEED, encoder=None,
+    seed=V.SEED, encoder=None, validation: DataFrame | None = None,
 ) -> HybridModel:
-    """Fit the three parts in turn; the network sees rows repeated by balanced class weight.
+    """Fit the three parts in turn; the loss of the network is weighted by balanced class weights.
 
-    ``train`` is read several times, so a computed table should be written first. ``encoder`` may be any
+    ``train`` is read several times, so a computed table should be written first. ``validation`` rows tell when the network
+    is done; without any, a tenth of ``train``, by a hash of the key, is kept for that. ``encoder`` may be any
     transformer that adds ``embedding_vector`` of ``embedding_size`` components; by default one is fitted.
     """
     train = train.filter(F.col(V.TARGET_COLUMN).isNotNull())
+    mean_of_tokens = encoder is None
     if encoder is None:
         encoder = N.fit_text_encoder(train, size=embedding_size)
     boosted = fit_boosted_trees(train, rounds=rounds, depth=depth, seed=seed)
     model = HybridModel(encoder, boosted, None, None)
-    fused = _fusion_vector(model.branches(train)).select(
-        BRANCH_KEY, "fusion_vector", V.TARGET_COLUMN, class_id(V.TARGET_COLUMN, boosted.classes).alias("_id")
-    )
-    fused = materialize(fused, "fusion")
+
+    def fused(rows: DataFrame, held: Column) -> DataFrame:
+        known = rows.filter(F.col(V.TARGET_COLUMN).isin(boosted.classes))
+        return _fusion_vector(model.branches(known)).select(
+            BRANCH_KEY, "fusion_vector", V.TARGET_COLUMN, class_id(V.TARGET_COLUMN, boosted.classes).alias("_id"), held.alias("_held")
+        )
+
+    if validation is None:
+        rows = fused(train, F.pmod(F.xxhash64(F.lit("held out"), BRANCH_KEY), F.lit(10)) == 0)
+    else:
+        rows = fused(train, F.lit(False)).unionByName(fused(validation, F.lit(True)))
+    rows = materialize(rows, "fusion")
     width = embedding_size + len(boosted.classes) + len(boosted.structured.names)
-    model.info = {"fusion_width": width, "embedding_size": embedding_size}
-    model.scaler = N.fit_vector_scaler(fused, "fusion_vector", "fusion_scaled")
-    repeated = T.oversample(T.with_balanced_weight(fused), "weight", BRANCH_KEY, seed)
-    rows = materialize(model.scaler.transform(repeated).select("fusion_scaled", "_id"), "fusion-scaled")
-    model.network = MultilayerPerceptronClassifier(
-        featuresCol="fusion_scaled", labelCol="_id", predictionCol="_p", probabilityCol="_probability",
-        rawPredictionCol="_raw", layers=[width, *hidden, len(boosted.classes)], maxIter=max_iter, seed=seed,
-        blockSize=64,
-    ).fit(rows)
+    model.info = {"fusion_width": width, "embedding_size": embedding_size, "mean_of_tokens": mean_of_tokens}
+    model.scaler = N.fit_vector_scaler(rows.filter("not _held"), "fusion_vector", "fusion_scaled")
+    weights = T.balanced_weights(rows.filter("not _held")).select(V.TARGET_COLUMN, "weight")  # a row for each class
+    weighted = rows.join(weights, V.TARGET_COLUMN, "left").fillna(1.0, ["weight"])
+    model.network = fit_network(
+        model.scaler.transform(weighted), "fusion_scaled", "_id", "weight", "_held", width, len(boosted.classes), hidden, epochs=max_iter, seed=seed,
+        key=BRANCH_KEY,
+    )
     return model
 
 

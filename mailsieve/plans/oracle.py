@@ -772,7 +772,7 @@ def all_true(*names: str) -> str:
     return ", ".join(f"true as {n}" for n in names)
 
 
-SOUND = all_true("class_known", "sums_to_one", "is_winner", "confidence_fits")
+SOUND = all_true("class_known", "sums_to_one", "is_winner", "confidence_fits", "learned")
 for name in ("l1_logistic_regression", "l1_logistic_regression_char", "l2_random_forest", "l3_boosted_trees", "l4_fusion_network"):
     oracle(name, ["splits"], f"select email_id, split, category, {SOUND} from splits where split <> 'train'")
 oracle("l5_hybrid_scoring", ["feats_serving"], f"""select email_id, detected_language, url_count_extracted::bigint as url_count,
@@ -788,7 +788,7 @@ oracle("e6_text_vectors", ["feats"], "select email_id, 64::int as width, true as
 oracle("x3_occlusion", ["feats"], f"""select email_id,
   {all_true("class_known", "at_most_five", "words_known", "in_order", "all_positive")} from feats""")
 oracle("x4_word_surrogate", ["emails"], f"""select email_id,
-  {all_true("ranks_gapless", "at_most_ten", "terms_distinct", "effects_fit", "class_known")}, 50::bigint as samples from emails""")
+  {all_true("ranks_gapless", "at_most_ten", "terms_distinct", "effects_fit", "class_known")}, 100::bigint as samples from emails""")
 oracle("x5_structured_attribution", ["feats"], f"select email_id, 10::bigint as features, {all_true('adds_up', 'class_known', 'any_effect')} from feats")
 oracle("x6_importances", [], f"""select unnest([{', '.join(q(n) for n in [*V.NUMERIC_FEATURES, *V.CATEGORICAL_FEATURES])}]) as feature,
   {all_true("share", "shares_sum_to_one")}""")

@@ -156,9 +156,11 @@ def test_occlusion_against_single_removals(spark, hybrid, rows):
             }
         )
         scored = hybrid.fuse(hybrid.encoder.transform(texts)).collect()
-        drops = sorted(((row["confidence"] - r["probabilities"][winner], -r["i"], r["w"]) for r in scored), reverse=True)
+        drops = sorted(((round(row["confidence"] - r["probabilities"][winner], 12), -r["i"], r["w"]) for r in scored), reverse=True)
         want = [w for d, _, w in drops if d > 0][:5]
         assert [d["name"] for d in got[row["email_id"]]["top_words"]] == want
+        sizes = [d for d, _, _ in drops if d > 0][:5]
+        assert [d["value"] for d in got[row["email_id"]]["top_words"]] == pytest.approx(sizes, abs=1e-6)
         assert got[row["email_id"]]["prediction"] == row["prediction"]
 
 
@@ -187,6 +189,25 @@ def test_perturbed_texts(spark):
     assert len({tuple(r["mask"]) for r in got if r["email_id"] == 1}) > 3
 
 
+def test_samples_by_sums_equal_full_rescoring(spark, sf_dir, hybrid):
+    mail = [
+        (1, "Verify now", "please verify: https://bank-login.example.com/verify?x=1, or write to a.b@mail.example.org today! Please."),
+        (2, "only a subject, with pass-word", " "), (3, "", "hello"), (4, "  ", "\u0d85\u0db8\u0dca\u0db8\u0dcf hello  there\n\n\u0b85 www.x.test www.x.test hxxp://a[.]b"),
+        (5, None, "(...) 12_3 \u00c9t\u00e9 'bank' bank-bank; bank"), (6, "s", "one\u2028two\x1cthree  \t four"), (7, "x@y.zz", "a@b.cc a@b.cc!"),
+    ]
+    mail = spark.createDataFrame(mail, "email_id long, subject string, body string")
+    some = Q.emails(spark, sf_dir).select("email_id", "subject", "body").filter("email_id % 15 = 0").withColumn("email_id", F.col("email_id") + 100)
+    mail = mail.unionByName(some.filter("instr(concat(subject, body), '<') = 0"))
+    fast, full = (
+        {(r["key"], r["sample"]): r for r in way(mail, hybrid, 60).collect()} for way in (L.sample_scores, L.rescored_samples)
+    )
+    assert fast.keys() == full.keys() and len(fast) >= 60 * 12
+    for at, r in full.items():
+        assert list(fast[at]["mask"]) == list(r["mask"]) and fast[at]["explained_field"] == r["explained_field"]
+        assert np.allclose(fast[at]["probabilities"], r["probabilities"], atol=1e-5), at
+        assert fast[at]["words"] == r["words"]
+
+
 def test_surrogate_ridge_against_normal_equations():
     import pandas as pd
 
