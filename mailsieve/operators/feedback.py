@@ -37,21 +37,30 @@ def accepted(verdicts: DataFrame, blank: Column | None = None) -> DataFrame:
     return verdicts.filter(rejection_reason(blank).isNull())
 
 
-def enrich(verdicts: DataFrame, scored: DataFrame, key="email_id", blank: Column | None = None) -> DataFrame:
-    """Join each accepted verdict with the prediction and features of its e-mail.
+def judged_verdicts(verdicts: DataFrame, scored: DataFrame, key="email_id", blank: Column | None = None) -> DataFrame:
+    """Every verdict with the prediction and features of its e-mail, and ``rejected``: why it can't be used, else null.
 
-    ``scored`` has one row per e-mail, so the verdict side may be skewed without multiplying rows;
-    adaptive execution splits a hot key. With a flag ``blank`` the verdicts need no texts, and no second pass over them.
+    A verdict whose e-mail has no score is rejected too. ``scored`` has one row per e-mail, so the verdict side may be
+    skewed without multiplying rows; adaptive execution splits a hot key. With a flag ``blank`` the verdicts need no
+    texts, and no second pass over them.
     """
     kept = scored.select(
         key,
+        F.lit(True).alias("_scored"),
         F.col("prediction").alias("predicted_category"),
         F.col("confidence").alias("prediction_confidence"),
         F.col("branch_prediction").alias("xgboost_prediction"),
         F.col("branch_confidence").alias("xgboost_confidence"),
         *FEATURES_KEPT,
     )
-    return accepted(verdicts, blank).join(kept, key)
+    reason = F.coalesce(F.col("_reason"), F.when(F.col("_scored").isNull(), F.lit("unknown e-mail")))
+    joined = verdicts.withColumn("_reason", rejection_reason(blank)).join(kept, key, "left")
+    return joined.withColumn("rejected", reason).drop("_reason", "_scored")
+
+
+def enrich(verdicts: DataFrame, scored: DataFrame, key="email_id", blank: Column | None = None) -> DataFrame:
+    """The accepted ones of ``judged_verdicts``."""
+    return judged_verdicts(verdicts, scored, key, blank).filter(F.col("rejected").isNull()).drop("rejected")
 
 
 def for_export(stored: DataFrame) -> DataFrame:

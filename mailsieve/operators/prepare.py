@@ -155,13 +155,15 @@ def duplicate_counts(df: DataFrame, subsets: list[list[str]]) -> DataFrame:
 def add_running_id(
     df: DataFrame, order: list[str], id_column: str = "email_id"
 ) -> DataFrame:
-    """1..n in the order of the given columns, which together tell the rows apart.
+    """1..n in the order of the given columns, nulls first; every row keeps its place, also where orders repeat.
 
-    Only the order columns are numbered: they are dealt to tasks by ranges, sorted there and written with the number of
-    their task and their place in it; to that the counts of all earlier tasks are added. The numbers are then joined
-    back. No task sees the whole table, and wide rows move once.
+    Rows are dealt to tasks by ranges, sorted there and written with the number of their task and their place in it; to
+    that the counts of all earlier tasks are added. Rows of equal order are dealt by where they lay, so many of them,
+    or many nulls, fill several tasks. No task sees the whole table, nothing is joined back, and rows move once.
     """
-    ranged = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = df.drop(id_column) if id_column not in order else df
+    marked = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = marked.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     placed = materialize(ranged.withColumn("_m", F.monotonically_increasing_id()), "running-ids")
     task, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     # One row for each task.
@@ -170,14 +172,10 @@ def add_running_id(
     for t in sorted(counts):
         before[t], total = total, total + counts[t]
     offsets = df.sparkSession.createDataFrame(list(before.items()), "_t long, _before long")
-    numbered = placed.join(F.broadcast(offsets), task == F.col("_t")).select(
-        *order, (F.col("_before") + place + 1).cast("long").alias(id_column)
+    numbered = placed.join(F.broadcast(offsets), task == F.col("_t"))
+    return numbered.select(
+        (F.col("_before") + place + 1).cast("long").alias(id_column), *[c for c in df.columns if c != id_column]
     )
-    others = [c for c in df.columns if c not in order and c != id_column]
-    if not others:
-        return numbered.select(id_column, *[c for c in df.columns if c != id_column])
-    wide = df.drop(id_column) if id_column not in order else df
-    return numbered.join(wide, order).select(id_column, *[c for c in df.columns if c != id_column])
 
 
 # --- unions and joins ----------------------------------------------------

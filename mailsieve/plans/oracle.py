@@ -559,7 +559,8 @@ oracle("r3_drop_both_blank", ["filled"], f"select email_id from filled where not
 cte("repeated", [], f"select doc_id, cast(substr(source, 4) as bigint) % 4 as corpus_rank, source, {basic('text')} as email_text from documents")
 oracle("r4_keep_first", ["repeated"], """select doc_id, corpus_rank, source from (
   select *, row_number() over (partition by email_text order by corpus_rank, doc_id) as rn from repeated) where rn = 1""")
-oracle("r5_running_id", ["repeated"], "select row_number() over (order by corpus_rank, doc_id) as email_id, doc_id, corpus_rank from repeated")
+oracle("r5_running_id", ["repeated"], """select row_number() over (order by corpus_rank nulls first, doc_id) as email_id, doc_id, corpus_rank
+from (select doc_id, case when doc_id % 9 <> 0 then corpus_rank end as corpus_rank from repeated)""")
 oracle("r6_code_mixed_only", ["feats"], f"select email_id, detected_language from feats where {within('detected_language', V.CODE_MIXED)}")
 oracle("r7_duplicate_counts", [], """with t as (select text as email_text, split_part(text, chr(10), 1) as subject, substr(text, length(split_part(text, chr(10), 1)) + 2) as body from documents)
 select 'email_text' as columns, count(*) - count(distinct email_text) as duplicates from t
@@ -755,7 +756,13 @@ oracle("x3_candidates", ["feats"], rf"""select email_id, (row_number() over (par
 # --- feedback and streams -------------------------------------------------------------------------
 
 oracle("b1_validate", ["verdicts"], f"select id, feedback_status, correct_category, {REJECTED} as rejected from verdicts")
-oracle("b2_enrich", ["enriched"], "select * exclude (clean_email_text) from enriched")
+oracle("b2_enrich", ["feedback", "judged"], f"""select v.id, v.email_id, v.feedback_status, v.correct_category, j.prediction as predicted_category,
+  j.confidence as prediction_confidence, j.branch_prediction as xgboost_prediction, j.branch_confidence as xgboost_confidence, j.detected_language,
+  j.url_count_extracted, j.has_url, j.has_defanged_url, j.suspicious_keyword_count, j.email_entropy,
+  case when v.feedback_status not in ('Correct', 'Wrong') or v.feedback_status is null then 'status must be Correct or Wrong'
+    when v.correct_category not in ({', '.join(q(x) for x in V.CLASSES)}) then 'unknown category' when v.id % 13 = 0 then 'empty e-mail'
+    when j.email_id is null then 'unknown e-mail' end as rejected
+from (select *, id % (select count(*) + 7 from documents) as email_id from feedback) v left join judged j on j.email_id = v.email_id""")
 oracle("b3_export", ["feedback"], "select id, feedback_status, correct_category, coalesce(detected_language, '') as detected_language from feedback")
 oracle("b4_training_candidates", ["enriched"], "select clean_email_text, arg_max(coalesce(correct_category, predicted_category), id) as category from enriched group by 1")
 cte("stream_mail", [], "select doc_id as email_id, source as subject, text as body from documents")

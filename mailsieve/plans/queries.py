@@ -611,7 +611,8 @@ def r4_keep_first(spark, sf):
 
 @query
 def r5_running_id(spark, sf):
-    rows = repeated(spark, sf).select("doc_id", "corpus_rank")
+    # Every ninth row has no rank; such rows come first.
+    rows = repeated(spark, sf).select("doc_id", F.when(c("doc_id") % 9 != 0, c("corpus_rank")).alias("corpus_rank"))
     return P.add_running_id(rows, ["corpus_rank", "doc_id"])
 
 
@@ -1222,10 +1223,13 @@ def enriched(spark, sf):
 
 @query
 def b2_enrich(spark, sf):
-    return enriched(spark, sf).select(
+    """All verdicts, some of them on e-mails that do not exist, with the reason why they are not used."""
+    n = W.table(spark, sf, "documents").count()
+    rows = feedback(spark, sf).withColumn("email_id", c("id") % lit(n + 7)).drop("detected_language", "prediction_confidence")
+    return B.judged_verdicts(rows, judged(spark, sf, X.TRAINING), blank=c("id") % 13 == 0).select(
         "id", "email_id", "feedback_status", "correct_category", "predicted_category", "prediction_confidence",
         "xgboost_prediction", "xgboost_confidence", "detected_language", "url_count_extracted", "has_url",
-        "has_defanged_url", "suspicious_keyword_count", "email_entropy",
+        "has_defanged_url", "suspicious_keyword_count", "email_entropy", "rejected",
     )
 
 
@@ -1242,10 +1246,6 @@ def b4_training_candidates(spark, sf):
 def stream_mail(spark, sf):
     docs = W.table(spark, sf, "documents")
     stream = jobs.file_stream(spark, sf, docs.schema, "documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        # One small file per batch would keep one core busy; batches of many files need no shuffle.
-        stream = stream.repartition(3 * cores, "doc_id")
     return stream.select(c("doc_id").alias("email_id"), c("source").alias("subject"), c("text").alias("body"))
 
 

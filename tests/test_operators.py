@@ -230,3 +230,21 @@ def test_running_ids_of_many_leading_values(spark):
 def test_keep_first_with_nulls_in_the_order(spark):
     rows = spark.createDataFrame([(None, 1, "a"), (1, 2, "a"), (None, 3, None), (2, 4, None), (2, 5, "b")], "r long, n long, t string")
     assert sorted(r.n for r in P.keep_first(rows, "t", ["r", "n"]).collect()) == [1, 3, 5]
+
+
+def test_running_ids_keep_null_and_equal_orders(spark):
+    rows = [(None, "a"), (2, "b"), (None, "c"), (1, "d"), (2, "e"), (None, None)]
+    got = P.add_running_id(spark.createDataFrame(rows, "n int, t string"), ["n"]).orderBy("email_id").collect()
+    assert [r["email_id"] for r in got] == [1, 2, 3, 4, 5, 6]
+    assert [r["n"] for r in got] == [None, None, None, 1, 2, 2] and {(r["n"], r["t"]) for r in got} == set(rows)
+    alike = spark.range(5000).selectExpr("cast(if(id % 3 = 0, null, 1) as int) as n")
+    assert P.add_running_id(alike, ["n"]).agg(F.count_distinct("email_id"), F.max("email_id")).first()[0:2] == (5000, 5000)
+
+
+def test_verdicts_on_unknown_mail(spark):
+    verdicts = spark.createDataFrame([(1, 7, "Correct", "Spam"), (2, 8, "Correct", "Spam"), (3, None, "Wrong", "Spam"), (4, 9, "no", "Spam")], "id int, email_id long, feedback_status string, correct_category string")
+    columns = ", ".join(f"'x' as {c}" for c in B.FEATURES_KEPT)
+    scored = spark.range(7, 8).selectExpr("id as email_id", "'Spam' as prediction", "0.5 as confidence", "'Spam' as branch_prediction", "0.5 as branch_confidence", *columns.split(", "))
+    got = {r["id"]: r["rejected"] for r in B.judged_verdicts(verdicts, scored, blank=F.lit(False)).collect()}
+    assert got == {1: None, 2: "unknown e-mail", 3: "unknown e-mail", 4: "status must be Correct or Wrong"}
+    assert [r["id"] for r in B.enrich(verdicts, scored, blank=F.lit(False)).collect()] == [1]

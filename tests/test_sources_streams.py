@@ -96,14 +96,54 @@ def test_size_limit_is_a_parameter(spark, tmp_path):
     assert {r["path"][-5:]: r["error"] for r in rows} == {"x.eml": "larger than 0.000976562 MB", "y.eml": None}
 
 
-def test_second_writer_of_the_store_fails(spark, tmp_path):
-    path = str(tmp_path / "store")
-    (tmp_path / "store.lock").write_text("")
-    with pytest.raises(RuntimeError, match="another writer"):
-        tables.append_feedback(spark.range(3).toDF("event"), path, "event")
-    (tmp_path / "store.lock").unlink()
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    """The second writer finds its number taken between reading the end of the store and its commit."""
+    path, taken = str(tmp_path / "store"), []
+    real = tables._take_number
+
+    def late(spark, place, number, commit):
+        if not taken:
+            taken.append(number)
+            tables.append_feedback(spark.range(100, 104).toDF("event"), path, "event")
+        return real(spark, place, number, commit)
+
+    monkeypatch.setattr(tables, "_take_number", late)
     tables.append_feedback(spark.range(3).toDF("event"), path, "event")
-    assert tables.count_feedback(spark, path) == 3 and not (tmp_path / "store.lock").exists()
+    assert [(r["id"], r["event"]) for r in tables.read_feedback(spark, path).collect()] == [(7, 2), (6, 1), (5, 0), (4, 103), (3, 102), (2, 101), (1, 100)]
+    assert tables.count_feedback(spark, path) == 7
+
+
+def test_many_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: tables.append_feedback(spark.range(10 * i, 10 * i + 5).toDF("event"), path, "event"), range(6)))
+    rows = tables.read_feedback(spark, path).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 31))
+    assert sorted(r["event"] for r in rows) == [10 * i + j for i in range(6) for j in range(5)]
+    by_batch = {r["event"] // 10: [] for r in rows}
+    for r in rows:
+        by_batch[r["event"] // 10].append((r["event"], r["id"]))
+    assert all(i[1] - e[1] == 1 for b in by_batch.values() for e, i in zip(sorted(b), sorted(b)[1:]))
+
+
+def test_crash_before_the_commit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    tables.append_feedback(spark.range(2).toDF("event"), path, "event")
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_take_number", crash)
+        with pytest.raises(KeyboardInterrupt):
+            tables.append_feedback(spark.range(50, 60).toDF("event"), path, "event")
+    assert tables.count_feedback(spark, path) == 2 and tables.read_feedback(spark, path).count() == 2
+    tables.append_feedback(spark.createDataFrame([(None,), (7,), (None,)], "event long"), path, "event")
+    assert [(r["id"], r["event"]) for r in tables.read_feedback(spark, path).collect()] == [(5, 7), (4, None), (3, None), (2, 1), (1, 0)]
+    tables.append_feedback(spark.range(0).toDF("event"), path, "event")
+    assert tables.count_feedback(spark, path) == 5
 
 
 def test_empty_content(spark):
