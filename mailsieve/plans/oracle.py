@@ -791,7 +791,13 @@ from predictions group by attack_type""")
 oracle("m5_robustness_rows", ["predictions"], f"""select email_id, attack_type, category,
   {all_true("class_known", "flag_fits", "confidence_fits")} from predictions""")
 oracle("k3_top_importances", [], f"select unnest(range(1, 11))::int as rank, {all_true('feature_known', 'in_order')}")
-oracle("e6_text_vectors", ["feats"], "select email_id, 64::int as width, true as finite from feats")
+cte("text_tokens", ["feats"], """select email_id, unnest(t) as w, unnest(range(0, len(t))) as i
+  from (select email_id, list_filter(regexp_split_to_array(clean_email_text, '[ ]+'), lambda w: w <> '') as t from feats)""")
+oracle("e6_cooccurrences", ["text_tokens"], """select least(a.w, b.w) as word, greatest(a.w, b.w) as context, count(*) as n
+  from text_tokens a join text_tokens b on b.email_id = a.email_id and b.i > a.i and b.i <= a.i + 5 group by 1, 2 having count(*) >= 50""")
+oracle("e6_text_vectors", ["feats", "text_tokens"], """select email_id, 64::int as width, true as finite,
+  (select count(distinct t.w) from text_tokens t where t.email_id = f.email_id and t.w in (select w from text_tokens group by w having count(*) >= 5)) as known_words
+  from feats f""")
 oracle("x3_occlusion", ["feats"], f"""select email_id,
   {all_true("class_known", "at_most_five", "words_known", "in_order", "all_positive")} from feats""")
 oracle("x4_word_surrogate", ["emails"], f"""select email_id,

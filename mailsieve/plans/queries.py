@@ -23,6 +23,7 @@ from mailsieve.operators import prepare as P
 from mailsieve.operators import profiles as A
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
+from mailsieve.operators import vectors as N2
 from mailsieve.plans import views as W
 from mailsieve.session import materialize, scratch_path, spread
 from mailsieve.sources import eml, tables
@@ -965,12 +966,25 @@ def e6_masked_mean(spark, sf):
     )
 
 
+@query
+def e6_cooccurrences(spark, sf):
+    """Word pairs that stand near each other fifty times or more."""
+    f = materialize(feats(spark, sf).select("email_id", V.TEXT_COLUMN), "texts")
+    return N2.cooccurrences(f).filter("n >= 50")
+
+
 @query
 def e6_text_vectors(spark, sf):
+    """Texts as means of word vectors: their width, their tokens with a vector, and whether these alone make them differ from zero."""
     f = materialize(feats(spark, sf).select("email_id", V.TEXT_COLUMN), "texts")
-    vectors = N.fit_text_encoder(f).transform(f).select("email_id", N.to_array("embedding_vector").alias("v"))
+    words = materialize(N2.fit_word_vectors(f), "word-vectors")
+    vectors = N2.encode_by_join(f, words).select("email_id", c("embedding").alias("v"))
     finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("email_id", F.size("v").alias("width"), finite.alias("finite"))
+    known = f.select("email_id", F.explode(F.array_distinct(N2.tokens_of(c(V.TEXT_COLUMN)))).alias("word")).join(words.select("word"), "word")
+    counts = known.groupBy("email_id").agg(F.count("*").alias("known_words"))
+    return vectors.join(counts, "email_id", "left").select(
+        "email_id", F.size("v").alias("width"), finite.alias("finite"), F.coalesce("known_words", lit(0)).cast("long").alias("known_words"),
+    )
 
 
 @query
