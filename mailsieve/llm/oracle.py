@@ -68,16 +68,16 @@ with texts as (select row_number() over () as rid, doc_id, coalesce(lang, null)
 ), starts as (select rid, i from (select rid, i, count(*) over (partition by rid, win) as n from windows) where n > 1
 ), covered as (select rid, sum(least(8, i - before)) as n from (
         select rid, i, coalesce(lag(i) over (partition by rid order by i), i - 8) as before from starts) group by rid
-), base as (select s.rid, doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint as word_chars,
+), base as (select s.rid, doc_id, t, len(w)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint as word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(lines) as n_lines,
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
         coalesce('=' || lang, '-') as lang_key, coalesce('=' || lang, '-') || chr(31) || coalesce('=' || source, '-') as own
     from split s left join covered c on c.rid = s.rid
 ), judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
         {', '.join(f'round({x} * {R.STEP})::bigint as {n}' for n, x in zip(R.FEATURES, vector))} from base
-), once as (select distinct lang_key, own, {xs} from judged where not base_failed
+), once as (select distinct lang_key, own, t, {xs} from judged where not base_failed
 ), groups as (select own, case when count(*) >= {min_rows} then own else any_value(lang_key) || chr(30) end as grp from once group by own
-), vectors as (select distinct grp, {xs} from once join groups on groups.own = once.own
+), vectors as (select distinct grp, t, {xs} from once join groups on groups.own = once.own
 ), enough as (select grp from vectors group by grp having count(*) >= {min_rows}
 ), centre as (select grp, {medians} from vectors group by grp
 ), e0 as (select grp, {', '.join(f'm_{i}' for i in _P)}, {start} from (
