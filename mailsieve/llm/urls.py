@@ -62,8 +62,11 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 def word_counts(pages: DataFrame, html_column: str, max_words: int) -> dict[str, int]:
     """The most frequent words of the pages' texts."""
-    text = F.regexp_replace(F.coalesce(pages[html_column], F.lit("")), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    rows = pages.select(F.coalesce(pages[html_column], F.lit("")).alias("html")).withColumn("tail", F.substring_index("html", ">", -1))
+    # No tag begins behind the last ">"; to look for its end from every "<" there would take quadratic time.
+    head = F.substring(F.col("html"), F.lit(1), F.length("html") - F.length("tail"))
+    text = F.concat(F.regexp_replace(head, r"<[^>]*>", " "), F.col("tail"))
+    words = rows.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     return dict(most_frequent(counts, max_words).collect())
 
@@ -132,13 +135,14 @@ def segmented(pages: DataFrame, counts: dict[str, int], bins: int) -> DataFrame:
     return pages.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, words array<string>, places array<int>")
 
 
-def fit_bayes(rows: DataFrame, bins: int, seed_pages: int) -> np.ndarray | None:
+def fit_bayes(rows: DataFrame, bins: int, seed_share: float) -> np.ndarray | None:
     """For each bin the log odds of allow against block, and the prior odds last; null without a decided page."""
     decided = rows.filter("verdict is not null and host != ''")
     classes = {"allow": 1, "block": 1} | dict(decided.groupBy("verdict").count().collect())  # two rows at most
     if sum(classes.values()) == 2 and decided.isEmpty():
         return None
     table = np.ones((bins, 2))
+    seed_pages = max(1.0, seed_share * sum(classes.values()))  # so that seeds weigh alike in tables of any size
     for verdict, words in SEEDS.items():
         for word in words.split():
             table[bin_of("h:" + word, bins), int(verdict == "allow")] += seed_pages
@@ -151,7 +155,7 @@ def fit_bayes(rows: DataFrame, bins: int, seed_pages: int) -> np.ndarray | None:
 
 def judge(
     pages: DataFrame, rules: dict[str, str], id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
-    max_words: int = 50_000, bins: int = 1 << 15, seed_pages: int = 20,
+    max_words: int = 50_000, bins: int = 1 << 15, seed_share: float = 0.02,
 ) -> DataFrame:
     """One row per page: host, path, rule, verdict and the method's log odds (null where it has no say)."""
     url = pages[url_column]
@@ -162,7 +166,7 @@ def judge(
         verdict = F.when(F.col("rule") == rule, F.lit(says)).otherwise(verdict)
     rows = segmented(rows.withColumn("verdict", verdict), word_counts(pages, html_column, max_words), bins)
     rows = materialize(rows, "pages")
-    odds = fit_bayes(rows, bins, seed_pages)
+    odds = fit_bayes(rows, bins, seed_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
