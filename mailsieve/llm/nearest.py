@@ -11,7 +11,8 @@ which cuts to k before its shuffle. The result is exact.
 Defined results: vectors that are null, empty, zero or hold a null, NaN or infinite component take no part; vectors are
 compared with those of their own length only; ties go to the smaller id; a query never meets a row with its own id;
 rows with the same id count as candidates each, and each query row gives its own ranks; null ids take no part; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. Products that leave the range of doubles give an infinite score, or none
+that is a number, which ranks last.
 """
 
 from __future__ import annotations
@@ -71,33 +72,45 @@ class Coded:
         self.ids = np.frombuffer(ids, "<i8")
         kind = "<f8" if len(vectors) == 8 * dim * len(self.ids) else "<f4"
         self.exact = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
-        self.scale = np.abs(self.exact).max(1) / 127
-        self.codes = np.rint(self.exact / self.scale[:, None]).astype(np.int8)
-        decoded = self.codes * self.scale[:, None]
+        # All lengths are those of rows divided by their largest component, so that no square overflows or vanishes.
+        self.scale = np.abs(self.exact).max(1)
+        unit = self.exact / self.scale[:, None]
+        self.codes = np.rint(unit * 127).astype(np.int8)
+        decoded = self.codes / 127
         self.length = np.sqrt((decoded**2).sum(1))
-        self.error = np.sqrt(((self.exact - decoded) ** 2).sum(1))
-        self.full = np.sqrt((self.exact**2).sum(1))
+        self.error = np.sqrt(((unit - decoded) ** 2).sum(1))
+        self.full = np.sqrt((unit**2).sum(1))
 
 
 def tile(q: Coded, c: Coded, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query rows, candidate rows and exact products that may be among the k nearest; ``known``: k-th best so far."""
     # Products of int8 codes are whole numbers below 2**24 for up to 1040 components, so float32 holds them exactly.
     kind = np.float32 if q.codes.shape[1] <= 1040 else np.float64
-    product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64) * q.scale[:, None] * c.scale
+    product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64) / 127**2
     # The factor covers rounding in the bounds themselves.
     bound = 1.000001 * (q.error[:, None] * c.full + q.length[:, None] * c.error) + 1e-12 * q.full[:, None] * c.full
     other = q.ids[:, None] != c.ids
-    lower = np.where(other, product - bound, -np.inf)
-    if lower.shape[1] >= k:
-        known = np.maximum(known, np.partition(lower, -k, axis=1)[:, -k])
-    rows, columns = np.nonzero(other & (product + bound >= known[:, None]))
-    score = np.zeros(len(rows))
-    left, right = q.exact[rows], c.exact[columns]
-    for d in range(left.shape[1]):  # in order, as a plain loop over the components adds them
-        score += left[:, d] * right[:, d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        sizes = q.scale[:, None] * c.scale
+        lower, upper = (product - bound) * sizes, (product + bound) * sizes
+        # Products beyond the range of doubles, or below it, prove nothing: such pairs are worked out.
+        safe = (sizes < 1e290) & (sizes > 1e-290)
+        lower = np.where(other & safe, lower, -np.inf)
+        if lower.shape[1] >= k:
+            known = np.maximum(known, np.partition(lower, -k, axis=1)[:, -k])
+        rows, columns = np.nonzero(other & (~safe | (upper >= known[:, None])))
+        score = np.zeros(len(rows))
+        left, right = q.exact[rows], c.exact[columns]
+        for d in range(left.shape[1]):  # in order, as a plain loop over the components adds them
+            score += left[:, d] * right[:, d]
     return rows, columns, score
 
 
+def _rank_of(score: float) -> float:
+    """A score that is no number, from sums of infinite products, ranks last."""
+    return score if score == score else -np.inf
+
+
 def search(candidates: DataFrame, is_query: Column, id_column: str, vector_column: str, k: int = 20, rows: int = 1024, group_chunks: int = 8) -> DataFrame:
     """For each row of ``is_query`` (a condition on ``id``) its k nearest other rows by inner product."""
     good = usable(candidates, id_column, vector_column)
@@ -114,7 +127,7 @@ def search(candidates: DataFrame, is_query: Column, id_column: str, vector_colum
 
         def emit(chunk):
             q, heaps = held.pop(chunk)
-            out = [(chunk, i, int(q.ids[i]), -v, s) for i, heap in enumerate(heaps) for s, v in heap]
+            out = [(chunk, i, int(q.ids[i]), -v, s) for i, heap in enumerate(heaps) for _, v, s in heap]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
             names = ["chunk", "place", "query_id", "vec_id", "score"]
             columns = [pa.array(x, t) for x, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
@@ -133,14 +146,14 @@ def search(candidates: DataFrame, is_query: Column, id_column: str, vector_colum
                 known = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
                 for row, column, score in zip(*(x.tolist() for x in tile(q, c, known, k))):
                     # The smallest of a heap is its worst: lowest score, then largest id.
-                    entry, heap = (score, -int(c.ids[column])), heaps[row]
+                    entry, heap = (_rank_of(score), -int(c.ids[column]), score), heaps[row]
                     if len(heap) < k:
                         heapq.heappush(heap, entry)
-                    elif entry > heap[0]:
+                    elif entry[:2] > heap[0][:2]:
                         heapq.heapreplace(heap, entry)
         for chunk in list(held):
             yield emit(chunk)
 
-    best = Window.partitionBy("chunk", "place").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("chunk", "place").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     ranked = pairs.mapInArrow(run, _FOUND).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

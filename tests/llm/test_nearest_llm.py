@@ -1,5 +1,7 @@
 """Nearest neighbours against all products."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,23 @@ def test_bounds_hold():
         best = np.argsort(-exact, 1)[:, :5]
         assert {(i, j) for i in range(40) for j in best[i]} <= set(zip(rows.tolist(), columns.tolist()))
         assert len(rows) < 40 * 40 * 0.8
+
+
+def test_doubles_beyond_the_range_of_squares(spark):
+    rng = np.random.default_rng(9)
+    kinds = "vec_id bigint, embedding array<double>, label int"
+    for size in (1e160, 1e-170, 1e150):
+        data = [(i, (size * rng.normal(size=4)).tolist(), 0) for i in range(40)]
+        df = spark.createDataFrame(data, kinds)
+        got = [tuple(r) for r in nearest.search(df, F.col("id") % 5 == 0, "vec_id", "embedding", 4).orderBy("query_id", "rank").collect()]
+        want = []
+        for i, q, _ in data[::5]:
+            scored = []
+            for j, c, _ in data:
+                if j != i:
+                    s = 0.0
+                    for x, y in zip(q, c):
+                        s += x * y
+                    scored.append((-(s if s == s else -math.inf), j, s))
+            want += [(i, n + 1, j, s) for n, (_, j, s) in enumerate(sorted(scored, key=lambda x: x[:2])[:4])]
+        assert repr(got) == repr(want)
