@@ -19,6 +19,7 @@ carried along unchanged by ``mask``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import defaultdict
@@ -115,6 +116,22 @@ version 0.00.000 of 0000
 about 0 000 000 people in 0000
 0 00 000 0000 00000
 lat 00.0000 lon 00.0000 there
+order placed 00 00 0000 by post
+placed on 00 00 0000 and paid
+dated 0 00 0000 in full
+pages 000 000 000 000
+pages 00 00 000 and 000 again
+see pages 000 000 and 000
+population 000 000 000
+population of 0 000 000 in 0000
+invoice 0000 000 0000
+invoice 000 0000 of 0000
+total 00 000 000 units
+serial 000 0000 0000 in stock
+from 0000 to 0000 and 00 to 00
+between 000 and 000 pages
+room 000-000 or 000/000 there
+rows 0-00 and 00-000 of 000
 """.strip().split("\n")
 
 _ACTIVE = re.compile(r"[0-9@]|[\[({](?:at|dot|\.)[\])}]", re.IGNORECASE)
@@ -130,7 +147,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[^0-9]+")
 #: Words whose presence beside a word is a feature of its own.
-_CUES = frozenset("call tel phone fax mobile number ring card visa carte karte ip host server ping mail e-mail email contact version page chapter room order isbn password token at".split())
+_CUES = frozenset("call tel phone fax mobile number ring card visa carte karte ip host server ping mail e-mail email contact version page chapter room order placed dated invoice population pages total serial rows from between isbn password token at".split())
 
 
 def luhn(digits: str) -> bool:
@@ -444,9 +461,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
 
 
+@functools.cache
+def standard_field() -> ShapeField:
+    """The field of the labelled table, fitted once for each process."""
+    return ShapeField()
+
+
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", field: ShapeField | None = None) -> DataFrame:
     """One row per text: counts and digest of the pattern spans, and all spans."""
-    field = field or ShapeField()
+    field = field or standard_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(field)
@@ -477,7 +500,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask(docs: DataFrame, text_column: str = "text", field: ShapeField | None = None) -> DataFrame:
     """The same rows and columns with personal data replaced in the text; nulls stay."""
-    field = field or ShapeField()
+    field = field or standard_field()
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,3 +145,71 @@ def test_query(spark, sf_dir):
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+#: Sentences that are not in the labelled table: entities by kind, and harmless numbers.
+HELD_OUT = """
+you can ring {phone 000-000-0000} any time
+office number {phone (000) 000-0000} only
+phone {phone 000 000 0000} or mail
+please write {email lena [at] firma [dot] de} soon
+mail {email k.meyer(at)post.example.org} first
+contact {email Tim [AT] Work [DOT] Com} now
+the host {ip 00[.]00[.]000[.]0} was seen
+ping {ip 000(.)0(.)00(.)0} please
+card {card 0000.0000.0000.0000} was used
+pay by {card 0000_0000_0000_0000} here
+Order placed 00 00 0000
+pages 000 000 000 000
+population 000 000 000
+invoice 0000 000 0000
+the order was placed 00 00 0000 at noon
+on pages 000 000 000 of the book
+a population of 00 000 000 people
+invoice 0000 000 0000 is due
+total 000 000 000 for 0000
+chapter 00 page 000 line 00
+""".strip().split("\n")
+
+
+def test_precision_and_recall_on_held_out_sentences(field):
+    rng, finder = np.random.default_rng(123), pii.Finder(field)
+    hit, missed, wrong = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    for _ in range(20):
+        for sentence in HELD_OUT:
+            fill = "".join(str(rng.integers(1, 10)) if c == "0" else c for c in sentence)
+            entity = re.search(r"\{(\w+) ([^}]*)\}", fill)
+            want = set()
+            text = fill
+            if entity:
+                inside = entity[2]
+                if entity[1] == "card":
+                    digits = re.sub(r"\D", "", inside)
+                    last = next(str(d) for d in range(10) if pii.luhn(digits[:-1] + str(d)))
+                    inside = inside[:-1] + last
+                if entity[1] == "ip":
+                    inside = re.sub(r"\d+", lambda m: str(int(m[0]) % 256), inside)
+                text = fill[: entity.start()] + inside + fill[entity.end() :]
+                want = {(entity[1], entity.start(), entity.start() + len(inside))}
+            (base, added), = finder.spans([text])
+            found = set(base + added)
+            for k, _, _ in want & found:
+                hit[k] += 1
+            for k, _, _ in want - found:
+                missed[k] += 1
+            for k, _, _ in found - want:
+                wrong[k] += 1
+    for k in pii.KINDS:
+        assert hit[k] / (hit[k] + missed[k]) >= 0.8, (k, hit, missed, wrong)
+        assert wrong[k] <= 0.05 * max(1, hit[k]), (k, hit, missed, wrong)
+    print("hit", hit, "missed", missed, "wrong", wrong)
+
+
+def test_harmless_numbers_stay(field):
+    finder = pii.Finder(field)
+    for text in ("Order placed 12 03 2024", "pages 120 130 140 150", "population 123 456 789", "invoice 4012 888 1234"):
+        assert finder.spans([text]) == [([], [])]
+
+
+def test_fitted_once():
+    assert pii.standard_field() is pii.standard_field()
