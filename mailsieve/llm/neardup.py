@@ -410,5 +410,8 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all without an id."""
     kept = near_duplicates(docs, id_column, text_column, **options).filter("kept").select(id_column).distinct()
-    named = docs.filter(docs[id_column].isNotNull()).join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.filter(docs[id_column].isNull()))
+    named = docs.filter(docs[id_column].isNotNull()).join(kept, id_column, "left_semi")
+    # Of rows with one id the same stays in every run: that of the smallest digest of its text.
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    one = named.groupBy(F.col(id_column).alias("_id")).agg(F.min_by(whole, F.xxhash64(text_column)).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter(docs[id_column].isNull()))
