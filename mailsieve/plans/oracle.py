@@ -785,7 +785,7 @@ for name in ("l1_logistic_regression", "l1_logistic_regression_char", "l2_random
 oracle("l5_hybrid_scoring", ["feats_serving"], f"""select email_id, detected_language, url_count_extracted::bigint as url_count,
   {all_true("risk_fits", "is_winner", "sums_to_one", "branch_known", "has_reasons")} from feats_serving""")
 oracle("s8_model_store", ["splits"], """select model, email_id, true as same
-from splits, (values ('hybrid'), ('boosted'), ('text')) m(model) where split = 'test'""")
+from splits, (values ('hybrid'), ('boosted'), ('text')) m(model)""")
 oracle("m5_model_robustness", ["predictions"], f"""select attack_type, count(*) as rows, {all_true("correct_within_rows", "accuracy_fits")}
 from predictions group by attack_type""")
 oracle("m5_robustness_rows", ["predictions"], f"""select email_id, attack_type, category,
