@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from mailsieve import fixed_values as V
 from mailsieve.functions.text import squeeze
+from mailsieve.session import materialize
 
 STRUCTURED_WIDTH_LIMIT = 10_000
 
@@ -92,12 +93,8 @@ def char_wb_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     )[0]
 
 
-def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
-    """(gram, documents, occurrences) over the whole table.
-
-    Each row emits its grams and its distinct grams, so one aggregation on the gram, combined before
-    the shuffle, gives both numbers.
-    """
+def _emitted(df: DataFrame, grams: Column) -> DataFrame:
+    """(gram, d, o): each gram of a row with o = 1, and each distinct one with d = 1."""
     zero, one = F.lit(0), F.lit(1)
     emitted = F.transform(
         F.array(grams),
@@ -106,9 +103,36 @@ def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
             F.transform(F.array_distinct(gs), lambda g: F.struct(g.alias("gram"), one.alias("d"), zero.alias("o"))),
         ),
     )[0]
-    return df.select(F.inline(emitted)).groupBy("gram").agg(
-        F.sum("d").alias("documents"), F.sum("o").alias("occurrences")
-    )
+    return df.select(F.inline(emitted))
+
+
+def _added_up(emitted: DataFrame) -> DataFrame:
+    return emitted.groupBy("gram").agg(F.sum("d").alias("documents"), F.sum("o").alias("occurrences"))
+
+
+def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
+    """(gram, documents, occurrences) over the whole table.
+
+    Each row emits its grams and its distinct grams, so one aggregation on the gram, combined before
+    the shuffle, gives both numbers.
+    """
+    return _added_up(_emitted(df, grams))
+
+
+def _word_lists(text: str) -> Column:
+    return F.filter(F.split(squeeze(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "")
+
+
+def _word_counts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.explode(_word_lists(text)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("o"))
+
+
+def _emitted_by_word(df: DataFrame, word_counts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The occurrences and the documents of ``_emitted`` for character n-grams."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    occurrences = word_counts.select(F.explode(char_wb_grams(F.col("w"))).alias("gram"), zero.alias("d"), "o")
+    once = char_wb_grams(F.array_join(F.array_distinct(_word_lists(text)), " "))
+    return occurrences, df.select(F.explode(F.array_distinct(once)).alias("gram"), one.alias("d"), zero.alias("o"))
 
 
 def char_gram_counts(df: DataFrame, text: str = V.TEXT_COLUMN) -> DataFrame:
@@ -117,15 +141,55 @@ def char_gram_counts(df: DataFrame, text: str = V.TEXT_COLUMN) -> DataFrame:
     Occurrences come from the counts of the words, which combine well before the shuffle; documents come
     from the distinct words of each text. Both passes read the text, so a computed text should be written first.
     """
-    words = F.filter(F.split(squeeze(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    per_word = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("o"))
-    occurrences = per_word.select(F.explode(char_wb_grams(F.col("w"))).alias("gram"), zero.alias("d"), "o")
-    once = char_wb_grams(F.array_join(F.array_distinct(words), " "))
-    documents = df.select(F.explode(F.array_distinct(once)).alias("gram"), one.alias("d"), zero.alias("o"))
-    return occurrences.unionByName(documents).groupBy("gram").agg(
-        F.sum("d").alias("documents"), F.sum("o").alias("occurrences")
-    )
+    occurrences, documents = _emitted_by_word(df, _word_counts(df, text), text)
+    return _added_up(occurrences.unionByName(documents))
+
+
+#: Cells for each gram that is wanted: the mass of all rare grams in a cell stays far below a frequent gram's count.
+CELLS_PER_GRAM = 32
+
+
+def _most_frequent(occurrences: DataFrame, emitted: DataFrame, size: int, cells: int | None) -> DataFrame:
+    """The ``size`` grams of most occurrences, of equal ones the smaller, with exact counts.
+
+    First all occurrences are added up by the cell that a hash gives their gram: no gram occurs more often than its cell.
+    Then only the grams of the fullest cells are counted. If the last of the ``size`` best counts is at least the total
+    of every cell left out, no gram of those can be among them. Otherwise that count is a lower bound for the wanted ones, and
+    the cells between it and the first limit are counted too. So the result never depends on the hash or the number of cells;
+    what is shuffled is a number for each cell and task and the strings of full cells, not those of rare grams.
+    """
+    cells = cells or 1 << (size * CELLS_PER_GRAM - 1).bit_length()
+    cell = F.pmod(F.xxhash64("gram"), F.lit(cells)).cast("int").alias("cell")
+    totals = materialize(occurrences.select(cell, "o").groupBy("cell").agg(F.sum("o").alias("total")), "gram-cells")
+
+    def least(table: DataFrame, column: str, places: int) -> int:
+        """The number in that place in falling order, 0 where there are fewer."""
+        row = table.select(column).orderBy(F.desc(column)).limit(places).agg(F.count(F.lit(1)), F.min(column)).first()
+        return row[1] if row[0] == places else 0
+
+    def counted(of_cell: Column) -> DataFrame:
+        # At most one row for each cell.
+        full = F.broadcast(totals.filter(of_cell).select("cell"))
+        return _added_up(emitted.select("*", cell).join(full, "cell", "left_semi"))
+
+    limit = least(totals, "total", size + size // 2)
+    counts = materialize(counted(F.col("total") >= limit), "gram-counts")
+    reached = least(counts, "occurrences", size)
+    if reached < limit:
+        counts = counts.unionByName(counted((F.col("total") >= reached) & (F.col("total") < limit)))
+    return vocabulary(counts, size)
+
+
+def top_grams(df: DataFrame, grams: Column, size: int, cells: int | None = None) -> DataFrame:
+    """``vocabulary(gram_counts(df, grams), size)`` without a shuffle of the rare grams; reads the table twice."""
+    return _most_frequent(df.select(F.explode(grams).alias("gram"), F.lit(1).alias("o")), _emitted(df, grams), size, cells)
+
+
+def top_char_grams(df: DataFrame, size: int, text: str = V.TEXT_COLUMN, cells: int | None = None) -> DataFrame:
+    """``vocabulary(char_gram_counts(df), size)`` without a shuffle of the rare grams."""
+    words = materialize(_word_counts(df, text), "word-counts")
+    occurrences, documents = _emitted_by_word(df, words, text)
+    return _most_frequent(occurrences.select("gram", "o"), occurrences.unionByName(documents), size, cells)
 
 
 def word_grams(df: DataFrame, text: str = V.TEXT_COLUMN, output: str = "grams", stop_words=None) -> DataFrame:
