@@ -22,6 +22,7 @@ from mailsieve.functions import text as X
 from mailsieve.functions import urls as U
 from mailsieve.operators import boosting as G
 from mailsieve.operators import encoders as N
+from mailsieve.operators import forest as B
 from mailsieve.operators import ranking as K
 from mailsieve.operators import sampling as T
 from mailsieve.operators.network import Network, fit_network
@@ -109,11 +110,14 @@ class TextModel:
         return _result(self.classifier.transform(self.features(df)), self.classes).drop("_x", "tfidf", "grams")
 
     PARTS = ("tfidf", "classifier", "info")
-    KINDS = {k.__name__: k for k in (LogisticRegressionModel, RandomForestClassificationModel)}
+    KINDS = {k.__name__: k for k in (LogisticRegressionModel, RandomForestClassificationModel, B.Forest)}
 
     def save(self, path: str) -> None:
         self.tfidf.write().overwrite().save(f"{path}/tfidf")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
+        if isinstance(self.classifier, B.Forest):
+            self.classifier.save(f"{path}/classifier")
+        else:
+            self.classifier.write().overwrite().save(f"{path}/classifier")
         kind = type(self.classifier).__name__
         _write_info(path, {"classes": self.classes, "analyzer": self.analyzer, "kind": kind, "structured": _structured_info(self.structured)})
 
@@ -147,9 +151,9 @@ def _fit_text_model(train: DataFrame, analyzer: str, vocabulary: int, make_class
     classes = class_names(train)
     structured = N.StructuredEncoder().fit(train)
     if analyzer == "char":
-        counts = N.char_gram_counts(train)
+        counts = N.top_char_grams(train, vocabulary)
     else:
-        counts = N.gram_counts(_grams(train, analyzer), F.col("grams"))
+        counts = N.top_grams(_grams(train, analyzer), F.col("grams"), vocabulary)
     tfidf = N.fit_tfidf(counts, train.count(), vocabulary)
     ensure_checkpoint_dir(train.sparkSession)
     encoded = _text_features(weighted, analyzer, structured, tfidf).select(
@@ -192,6 +196,20 @@ def fit_random_forest(train: DataFrame, analyzer="char", vocabulary=15_000, tree
     return _fit_text_model(train, analyzer, vocabulary, make)
 
 
+def fit_deep_forest(train: DataFrame, analyzer="char", vocabulary=15_000, trees=200, leaf_rows=1, seed=V.SEED) -> TextModel:
+    """A random forest whose trees grow until their leaves are pure; ``fit_random_forest`` ends at a depth of 30."""
+
+    class Maker:
+        def __init__(self, rows: DataFrame):
+            self.shape = rows.select(F.max("_id"), F.max(F.size(vector_to_array("_x")))).first()
+
+        def fit(self, rows: DataFrame) -> B.Forest:
+            classes, width = self.shape
+            return B.fit_forest(rows, "_x", "_id", "weight", int(classes) + 1, width, trees, leaf_rows, seed)
+
+    return _fit_text_model(train, analyzer, vocabulary, Maker)
+
+
 # --- boosted trees on structured features ------------------------------------
 
 

@@ -940,13 +940,13 @@ def e2_one_hot(spark, sf):
 @query
 def e3_word_grams(spark, sf):
     grams = N.word_grams(feats(spark, sf).select("email_id", V.TEXT_COLUMN), stop_words=V.OCCLUSION_STOP_WORDS)
-    return N.vocabulary(N.gram_counts(grams, c("grams")), 50_000)
+    return N.top_grams(materialize(grams.select("grams"), "grams"), c("grams"), 50_000)
 
 
 @query
 def e4_char_grams(spark, sf):
     f = materialize(feats(spark, sf).select(V.TEXT_COLUMN), "texts")
-    return N.vocabulary(N.char_gram_counts(f), 100_000)
+    return N.top_char_grams(f, 100_000)
 
 
 @query
@@ -1062,7 +1062,7 @@ def linear_model(spark, sf, analyzer, vocabulary):
 
 def forest_model(spark, sf):
     rows = split_features(spark, sf)
-    return D.fit_random_forest(rows.filter("split = 'train'")), rows
+    return D.fit_deep_forest(rows.filter("split = 'train'")), rows
 
 
 @query

@@ -36,11 +36,12 @@ def fitted(hybrid, rows):
         "word": D.fit_logistic_regression(train, "word", vocabulary=2000, max_iter=30),
         "char": D.fit_logistic_regression(train, "char", vocabulary=2000, max_iter=20),
         "forest": D.fit_random_forest(train, vocabulary=2000, trees=20, depth=8),
+        "deep": D.fit_deep_forest(train, vocabulary=2000, trees=20),
         "boosted": hybrid.boosted, "hybrid": hybrid,
     }
 
 
-@pytest.mark.parametrize("name", ["word", "char", "forest", "boosted", "hybrid"])
+@pytest.mark.parametrize("name", ["word", "char", "forest", "deep", "boosted", "hybrid"])
 def test_better_than_the_largest_class(name, fitted, rows):
     model = fitted[name]
     scored = Q.scored_rows(model, rows)
@@ -49,7 +50,7 @@ def test_better_than_the_largest_class(name, fitted, rows):
     assert hit_rate(scored) > majority(scored) + 0.2
 
 
-@pytest.mark.parametrize("name", ["word", "forest", "boosted", "hybrid"])
+@pytest.mark.parametrize("name", ["word", "forest", "deep", "boosted", "hybrid"])
 def test_saved_model_scores_alike(name, fitted, rows, spark, tmp_path):
     model, path = fitted[name], str(tmp_path / name)
     few = rows.filter("split = 'test'")
@@ -131,6 +132,21 @@ def test_both_ways_to_count_grams(spark, sf_dir):
     assert by_word.exceptAll(direct).count() == direct.exceptAll(by_word).count() == 0
 
 
+@pytest.mark.parametrize("size,cells", [(50, None), (50, 8), (50, 300), (3000, 4096), (10**6, 1 << 12)])
+def test_most_frequent_grams_for_any_number_of_cells(spark, sf_dir, size, cells):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias(V.TEXT_COLUMN))
+    plain = N.vocabulary(N.char_gram_counts(texts), size)
+    pruned = N.top_char_grams(texts, size, cells=cells)
+    assert pruned.orderBy(F.desc("occurrences"), "gram").collect() == plain.orderBy(F.desc("occurrences"), "gram").collect()
+
+
+def test_most_frequent_grams_with_ties_and_without_rows(spark):
+    df = spark.createDataFrame([(["b", "a", "c"],), (["c", "d", "b", "a"],), ([],), (None,)], "g array<string>")
+    for cells in (1, 2, 64):
+        assert [tuple(r) for r in N.top_grams(df, F.col("g"), 2, cells).collect()] == [("a", 2, 2), ("b", 2, 2)]
+        assert N.top_grams(df.limit(0), F.col("g"), 2, cells).count() == 0
+
+
 def test_external_encoder_hook(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], f"id int, {V.TEXT_COLUMN} string")
     got = N.encode_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("id").collect()
