@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from email import policy
 from email.header import decode_header, make_header
 from email.parser import BytesParser
-from urllib.parse import unquote
+from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from mailsieve import fixed_values as V
 from mailsieve.functions import headers as H
 from mailsieve.functions import text as X
 from mailsieve.operators import mail_checks as M
+from mailsieve.session import materialize
 
 RAW_SCHEMA = (
     "path string, length long, error string, subject string, from_header string, reply_to_header string, "
@@ -35,24 +38,90 @@ _MANY = {
 }
 
 
+#: Bytes of files that one task reads, and that it hands on at once.
+READ_TASK, READ_BATCH = 64 << 20, 16 << 20
+_FOUND = "path string, folder boolean, length long"
+
+
+def _file_uri(path: str) -> str:
+    """A local path as the file system library takes it; other places keep their scheme."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return path if "://" in path else f"file://{quote(path)}"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies directly in each folder; names that begin with a dot or an underscore are left out."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            system, place = fs.FileSystem.from_uri(_file_uri(path))
+            found = system.get_file_info(fs.FileSelector(place))
+            kept = [x for x in found if x.base_name[:1] not in ("_", ".")]
+            names = [f"{path.rstrip('/')}/{x.base_name}" for x in kept]
+            folders = [x.type == fs.FileType.Directory for x in kept]
+            columns = [pa.array(names, pa.string()), pa.array(folders, pa.bool_()), pa.array([x.size or 0 for x in kept], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "folder", "length"])
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of every file below a folder.
+
+    A job lists all folders of one depth, a row for each, and its result is written: no name passes through the driver. Links
+    between folders that form a circle are not looked for.
+    """
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(_file_uri(path))
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no folder {path}")
+    folders, levels = spark.createDataFrame([(path,)], "path string"), []
+    while True:
+        level = materialize(folders.mapInArrow(_list_folders, _FOUND), "listing")
+        levels.append(level.filter("not folder").select("path", "length"))
+        below = level.filter("folder").select("path")
+        n = below.count()
+        if n == 0:
+            return reduce(DataFrame.unionByName, levels)
+        folders = below.repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "path")
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their content, a bounded number of bytes at a time."""
+    from pyarrow import fs
+
+    def handed_on(batch: pa.RecordBatch, first: int, contents: list) -> pa.RecordBatch:
+        names = batch.slice(first, len(contents))
+        return pa.RecordBatch.from_arrays([*names.columns, pa.array(contents, pa.binary())], ["path", "length", "content"])
+
+    for batch in batches:
+        first, contents, size = 0, [], 0
+        for path in batch.column(0).to_pylist():
+            system, place = fs.FileSystem.from_uri(_file_uri(path))
+            with system.open_input_stream(place) as file:
+                contents.append(file.read())
+            size += len(contents[-1])
+            if size >= READ_BATCH:
+                yield handed_on(batch, first, contents)
+                first, contents, size = first + len(contents), [], 0
+        yield handed_on(batch, first, contents)
+
+
 def scan_eml(spark: SparkSession, path: str, max_bytes: int = V.MAX_EML_BYTES) -> DataFrame:
     """(path, length, content) of every file below a folder; only messages of up to ``max_bytes`` come with content.
 
-    The reader leaves files of zero bytes out, so those come from its list of files.
+    The files are listed once, in tasks, and read in tasks by their names. Paths begin as the given one does. Files whose
+    name begins with a dot or an underscore are not looked at; a folder that is missing is an error, an empty one gives no rows.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    every = reader.load(path)
-    messages = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(path)
-    fits = F.endswith(F.lower("path"), F.lit(".eml")) & (F.col("length") <= max_bytes)
-    nothing = F.lit(None).cast("binary").alias("content")
-    # The list writes local paths with three slashes, the reader with one.
-    names = [(unquote(p).replace("file:///", "file:/", 1), 0) for p in every.inputFiles()]
-    listed = spark.createDataFrame(names, "path string, length long")
-    return (
-        messages.filter(F.col("length") <= max_bytes).select("path", "length", "content")
-        .unionByName(every.filter(~fits).select("path", "length", nothing))
-        .unionByName(listed.join(every.select("path"), "path", "left_anti").select("path", "length", nothing))
-    )
+    listed = list_files(spark, path)
+    fits = F.endswith(F.lower("path"), F.lit(".eml")) & (F.col("length") > 0) & (F.col("length") <= max_bytes)
+    size = listed.filter(fits).agg(F.sum("length")).first()[0] or 0
+    # The list is small beside the files, so the number of tasks follows from their bytes.
+    tasks = max(size // READ_TASK + 1, spark.sparkContext.defaultParallelism)
+    files = listed.filter(fits).repartition(tasks, "path")
+    read = files.mapInArrow(_read_files, "path string, length long, content binary")
+    return read.unionByName(listed.filter(~fits).withColumn("content", F.lit(None).cast("binary")))
 
 
 def write_messages(messages: DataFrame, folder: str) -> int:

@@ -96,6 +96,22 @@ def test_size_limit_is_a_parameter(spark, tmp_path):
     assert {r["path"][-5:]: r["error"] for r in rows} == {"x.eml": "larger than 0.000976562 MB", "y.eml": None}
 
 
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    for name in ("a.eml", "b c/d%20e.eml", "b c/deep/er/ü#?.EML", "_hidden/x.eml", "b c/.part.eml", "none.eml", "b c/note.txt"):
+        place = tmp_path / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_bytes(b"" if name == "none.eml" else name.encode())
+    (tmp_path / "empty").mkdir()
+    wanted = {"a.eml": b"a.eml", "b c/d%20e.eml": b"b c/d%20e.eml", "b c/deep/er/ü#?.EML": "b c/deep/er/ü#?.EML".encode(), "none.eml": None, "b c/note.txt": None}
+    for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        rows = eml.scan_eml(spark, folder).collect()
+        assert {r["path"][len(folder.rstrip("/")) + 1 :]: r["content"] for r in rows} == wanted and len(rows) == 5
+        assert all(r["length"] == len(r["content"]) for r in rows if r["content"])
+    assert eml.scan_eml(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        eml.scan_eml(spark, str(tmp_path / "absent"))
+
+
 def test_two_writers_at_once(spark, tmp_path, monkeypatch):
     """The second writer finds its number taken between reading the end of the store and its commit."""
     path, taken = str(tmp_path / "store"), []
