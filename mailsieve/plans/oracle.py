@@ -703,7 +703,8 @@ def vocabulary(source: str, size: int) -> str:
 group by gram order by occurrences desc, gram limit {size}"""
 
 
-oracle("e3_word_grams", ["word_lists"], vocabulary("word_lists", 50000))
+for name in ("e3_word_grams", "e3_frequent_word_grams"):
+    oracle(name, ["word_lists"], vocabulary("word_lists", 50000))
 cte("padded", ["feats"], f"select email_id, ' ' || unnest(list_filter(regexp_split_to_array(clean_email_text, '[{V.WS}]+'), lambda w: w <> '')) || ' ' as w from feats")
 cte("char_lists", ["padded"], """select email_id, list_concat(
   case when length(w) <= 3 then [w] else list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) end, list_concat(

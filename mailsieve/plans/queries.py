@@ -940,6 +940,13 @@ def e2_one_hot(spark, sf):
 @query
 def e3_word_grams(spark, sf):
     grams = N.word_grams(feats(spark, sf).select("email_id", V.TEXT_COLUMN), stop_words=V.OCCLUSION_STOP_WORDS)
+    return N.vocabulary(N.gram_counts(grams, c("grams")), 50_000)
+
+
+@query
+def e3_frequent_word_grams(spark, sf):
+    """The same vocabulary without a shuffle of the rare grams."""
+    grams = N.word_grams(feats(spark, sf).select(V.TEXT_COLUMN), stop_words=V.OCCLUSION_STOP_WORDS)
     return N.top_grams(materialize(grams.select("grams"), "grams"), c("grams"), 50_000)
 
 
