@@ -6,6 +6,7 @@ from mailsieve.llm import quality as R
 
 WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _P = range(len(R.FEATURES))
+_PAIRS = [(i, j) for i in _P for j in range(i + 1)]
 
 
 def _distance(e: str) -> str:
@@ -17,51 +18,41 @@ def _distance(e: str) -> str:
     return " + ".join(f"({y}) * ({y})" for y in steps)
 
 
-def _factor(name: str, rows: str, grow: float, floors: tuple[float, ...]) -> str:
-    """CTEs for means and Cholesky factor of the rows of ``rows``, one column of the factor after the other."""
-    sums = [f"sum({x}::hugeint)::double / count(*) / {R.STEP}.0 as m_{i}" for i, x in enumerate(R.FEATURES)]
-    sums += [
-        f"sum({R.FEATURES[i]}::hugeint * {R.FEATURES[j]})::double / count(*) / {R.STEP**2}.0 as s_{i}_{j}" for i in _P for j in range(i + 1)
-    ]
-    out, last = [f"{name}_0 as (select grp, {', '.join(sums)} from {rows} group by grp)"], f"{name}_0"
-    for i in _P:
-        for j in range(i + 1):
-            value = f"{grow} * (s_{i}_{j} - m_{i} * m_{j})" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
-            if i == j:
-                value = f"sqrt(greatest({value} + {floors[i] ** 2!r}, {floors[i] ** 2!r}))"
-            else:
-                value = f"({value}) / l_{j}_{j}"
-            here = name if (i, j) == (_P[-1], _P[-1]) else f"{name}_{i}_{j}"
-            out.append(f"{here} as (select *, {value} as l_{i}_{j} from {last})")
-            last = here
-    return ",\n".join(out)
+def _covariance(rows: str, keys: str, grow: float, floors: tuple[float, ...], also: str = "") -> str:
+    """Means and covariances, floors included, of the rows with the same keys."""
+    sums = [f"sum({x}::hugeint)::double / count(*) / {R.STEP} as m_{i}" for i, x in enumerate(R.FEATURES)]
+    sums += [f"sum({R.FEATURES[i]}::hugeint * {R.FEATURES[j]})::double / count(*) / {R.STEP**2} as s_{i}_{j}" for i, j in _PAIRS]
+    spread = [f"{grow!r} * (s_{i}_{j} - m_{i} * m_{j}) + {floors[i] ** 2 if i == j else 0.0!r} as v_{i}_{j}" for i, j in _PAIRS]
+    return f"select * exclude ({', '.join(f's_{i}_{j}' for i, j in _PAIRS)}), {', '.join(spread)} from (select {keys}, {also} {', '.join(sums)} from {rows} group by {keys})"
+
+
+def _factored(rows: str, floors: tuple[float, ...]) -> str:
+    """The rows of a query with the Cholesky factor of their v_i_j, one column after the other, and its volume."""
+    for i, j in _PAIRS:
+        value = f"v_{i}_{j}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        value = f"sqrt(greatest({value}, {floors[i] ** 2!r}))" if i == j else f"({value}) / l_{j}_{j}"
+        rows = f"select *, {value} as l_{i}_{j} from ({rows})"
+    return f"select *, l_0_0 * l_1_1 * l_2_2 * l_3_3 as volume from ({rows})"
 
 
-def robust_outliers(floors=(0.12, 0.055, 0.18, 0.18), support=0.75, steps=3, min_rows=50, cut=R.CHI_9999) -> str:
+def robust_outliers(floors=(0.08, 0.04, 0.06, 0.06), support=0.75, steps=30, min_rows=50, cut=R.CHI_9999) -> str:
     angle = lambda part, whole: f"asin(sqrt(least(1.0, {part} / greatest({whole}, 1)::double)))"
     vector = [
         "ln(greatest(word_chars, 1) / greatest(n_words, 1)::double)", angle("n_symbols", "word_chars"), angle("n_dup_lines", "n_lines"),
         angle("n_repeat_words", "n_words"),
     ]
-    xs = ", ".join(R.FEATURES)
-    chain, now = [], "e0"
-    for k in range(1, steps + 2):
-        if k <= steps:
-            chain.append(f"d{k} as (select v.*, round(256 * ln(1 + {_distance(now)}))::int as d from vectors v join {now} on {now}.grp = v.grp)")
-            chain.append(f"b{k} as (select grp, quantile_cont(d, {support}) as bound from d{k} group by grp)")
-            chain.append(f"i{k} as (select d{k}.* from d{k} join b{k} on b{k}.grp = d{k}.grp where d <= bound)")
-        else:
-            chain.append(f"i{k} as (select v.* from vectors v join {now} on {now}.grp = v.grp where {_distance(now)} <= {R.CHI_975})")
-        chain.append(_factor(f"e{k}", f"i{k}", R.GROW_75 if k <= steps else R.GROW_975, floors))
-        now = f"e{k}"
+    xs, ms, ls = ", ".join(R.FEATURES), ", ".join(f"m_{i}" for i in _P), ", ".join(f"l_{i}_{j}" for i, j in _PAIRS)
+    near = lambda e: f"round(256 * ln(1 + {_distance(e)}))::int"
     medians = ", ".join(f"quantile_cont({x}, 0.5) as c_{i}" for i, x in enumerate(R.FEATURES))
     spreads = ", ".join(f"quantile_cont(abs({x} - c_{i}), 0.5) as d_{i}" for i, x in enumerate(R.FEATURES))
     centres = ", ".join(f"any_value(c_{i}) / {R.STEP}.0 as m_{i}" for i in _P)
-    start = ", ".join(
-        f"greatest(1.4826 * d_{i} / {R.STEP}.0, {floors[i]}) as l_{i}_{j}" if i == j else f"0.0::double as l_{i}_{j}" for i in _P for j in range(i + 1)
-    )
+    plain = ", ".join(f"pow(greatest(1.4826 * d_{i} / {R.STEP}.0, {floors[i]}), 2) as v_{i}_{j}" if i == j else f"0.0::double as v_{i}_{j}" for i, j in _PAIRS)
+    turned = ", ".join(f"case when r > 0 then round(({x} / {R.STEP}.0 - m_{i}) / l_{i}_{i} / r * {R.STEP})::bigint else 0 end as {x}" for i, x in enumerate(R.FEATURES))
+    scaled = ", ".join(f"4 * t.v_{i}_{j} * p.l_{i}_{i} * p.l_{j}_{j} + {floors[i] ** 2 if i == j else 0.0!r} as v_{i}_{j}" for i, j in _PAIRS)
+    errors = ("0.3 / greatest(n_words, 1)", "0.25 / greatest(word_chars, 1)", "0.25 / greatest(n_lines, 1)", "2.0 / greatest(n_words, 1)")
+    own = ", ".join(f"v_{i}_{j} + ({errors[i]})::double as v_{i}_{j}" if i == j else f"v_{i}_{j}" for i, j in _PAIRS)
     return f"""
-with texts as (select row_number() over () as rid, doc_id, coalesce(lang, null) as lang, source, coalesce(text, '') as t from documents
+with recursive texts as (select row_number() over () as rid, doc_id, coalesce(lang, null) as lang, source, coalesce(text, '') as t from documents
 ), split as (select *, {WORDS.format('t')} as w,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from texts
 ), windows as (select rid, i, array_to_string(w[i:i + 7], ' ') as win from (select rid, w, unnest(range(1, len(w) - 6)) as i from split)
@@ -76,16 +67,40 @@ with texts as (select row_number() over () as rid, doc_id, coalesce(lang, null)
 ), judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
         {', '.join(f'round({x} * {R.STEP})::bigint as {n}' for n, x in zip(R.FEATURES, vector))} from base
 ), once as (select distinct lang_key, own, t, {xs} from judged where not base_failed
-), groups as (select own, case when count(*) >= {min_rows} then own else any_value(lang_key) || chr(30) end as grp from once group by own
+), groups as (select own, case when count(*) >= {min_rows} then own else any_value(lang_key) || chr(30) end as grp,
+        case when count(*) >= {min_rows} then 'source' else 'language' end as level from once group by own
 ), vectors as (select distinct grp, t, {xs} from once join groups on groups.own = once.own
 ), enough as (select grp from vectors group by grp having count(*) >= {min_rows}
 ), centre as (select grp, {medians} from vectors group by grp
-), e0 as (select grp, {', '.join(f'm_{i}' for i in _P)}, {start} from (
-        select v.grp, {centres}, {spreads} from vectors v join centre on centre.grp = v.grp group by v.grp)
-), {', '.join(chain)}
+), plain as ({_factored(f"select grp, 0 as start, {ms}, {plain} from (select v.grp, {centres}, {spreads} from vectors v join centre on centre.grp = v.grp group by v.grp)", floors)}
+), seen as (select v.*, {', '.join(f'p.m_{i}' for i in _P)}, {', '.join(f'p.l_{i}_{j}' for i, j in _PAIRS)}, {near('p')} as d, sqrt({_distance('p')}) as r
+    from vectors v join plain p on p.grp = v.grp
+), turned as (select grp, {turned} from seen
+), half as (select grp, {xs} from (select *, quantile_cont(d, 0.5) over (partition by grp) as bound from seen) where d <= bound
+), turns as (select t.grp, 1 as start, {', '.join(f'p.m_{i}' for i in _P)}, {scaled}
+    from ({_covariance('turned', 'grp', 1.0, (0.0,) * 4)}) t join plain p on p.grp = t.grp
+), moves as (
+    select grp, start, 0 as step, 'inf'::double as volume, {ms}, {ls} from plain
+    union all select grp, 1, 0, 'inf'::double, {ms}, {ls} from ({_factored('select * from turns', floors)})
+    union all select grp, 2, 0, 'inf'::double, {ms}, {ls} from ({_factored(_covariance('half', 'grp', 1.0, floors), floors)})
+), paths as (
+    select * from moves
+    union all
+    select grp, start, step, volume, {ms}, {ls} from ({_factored(_covariance(f"""(
+        select *, quantile_cont(d, {support}) over (partition by grp, start) as bound from (
+            select v.*, e.start, e.step, e.volume as before, {near('e')} as d from vectors v join paths e on e.grp = v.grp))
+        where d <= bound""", 'grp, start', R.GROW_75, floors, 'any_value(step) + 1 as step, any_value(before) as before,'), floors)})
+    where volume < before * (1 - {R.FALL!r}) and step <= {steps}
+), best as (select * from paths where step > 0 qualify row_number() over (partition by grp order by volume, start) = 1
+), inside as (select v.* from vectors v join best e on e.grp = v.grp where {_distance('e')} <= {R.CHI_975}
+), fitted as ({_covariance('inside', 'grp', R.GROW_975, floors)}
+), known as (select own, level, {ms}, {', '.join(f'v_{i}_{j}' for i, j in _PAIRS)} from groups join enough using (grp) join fitted using (grp)
+), placed as (select j.*, level, {ms}, {own} from judged j left join known on known.own = j.own
+), measured as ({_factored('select * from placed', floors)})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and coalesce((select {_distance(now)} <= {cut} from {now} join enough on enough.grp = {now}.grp where {now}.grp = groups.grp), true) as kept
-from judged v left join groups on groups.own = v.own
+    not base_failed and coalesce({_distance('v')} <= {cut}, true) as kept,
+    case when base_failed then 'base' else coalesce(level, 'none') end as judged_by
+from measured v
 """
 
 
