@@ -1,14 +1,16 @@
 """Lexical retrieval packing: windows of related pieces by a sharded BM25 index.
 
 1. Every text is encoded whole and cut at multiples of the window: full pieces are windows of their own, the tail
-   goes on to packing. The checksums of all pieces follow from the ids at hand.
-2. Document frequencies of all token ids over all tails are counted; a vocabulary-sized table reaches the driver.
+   goes on to packing. The checksums of all pieces follow from the ids at hand. In the same pass each task counts, for
+   every token id, the pieces (full ones and tails) that hold it; its counts are a row beside its pieces.
+2. The counts are added up; a vocabulary-sized table reaches the driver. Number, mean length and frequencies are those
+   of all pieces of all texts.
 3. Tails are dealt to shards of at most ``shard_rows`` rows. Tails whose heaviest token (term frequency times inverse
    document frequency) is the same stand together; a token with more tails than a shard holds spreads over several
    shards by the hash of the row. Shard borders come from the counts of heaviest tokens, again vocabulary-sized.
-4. In a shard an inverted index of BM25 weights is built. The first unused tail seeds a window; its ``query_terms``
-   heaviest terms are looked up, and the unused neighbours fill the window in order of their score: first those that
-   fit whole, then the best one that is left is cut, its rest staying unused for a later window.
+4. In a shard an inverted index of BM25 weights is built. The first unused tail seeds a window; all its terms are looked
+   up, and the unused neighbours fill the window in order of their score: first those that fit whole, then the best one
+   that is left is cut, its rest staying unused for a later window.
 
 Only the last window of a shard, and gaps under ``min_piece`` ids, are padded. Defined results: a null or empty text is
 the end id alone; rows with equal or null ids are packed one by one; ties of score go to the earlier row of the shard
@@ -32,16 +34,21 @@ from mailsieve.session import scratch_path
 
 _PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+#: Pieces; a row of counts has no id or row, ``start`` -1 and pairs of token id and count in ``tail``.
 _CUT = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, row bigint, tail binary"
 
 
 def cut_texts(docs: DataFrame, path: str, window: int, end_id: int, id_column: str, text_column: str) -> DataFrame:
-    """Full pieces (``tail`` null, a window id of their own) and tails (``tail``: ids) of every text."""
+    """Full pieces (``tail`` null, a window id of their own), tails (``tail``: ids) and a row of counts for each task."""
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "row", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         count = TaskContext.get().partitionId() << 40
+        kind = "<i4" if encoder.vocabulary > 1 << 16 else "<u2"
+        held = np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
         for part, texts in arrow_rows(batches):
             rows = []
             for i, buffer in zip(part.column(0).to_pylist(), encoder.buffers(texts)):
@@ -49,15 +56,16 @@ def cut_texts(docs: DataFrame, path: str, window: int, end_id: int, id_column: s
                 n = len(buffer) // 4
                 for start in range(0, n, window):
                     piece, count = buffer[4 * start : 4 * (start + window)], count + 1
-                    size = len(piece) // 4
-                    tail = None if size == window else np.frombuffer(piece, "<u4").astype("<i4" if encoder.vocabulary > 1 << 16 else "<u2").tobytes()
+                    size, ids = len(piece) // 4, np.frombuffer(piece, "<u4").astype(kind)
+                    held[np.unique(ids)] += 1
+                    tail = None if size == window else ids.tobytes()
                     rows.append((i, start, size, zlib.crc32(piece), n, 2 * count + 1, count, tail))
             if rows:
-                kinds = [pa.int64()] * 7 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
-                    ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "row", "tail"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+        there = np.flatnonzero(held)
+        if len(there):
+            counts = np.stack([there, held[there]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, -1, 0, 0, 0, None, None, counts), kinds)], names)
 
     return docs.select(docs[id_column].cast("bigint"), docs[text_column]).mapInArrow(run, _CUT)
 
@@ -66,18 +74,19 @@ def _ids(tail: bytes, width: int) -> np.ndarray:
     return np.frombuffer(tail, f"<u{width}").astype(np.int64)
 
 
-def document_frequencies(tails: DataFrame, vocabulary: int, width: int) -> np.ndarray:
-    """Number of tails that hold each token id."""
+def piece_frequencies(counts: DataFrame, vocabulary: int) -> np.ndarray:
+    """Number of pieces that hold each token id, from the rows of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for tail in batch.column(0):
-                total[np.unique(_ids(tail.as_py(), width))] += 1
+            for pairs in batch.column(0):
+                token, n = np.frombuffer(pairs.as_py(), "<i8").reshape(-1, 2).T
+                total[token] += n
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["token", "n"])
 
-    counted = tails.select("tail").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = counts.select("tail").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     out = np.zeros(vocabulary, np.int64)
     for token, n in counted.collect():  # at most one row for each id of the vocabulary
         out[token] = n
@@ -128,13 +137,13 @@ class Shard:
         terms, first = np.unique(token, return_index=True)
         self.first = np.append(first, len(key))
         term = np.repeat(np.arange(len(terms)), np.diff(self.first))
-        order = np.lexsort((-self.weights, self.rows))  # each row's terms, heaviest first
+        order = np.argsort(self.rows, kind="stable")  # each row's terms
         self.terms, self.ends = term[order], np.searchsorted(self.rows[order], np.arange(self.n + 1))
         self.alive = np.ones(self.n, bool)
 
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
-        """Unused rows by falling score for the seed's heaviest terms; rows without a common term come last."""
-        terms = self.terms[self.ends[seed] : min(self.ends[seed + 1], self.ends[seed] + query_terms)]
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Unused rows by falling score for the seed's terms; rows without a common term come last."""
+        terms = self.terms[self.ends[seed] : self.ends[seed + 1]]
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
         scores = np.bincount(
             np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n
@@ -143,7 +152,7 @@ class Shard:
         return rows[np.argsort(-scores[rows], kind="stable")]
 
 
-def pack_shard(ids: list[np.ndarray], shard: Shard, window: int, query_terms: int, min_piece: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], shard: Shard, window: int, min_piece: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces of the shard's windows: row, first id, ids, window, offset there."""
     done = np.zeros(len(ids), np.int64)  # ids of each row that are packed
     sizes = np.array([len(x) for x in ids], np.int64)
@@ -162,7 +171,7 @@ def pack_shard(ids: list[np.ndarray], shard: Shard, window: int, query_terms: in
                 row = None
                 if left:
                     if order is None:
-                        order = shard.neighbours(seed, query_terms)
+                        order = shard.neighbours(seed)
                         left_sizes = sizes[order] - done[order]
                     fits = (left_sizes <= left) & shard.alive[order]
                     at = fits.argmax() if len(order) else 0
@@ -174,26 +183,27 @@ def pack_shard(ids: list[np.ndarray], shard: Shard, window: int, query_terms: in
 
 def pack(
     docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text",
-    shard_rows: int = 2048, query_terms: int = 16, min_piece: int = 8,
+    shard_rows: int = 2048, min_piece: int = 8,
 ) -> DataFrame:
     """One row for each piece: its place in its text, checksum, window and place there."""
     spark, place = docs.sparkSession, scratch_path(docs.sparkSession, "pieces")
     cut_texts(docs, path, window, end_id, id_column, text_column).write.parquet(place)
     cut = spark.read.schema(_CUT).parquet(place)
-    full, tails = cut.filter("tail is null"), cut.filter("tail is not null")
+    counts, pieces = cut.filter("start = -1"), cut.filter("start >= 0")
+    full, tails = pieces.filter("tail is null"), pieces.filter("tail is not null")
     vocabulary = max(library_encoder(path).vocabulary, end_id + 1)
     width = 4 if library_encoder(path).vocabulary > 1 << 16 else 2
-    n, tokens = tails.agg(F.count("*"), F.sum("length")).first()
+    n, tokens = pieces.agg(F.count("*"), F.sum("length")).first()
     mean_length = (tokens or 0) / max(1, n)
-    frequency = document_frequencies(tails, vocabulary, width)
+    frequency = piece_frequencies(counts, vocabulary)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
 
     keyed_place = scratch_path(spark, "tails")
     keyed = heaviest_token(tails.drop("ids_crc32", "sequence_id"), idf, width)
     keyed.write.parquet(keyed_place)
     keyed = spark.read.schema(keyed.schema).parquet(keyed_place)
-    counts = dict(keyed.groupBy("heavy").count().collect())  # at most one row for each id of the vocabulary
-    borders = shard_borders(counts, shard_rows)
+    heavy = dict(keyed.groupBy("heavy").count().collect())  # at most one row for each id of the vocabulary
+    borders = shard_borders(heavy, shard_rows)
     table = spark.createDataFrame([(t, s, p) for t, (s, p) in borders.items()], "heavy bigint, shard bigint, parts bigint")
     spot = F.xxhash64("id", "start", "row")
     dealt = (
@@ -208,7 +218,7 @@ def pack(
         shard = part.column("shard")[0].as_py()
         rows = [
             (owner[r], start[r] + first, size, zlib.crc32(ids[r][first : first + size].astype("<u4").tobytes()), total[r], 2 * (shard << 32 | number), offset)
-            for r, first, size, number, offset in pack_shard(ids, Shard(ids, idf, mean_length), window, query_terms, min_piece)
+            for r, first, size, number, offset in pack_shard(ids, Shard(ids, idf, mean_length), window, min_piece)
         ]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], _NAMES)
 

@@ -9,7 +9,7 @@ from mailsieve.llm import packing
 from mailsieve.llm.queries import VOCABULARY, op10_bm25_packing
 from mailsieve.llm.tokens import library_tokenizer, vocabulary_path
 
-from .helpers import AWKWARD, DOCS, awkward, crowded, rows_of
+from .helpers import AWKWARD, DOCS, WORDS, awkward, crowded, rows_of
 
 PATH = vocabulary_path(VOCABULARY)
 
@@ -63,28 +63,77 @@ def test_hot_token_spreads_over_shards(spark):
     assert len({r.sequence_id // 2 >> 32 for r in rows}) > 8
 
 
-def brute_scores(ids, idf, mean, seed, terms, k1=1.2, b=0.75):
+def brute_scores(ids, idf, mean, seed, k1=1.2, b=0.75):
     weight = lambda t, x: idf[t] * x.count(t) * (k1 + 1) / (x.count(t) + k1 * (1 - b + b * len(x) / mean)) if t in x else 0.0
-    own = sorted(set(ids[seed]), key=lambda t: (-weight(t, ids[seed]), t))[:terms]
-    return [sum(weight(t, x) for t in own) for x in ids]
+    return [sum(weight(t, x) for t in sorted(set(ids[seed]))) for x in ids]
 
 
-def test_neighbours_follow_bm25():
-    rng = np.random.default_rng(1)
-    ids = [rng.integers(0, 60, rng.integers(5, 40)).tolist() for _ in range(50)]
+def random_shard(seed, rows=50):
+    rng = np.random.default_rng(seed)
+    ids = [rng.integers(0, 60, rng.integers(5, 40)).tolist() for _ in range(rows)]
     idf = rng.random(60) + 0.1
-    shard = packing.Shard([np.array(x) for x in ids], idf, 20.0)
+    return ids, idf, packing.Shard([np.array(x) for x in ids], idf, 20.0)
+
+
+def test_neighbours_follow_bm25():
+    ids, idf, shard = random_shard(1)
     for seed in range(50):
-        scores = np.array(brute_scores(ids, idf, 20.0, seed, 8))
-        order = shard.neighbours(seed, 8)
+        scores = np.array(brute_scores(ids, idf, 20.0, seed))
+        order = shard.neighbours(seed)
         assert np.allclose(scores[order], np.sort(scores)[::-1])
     shard.alive[order[:10]] = False
-    assert not set(shard.neighbours(0, 8)) & set(order[:10])
+    assert not set(shard.neighbours(0)) & set(order[:10])
+
+
+def brute_windows(ids, idf, mean, window, min_piece):
+    """The greedy packing of one shard, scores of all rows from scratch for each window."""
+    left, windows = [len(x) for x in ids], []
+    for seed in range(len(ids)):
+        while left[seed]:
+            room, pieces, row = window, [], seed
+            scores = brute_scores(ids, idf, mean, seed)
+            while row is not None:
+                take = min(room, left[row])
+                pieces.append((row, len(ids[row]) - left[row], take))
+                left[row] -= take
+                room -= take
+                order = sorted((r for r in range(len(ids)) if left[r]), key=lambda r: (-round(scores[r], 9), r))
+                whole = [r for r in order if left[r] <= room]
+                row = None if not room else whole[0] if whole else order[0] if room >= min_piece and order else None
+            windows.append(pieces)
+    return windows
+
+
+def test_windows_are_those_of_a_plain_search():
+    for seed in range(4):
+        ids, idf, shard = random_shard(seed, 80)
+        got = defaultdict(list)
+        for row, first, size, number, offset in packing.pack_shard([np.array(x) for x in ids], shard, 64, 8):
+            assert offset == sum(p[2] for p in got[number])
+            got[number].append((row, first, size))
+        assert [got[n] for n in sorted(got)] == brute_windows(ids, idf, 20.0, 64, 8)
+
+
+def test_statistics_cover_all_pieces(spark):
+    """Also full windows count, and texts of a multiple of the window, which have no tail."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(rng.choice(WORDS, rng.integers(0, 200)))) for i in range(60)] + [(90, None), (91, "old " * 31)]
+    cut = packing.cut_texts(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5), PATH, 16, 0, "doc_id", "text")
+    tokenizer, want, pieces = library_tokenizer(PATH), defaultdict(int), 0
+    for _, t in texts:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        for start in range(0, len(ids), 16):
+            pieces += 1
+            for token in set(ids[start : start + 16]):
+                want[token] += 1
+    got = packing.piece_frequencies(cut.filter("start = -1"), tokenizer.get_vocab_size() + 1)
+    assert {t: got[t] for t in np.flatnonzero(got)} == want
+    assert cut.filter("start >= 0").count() == pieces
 
 
 def test_cut_rest_stays_unused():
     ids = [np.full(70, k) for k in range(5)]
     shard = packing.Shard(ids, np.ones(10), 70.0)
-    pieces = list(packing.pack_shard(ids, shard, 100, 4, 8))
+    pieces = list(packing.pack_shard(ids, shard, 100, 8))
     assert sum(p[2] for p in pieces) == 350
     assert [sum(p[2] for p in pieces if p[3] == w) for w in (1, 2, 3)] == [100, 100, 100]
