@@ -13,7 +13,7 @@ from .test_packing_llm import check
 def test_registered():
     assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     numbers = [name.split("_")[0] for name in entry.queries() if name.startswith("op")]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_stages(spark, sf_dir):
