@@ -3,6 +3,8 @@
 import base64
 import datetime
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +252,20 @@ def test_rates_drop_late_rows_and_repeats(spark, tmp_path):
     everything = spark.createDataFrame([r for b in batches for r in b], schema)
     batch = {(r["window_start"].hour, r["feedback_status"]): r["n"] for r in jobs.feedback_rates(everything).collect()}
     assert batch == {(0, "Correct"): 1, (0, "Wrong"): 2, (2, "Correct"): 1, (2, "Wrong"): 1, (6, "Correct"): 1}
+
+
+def test_messages_and_names_are_handed_on_in_parts(tmp_path, monkeypatch):
+    body = b"Subject: s\r\nContent-Type: text/plain\r\n\r\n" + b"x" * 1000
+    batch = pd.DataFrame({"path": [f"{i}.eml" for i in range(25)], "length": len(body), "content": body, "error": None})
+    monkeypatch.setattr(eml, "DECODE_BATCH", 4 * len(body))
+    parts = list(eml._decode_batches(iter([batch])))
+    assert [len(p) for p in parts] == [4] * 6 + [1] and [p for x in parts for p in x["path"]] == list(batch["path"])
+    (tmp_path / "sub").mkdir()
+    for name in ["_x", ".y", *(f"{i}.eml" for i in range(9))]:
+        (tmp_path / name).write_bytes(b"ab")
+    (tmp_path / "gone.eml").symlink_to(tmp_path / "missing")
+    monkeypatch.setattr(eml, "LIST_BATCH", 3)
+    listed = list(eml._list_folders(iter([pa.RecordBatch.from_arrays([pa.array([str(tmp_path)])], ["path"])])))
+    assert max(b.num_rows for b in listed) == 3
+    rows = {tuple(r.values()) for b in listed for r in b.to_pylist()}
+    assert rows == {(f"{tmp_path}/sub", True, 0), (f"{tmp_path}/gone.eml", False, 0), *((f"{tmp_path}/{i}.eml", False, 2) for i in range(9))}
