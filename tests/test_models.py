@@ -395,3 +395,18 @@ def test_all_words_can_be_tried(spark):
     df = spark.createDataFrame([(text,)], "t string")
     sizes = df.select(F.size(L.occlusion_candidates(F.col("t"))), F.size(L.occlusion_candidates(F.col("t"), None))).first()
     assert tuple(sizes) == (20, 50)
+
+
+def test_a_node_of_some_hundred_thousand_rows_is_one_job(spark, monkeypatch):
+    n, calls, level_cuts = G.SUBTREE // 6, [], G.level_cuts
+    rows = spark.range(n).select(
+        F.array((F.col("id") % 97).cast("double"), (F.col("id") % 31).cast("double")).alias("x"), ((F.col("id") % 97 > 40).cast("int") + (F.col("id") % 2).cast("int")).cast("double").alias("y")
+    )
+    monkeypatch.setattr(G, "level_cuts", lambda *a: calls.append(len(a[3])) or level_cuts(*a))
+    fit = lambda: G.fit_trees(rows, "x", "y", 3, 2, range(0), 1, 4, 0.1, 1.0, 1.0, 1)
+    whole = fit()
+    assert n > 1 << 16 and calls == [3]
+    monkeypatch.setattr(G, "SUBTREE", 1 << 16)
+    parts = fit()
+    assert len(calls) > 2  # level by level
+    assert np.array_equal(whole.feature, parts.feature) and np.array_equal(whole.cut, parts.cut) and np.allclose(whole.value, parts.value)
