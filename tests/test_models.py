@@ -410,3 +410,11 @@ def test_a_node_of_some_hundred_thousand_rows_is_one_job(spark, monkeypatch):
     parts = fit()
     assert len(calls) > 2  # level by level
     assert np.array_equal(whole.feature, parts.feature) and np.array_equal(whole.cut, parts.cut) and np.allclose(whole.value, parts.value)
+
+
+def test_rows_that_are_there_are_not_split_again(spark, monkeypatch):
+    monkeypatch.setattr(Q, "split_features", None)
+    monkeypatch.setattr(Q, "_fitted", {})
+    monkeypatch.setattr(D, "fit_hybrid", lambda train, validation: (train.count(), validation.count()))
+    rows = spark.createDataFrame([(1, "train"), (2, "train"), (3, "validation"), (4, "test")], "email_id long, split string")
+    assert Q.hybrid_model(spark, "nowhere", rows) == (2, 1)
