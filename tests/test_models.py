@@ -224,6 +224,41 @@ def test_samples_by_sums_equal_full_rescoring(spark, sf_dir, hybrid):
         assert fast[at]["words"] == r["words"]
 
 
+def test_surrogate_hands_on_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        schema = spark.createDataFrame([], "email_id bigint").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    rng = np.random.default_rng(1)
+    words = [[f"w{i}x{j}" for j in range(50)] for i in range(400)]
+    masks = [rng.integers(0, 2, (100, 50)).tolist() for _ in words]
+    columns = [
+        pa.array(range(400), pa.int64()), pa.array(words), pa.array([[[w] for w in ws] for ws in words]), pa.array(words),
+        pa.array(masks, pa.list_(pa.list_(pa.int8()))),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, ["email_id", "_chunks", "_pieces", "words", "_mask"])
+    monkeypatch.setattr(L, "OUT_BYTES", 1 << 20, raising=False)
+    out = list(L._forms(Rows(), "email_id")(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 << 20 and [k for b in out for k in b.column(0).to_pylist()] == list(range(400))
+    got = [m for b in out for m in b.column(4).to_pylist()]
+    assert got == [np.array(m, np.int8).tobytes() for m in masks]
+
+
+def test_surrogate_writes_no_masks(spark, sf_dir, hybrid, monkeypatch):
+    written, plain = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label: written.append(df.columns) or plain(df, label))
+    mail = Q.emails(spark, sf_dir).filter("email_id = 0").select("email_id", "subject", "body")
+    assert L.sample_scores(mail, hybrid, 50).count() == 50
+    assert written and not any("_mask" in columns for columns in written)
+
+
 def test_surrogate_ridge_against_normal_equations():
     import pandas as pd
 
