@@ -1,6 +1,7 @@
 """Models by inequalities, explanations against brute force."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -147,6 +148,44 @@ def test_most_frequent_grams_with_ties_and_without_rows(spark):
         assert N.top_grams(df.limit(0), F.col("g"), 2, cells).count() == 0
 
 
+def test_tasks_count_grams_before_they_hand_them_on(spark):
+    rows = [(["a", "b", "a", None],), (["b", "c"],), ([],), (None,), ([None, "a", None],)]
+    df = spark.createDataFrame(rows, "g array<string>").coalesce(1)
+    want = {("a", 2, 3), ("b", 2, 2), ("c", 1, 1), (None, 2, 3)}
+    # A row for each gram of a task, not one for each place.
+    assert {tuple(r) for r in N._counted_in_tasks(df, F.col("g")).collect()} == want
+    assert N._counted_in_tasks(df, F.col("g")).count() == 4
+    assert {tuple(r) for r in N.gram_counts(df.repartition(3), F.col("g")).collect()} == want
+
+
+def test_grams_of_many_slices_add_up(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "GRAM_ROWS", 2)
+    lists = pa.array([["x"], ["a", "b", "a", "c"], None, [], ["c", "d", "e"]], pa.list_(pa.string()))
+    found = pa.Table.from_batches(N._counts_of(pa.chunked_array([lists.slice(1, 2), lists.slice(3)]))).to_pydict()
+    assert sorted(zip(found["gram"], found["d"], found["o"])) == [("a", 1, 2), ("b", 1, 1), ("c", 2, 2), ("d", 1, 1), ("e", 1, 1)]
+
+
+def test_word_vectors_and_trees_are_fitted_at_the_same_time(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=20)  # broken if one waits for the other to end
+
+    def meeting(fit):
+        def run(*args, **options):
+            both.wait()
+            return fit(*args, **options)
+
+        return run
+
+    monkeypatch.setattr(N, "fit_text_encoder", meeting(N.fit_text_encoder))
+    monkeypatch.setattr(D, "fit_boosted_trees", meeting(D.fit_boosted_trees))
+    words = {"Legitimate": "plain report of the week", "Spam": "claim the prize now"}
+    mail = [(i, name, f"{text} {i % 7}") for i, name in enumerate(["Legitimate", "Spam"] * 30) for text in [words[name]]]
+    rows = Q.E.build_features(spark.createDataFrame(mail, "email_id long, category string, body string").withColumn("subject", F.col("category")))
+    model = D.fit_hybrid(rows, embedding_size=4, rounds=2, depth=2, hidden=(8, 8, 8), max_iter=2)
+    assert model.classes == ["Legitimate", "Spam"] and model.transform(rows).count() == 60
+
+
 def test_external_encoder_hook(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], f"id int, {V.TEXT_COLUMN} string")
     got = N.encode_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("id").collect()
