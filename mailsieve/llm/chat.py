@@ -215,7 +215,7 @@ def read_blocks(blocks: DataFrame, path: str) -> DataFrame:
 
 def format_conversations(turns: DataFrame, path: str, block_tokens: int = 16_384) -> DataFrame:
     """Write the blocks, read them back and return the digests of every conversation."""
-    conversations = materialize(gather(turns), "conversations")
-    blocks = materialize(build_blocks(conversations, path, block_tokens), "blocks")
+    conversations = materialize(gather(turns), "conversations", large_rows=True)
+    blocks = materialize(build_blocks(conversations, path, block_tokens), "blocks", large_rows=True)
     found = materialize(read_blocks(blocks, path), "leaves")
     return conversations.select("conv_id", "path_digest").join(found, "path_digest").drop("path_digest")

@@ -1,12 +1,15 @@
 """Chat formatting: exact round trip, shared turns once, positions and attention."""
 
+import glob
 import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from mailsieve import session
 from mailsieve.llm import chat
 from mailsieve.llm.queries import RANKS
 from mailsieve.llm.tokens import vocabulary_path
@@ -81,3 +84,14 @@ def test_tree_blocks(spark):
     if len(blocks) == 1:  # the shared first turn is there once
         first = encode(chat.opening("user")) + encode("start") + encode(chat.CLOSING)
         assert blocks[0].tokens[: len(first)] == first and len(blocks[0].node_start) == 1 + 4 * 3
+
+
+def test_readers_decode_few_blocks_at_once(spark, monkeypatch):
+    """A reader decodes a row group of up to 4096 blocks at once, so groups end by their bytes."""
+    monkeypatch.setitem(session.LARGE_ROWS, "parquet.block.size", 1 << 16)
+    rows = [(i, t, "user", f"{i} {t} " + "some words " * 300) for i in range(150) for t in range(2)]
+    before = set(glob.glob(f"{session.scratch_root(spark)}/blocks-*"))
+    assert rows_of(chat.format_conversations(spark.createDataFrame(rows, TURNS), PATH, block_tokens=1000)) == expected(rows)
+    (written,) = set(glob.glob(f"{session.scratch_root(spark)}/blocks-*")) - before
+    files = [pq.ParquetFile(x).metadata for x in glob.glob(f"{written}/*.parquet")]
+    assert sum(f.num_rows for f in files) == 150 and max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 32
