@@ -2,7 +2,7 @@
 
 Vectors are packed into chunks of ``rows`` rows where they lie: ids, floats, their int8 codes with a scale per row, and
 the lengths of codes and of rounding errors. Query chunks meet candidate chunks in an equi-join: candidate chunks fall
-into groups, query chunks are sent to every group. For a pair of chunks the int8 product gives every inner product up to
+into groups, query chunks are sent to every group by a shuffle, never through the driver. For a pair of chunks the int8 product gives every inner product up to
 ``|error of q| * |c| + |code of q| * |error of c|``. A pair of vectors survives if its upper bound reaches the best known
 k-th lower bound of its query; survivors are computed in double precision from the original vectors, component by
 component in order, and merged into a heap of k for each query. The heaps of all groups meet in a ranking window,
@@ -114,13 +114,14 @@ def _rank_of(score: float) -> float:
 def search(candidates: DataFrame, is_query: Column, id_column: str, vector_column: str, k: int = 20, rows: int = 1024, group_chunks: int = 8) -> DataFrame:
     """For each row of ``is_query`` (a condition on ``id``) its k nearest other rows by inner product."""
     good = usable(candidates, id_column, vector_column)
-    all_chunks = materialize(chunks(good, rows), "chunks")
-    query_chunks = materialize(chunks(good.filter(is_query), rows), "queries")
+    all_chunks = materialize(chunks(good, rows), "chunks", large_rows=True)
+    query_chunks = materialize(chunks(good.filter(is_query), rows), "queries", large_rows=True)
     groups = max(1, -(-all_chunks.count() // group_chunks))
     left = query_chunks.select(F.col("chunk").alias("q_chunk"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = all_chunks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
-    pairs = left.join(right.drop("chunk"), ["dim", "part"]).select("q_chunk", "dim", "q_ids", "q_vectors", "ids", "vectors")
+    # Sizes are estimated without the copies that go to every group, so one side could be sent whole through the driver.
+    pairs = left.hint("merge").join(right.drop("chunk"), ["dim", "part"]).select("q_chunk", "dim", "q_ids", "q_vectors", "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[Coded, list[list]]] = {}

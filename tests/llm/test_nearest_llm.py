@@ -94,3 +94,10 @@ def test_doubles_beyond_the_range_of_squares(spark):
                     scored.append((-(s if s == s else -math.inf), j, s))
             want += [(i, n + 1, j, s) for n, (_, j, s) in enumerate(sorted(scored, key=lambda x: x[:2])[:4])]
         assert repr(got) == repr(want)
+
+
+def test_no_side_is_sent_through_the_driver(spark):
+    """The copies of query chunks for all groups are not in the estimate that a broadcast is chosen by."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), 0) for i in range(40)], VECTORS)
+    assert "Broadcast" not in search(df, rows=2, group_chunks=1)._jdf.queryExecution().executedPlan().toString()
